@@ -33,7 +33,7 @@ def day_of_week_cyclic(c: Column) -> tuple[Column, Column]:
 
 
 def day_of_week_name(c: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(d) for d in DAY_NAMES]), F.weekday(c) + 1)
+    return F.when(c.isNotNull(), F.element_at(F.array(*[F.lit(d) for d in DAY_NAMES]), F.weekday(c) + 1))
 
 
 def is_weekend(c: Column) -> Column:

@@ -85,6 +85,15 @@ def strip_quotes(df: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- name matching
 
 
+def _let(value: Column, body) -> Column:
+    """Bind a value once inside an expression (a lambda variable is not computed again)."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _chars(c: Column) -> Column:
+    return F.filter(F.split(c, ""), lambda ch: ch != "")
+
+
 def lcs_length(a: Column, b: Column) -> Column:
     """Length of the longest common subsequence, in the JVM, for texts of any length.
 
@@ -92,31 +101,35 @@ def lcs_length(a: Column, b: Column) -> Column:
     BIGINT; the carry bit that leaves a block at each character of ``b`` enters
     the next block.
     """
-    full = (1 << LCS_BLOCK) - 1
-    b_chars = F.filter(F.split(b, ""), lambda ch: ch != "")
-    n_blocks = F.ceil(F.length(a) / LCS_BLOCK).cast("int")
-
-    def block(state: Column, number: Column) -> Column:
-        chunk = F.filter(F.split(F.substring(a, number * LCS_BLOCK + 1, F.lit(LCS_BLOCK)), ""), lambda ch: ch != "")
-
-        def step(s: Column, i: Column) -> Column:
-            ch = F.element_at(b_chars, i)
-            mask = F.conv(F.reverse(F.array_join(
-                F.transform(chunk, lambda x: F.when(x == ch, F.lit("1")).otherwise(F.lit("0"))), "")), 2, 10).cast("bigint")
-            hit = s["v"].bitwiseAND(mask)
-            total = s["v"] + hit + F.element_at(state["carry"], i)
-            keep = s["v"].bitwiseAND(F.bitwise_not(mask)).bitwiseAND(F.lit(full))
-            return F.struct(total.bitwiseAND(F.lit(full)).bitwiseOR(keep).alias("v"),
-                            F.concat(s["out"], F.array(F.shiftright(total, LCS_BLOCK))).alias("out"))
-
-        start = F.struct(F.lit(full).cast("bigint").alias("v"), F.array().cast("array<bigint>").alias("out"))
-        done = F.aggregate(F.sequence(F.lit(1), F.size(b_chars)), start, step)
-        return F.struct((state["lcs"] + (LCS_BLOCK - F.bit_count(done["v"]))).cast("int").alias("lcs"),
-                        done["out"].alias("carry"))
-
-    begin = F.struct(F.lit(0).alias("lcs"), F.array_repeat(F.lit(0).cast("bigint"), F.size(b_chars)).alias("carry"))
-    found = F.aggregate(F.sequence(F.lit(0), n_blocks - 1), begin, block)["lcs"]
-    return F.when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0)).otherwise(found)
+    full = F.lit((1 << LCS_BLOCK) - 1).cast("bigint")
+    zero = F.lit(0).cast("bigint")
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.ceil(F.length(a) / LCS_BLOCK).cast("int") - 1),
+        lambda n: F.transform(_chars(F.substring(a, n * LCS_BLOCK + 1, F.lit(LCS_BLOCK))), lambda ch, i: F.struct(
+            ch.alias("ch"), F.call_function("shiftleft", F.lit(1).cast("bigint"), i).alias("bit"))))
+
+    def run(b_chars: Column) -> Column:
+        def block(state: Column, chunk: Column) -> Column:
+            def step(s: Column, x: Column) -> Column:
+                mask = F.aggregate(chunk, zero, lambda m, c: m + F.when(c["ch"] == x["ch"], c["bit"]).otherwise(zero))
+
+                def update(mk: Column) -> Column:
+                    total = s["v"] + s["v"].bitwiseAND(mk) + x["carry"]
+                    return F.struct(
+                        total.bitwiseAND(full).bitwiseOR(s["v"].bitwiseAND(F.bitwise_not(mk))).alias("v"),
+                        F.concat(s["out"], F.array(F.shiftright(total, LCS_BLOCK))).alias("out"))
+
+                return _let(mask, update)
+
+            start = F.struct(full.alias("v"), F.array().cast("array<bigint>").alias("out"))
+            zipped = F.zip_with(b_chars, state["carry"], lambda ch, cy: F.struct(ch.alias("ch"), cy.alias("carry")))
+            return _let(F.aggregate(zipped, start, step), lambda done: F.struct(
+                (state["lcs"] + (LCS_BLOCK - F.bit_count(done["v"]))).cast("int").alias("lcs"), done["out"].alias("carry")))
+
+        begin = F.struct(F.lit(0).alias("lcs"), F.array_repeat(zero, F.size(b_chars)).alias("carry"))
+        return F.aggregate(blocks, begin, block)["lcs"]
+
+    return F.when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0)).otherwise(_let(_chars(b), run))
 
 
 def indel_ratio(a: Column, b: Column) -> Column:

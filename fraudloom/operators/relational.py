@@ -285,17 +285,16 @@ def period_windows(df: DataFrame, ts: str, days: int, closed: str = "both") -> D
     us = F.unix_micros(C(ts).cast("timestamp"))
     step = F.lit(days * 86_400_000_000)
     bounds = df.agg(F.struct(F.min(us).alias("lo"), F.max(us).alias("hi"))).scalar()
-    lo = bounds["lo"]
-    last = F.floor((bounds["hi"] - lo) / step)
-    elapsed = us - lo
+    rows = df.withColumns({"_lo": bounds["lo"], "_last": F.floor((bounds["hi"] - bounds["lo"]) / step)})
+    elapsed = us - C("_lo")
     k = F.greatest(F.lit(1), F.ceil(elapsed / step)).cast("bigint")
     numbers = F.array(k)
     if closed == "both":
         inner = (elapsed > 0) & (elapsed % step == 0)
         numbers = F.when(inner, F.array(k, k + 1)).otherwise(numbers)
-    numbers = F.filter(numbers, lambda n: n <= last)
-    return (df.withColumn("window_no", F.explode(numbers))
-            .withColumn("window_end", F.timestamp_micros(lo + C("window_no") * step).cast("date")))
+    return (rows.withColumn("window_no", F.explode(numbers)).where(C("window_no") <= C("_last"))
+            .withColumn("window_end", F.timestamp_micros(C("_lo") + C("window_no") * step).cast("date"))
+            .drop("_lo", "_last"))
 
 
 def assign_window(df: DataFrame, ts: str, days: int, keys: DataFrame | None = None, key: str = "ca_id") -> DataFrame:
