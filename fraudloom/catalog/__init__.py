@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .base import ORACLE, QUERIES
 
-_MODULES = ("tables", "features")
+_MODULES = ("tables", "features", "evaluation", "anomaly", "learning")
 
 
 def _load() -> None:
