@@ -1,9 +1,12 @@
 """Exact k nearest neighbours per window, in bounded tasks.
 
-Rows go to the nearest of a fixed number of pivots and each (window, pivot)
-cell is cut into blocks of about BLOCK rows. The triangle inequality tells from
-the block radii which block pairs can hold neighbours; only those pairs are
-compared, each as one task-sized unit that emits its k best per row.
+Equal vectors are merged first and carry their smallest ids, so a group of
+copies costs no more than one row. The distinct vectors go to the nearest of a
+fixed number of pivots and each (window, pivot) cell is cut into blocks of
+about BLOCK rows. The triangle inequality tells from the block radii which
+block pairs can hold neighbours; only those pairs are compared, each as one
+task-sized unit that emits its best rows. The result is then handed to all
+copies.
 """
 
 from __future__ import annotations
@@ -12,13 +15,26 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..operators.skew import join_stats
+from ..session import settle
+
 C = F.col
 BLOCK = 1024
 PIVOTS = 64
 
 
+def _distinct(rows: DataFrame, k: int) -> DataFrame:
+    """(window, vec, id, ids, n): one row per distinct vector with its k+1 smallest ids, the first one as id."""
+    # the row number is limited to k+1 inside each task before anything is shuffled
+    by = Window.partitionBy("window", "vec").orderBy("id")
+    small = rows.withColumn("_r", F.row_number().over(by)).where(C("_r") <= k + 1)
+    ids = small.groupBy("window", "vec").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    sizes = rows.groupBy("window", "vec").agg(F.count(F.lit(1)).alias("n"))
+    return ids.join(sizes, ["window", "vec"]).withColumn("id", C("ids")[0])
+
+
 def _pivots(rows: DataFrame, seed: int) -> np.ndarray:
-    """PIVOTS rows in hash order (a fixed number of vectors)."""
+    """PIVOTS vectors in hash order (a fixed number)."""
     picked = rows.select("vec").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(PIVOTS).collect()
     return np.array([r.vec for r in picked], dtype="float64")
 
@@ -32,84 +48,106 @@ def _assign(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
                 d = np.stack([((x - p) ** 2).sum(axis=1) for p in pivots], axis=1)
                 cell = d.argmin(axis=1)
                 pdf = pdf.assign(cell=cell.astype("int32"), pdist=np.sqrt(d[np.arange(len(x)), cell]))
-            else:
-                pdf = pdf.assign(cell=pd.Series(dtype="int32"), pdist=pd.Series(dtype="float64"))
-            yield pdf
+                yield pdf[["id", "window", "vec", "ids", "cell", "pdist"]]
 
-    return rows.mapInPandas(nearest, "id bigint, window string, vec array<double>, cell int, pdist double")
+    return rows.select("id", "window", "vec", "ids").mapInPandas(
+        nearest, "id bigint, window string, vec array<double>, ids array<bigint>, cell int, pdist double")
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
-    """One row per block: its ids, its vectors end to end, radius and size."""
+    """One row per block: ids and vectors end to end, radius, size in rows."""
     sizes = rows.groupBy("window", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("subs"))
     cut = rows.join(sizes, ["window", "cell"]).withColumn("sub", F.pmod(F.xxhash64("id"), C("subs")))
     packed = cut.groupBy("window", "cell", "sub").agg(
-        F.collect_list(F.struct("id", "vec")).alias("m"), F.max("pdist").alias("radius"),
+        F.collect_list(F.struct("id", "vec", "ids")).alias("m"), F.max("pdist").alias("radius"),
         F.count(F.lit(1)).alias("cnt"))
     return packed.select(
         "window", F.concat_ws("/", "window", "cell", "sub").alias("block"), "cell", "radius", "cnt",
-        F.transform("m", lambda x: x["id"]).alias("ids"),
-        F.flatten(F.transform("m", lambda x: x["vec"])).alias("data"))
+        F.transform("m", lambda x: x["id"]).alias("reps"),
+        F.flatten(F.transform("m", lambda x: x["vec"])).alias("data"),
+        F.transform("m", lambda x: F.size(x["ids"])).alias("sizes"),
+        F.flatten(F.transform("m", lambda x: x["ids"])).alias("ids"))
 
 
-def _compare(k: int, skip_self: bool):
+def _compare(take: int):
+    """For every left vector of a block pair, its ``take`` nearest member ids on the right."""
     def run(batches):
         for pdf in batches:
-            out = {"window": [], "id": [], "nbr": [], "dist": []}
+            out = {"window": [], "rep": [], "nbr": [], "dist": []}
             for row in pdf.itertuples(index=False):
-                a_ids, b_ids = np.asarray(row.a_ids), np.asarray(row.b_ids)
-                a = np.asarray(row.a_data, dtype="float64").reshape(len(a_ids), -1)
-                b = np.asarray(row.b_data, dtype="float64").reshape(len(b_ids), -1)
-                order = np.argsort(b_ids, kind="stable")
-                b_ids, b = b_ids[order], b[order]
-                for i in range(len(a_ids)):
+                a_reps, b_reps = np.asarray(row.a_reps), np.asarray(row.b_reps)
+                a = np.asarray(row.a_data, dtype="float64").reshape(len(a_reps), -1)
+                b = np.asarray(row.b_data, dtype="float64").reshape(len(b_reps), -1)
+                members = np.split(np.asarray(row.b_ids), np.cumsum(np.asarray(row.b_sizes))[:-1])
+                order = np.argsort(b_reps, kind="stable")
+                b, members = b[order], [members[i] for i in order]
+                single = all(len(m) == 1 for m in members)
+                firsts = np.array([m[0] for m in members])
+                for i in range(len(a_reps)):
                     d = np.sqrt(((b - a[i]) ** 2).sum(axis=1))
-                    if skip_self:
-                        d = np.where(b_ids == a_ids[i], np.inf, d)
-                    best = np.argsort(d, kind="stable")[:k]  # ties by id
-                    best = best[np.isfinite(d[best])]
-                    out["window"] += [row.window] * len(best)
-                    out["id"] += [a_ids[i]] * len(best)
-                    out["nbr"] += b_ids[best].tolist()
-                    out["dist"] += d[best].tolist()
+                    best = np.argsort(d, kind="stable")[:take]  # ties by smallest member id
+                    if single:
+                        ids, dist = firsts[best], d[best]
+                    else:
+                        ids = np.concatenate([members[j] for j in best])
+                        dist = np.repeat(d[best], [len(members[j]) for j in best])
+                        first = np.lexsort((ids, dist))[:take]
+                        ids, dist = ids[first], dist[first]
+                    out["window"] += [row.window] * len(ids)
+                    out["rep"] += [a_reps[i]] * len(ids)
+                    out["nbr"] += ids.tolist()
+                    out["dist"] += dist.tolist()
             yield pd.DataFrame(out)
     return run
 
 
 def knn_table(queries: DataFrame, k: int, donors: DataFrame | None = None, seed: int = 42) -> DataFrame:
-    """(window, id, nbr, rank, dist): the k nearest rows of the same window, ties by id.
+    """(window, id, nbr, dist, rank): the k nearest rows of the same window, ties by id.
 
     Inputs have id BIGINT, window STRING, vec ARRAY<DOUBLE>. Without ``donors``
     neighbours come from the same table and a row is not its own neighbour.
     """
     skip_self = donors is None
-    source = queries if donors is None else donors
-    pivots = _pivots(source, seed)
+    take = k + 1 if skip_self else k
+    left_rows = queries.select("id", "window", "vec")
+    left_set = _distinct(left_rows, k).persist()
+    right_set = left_set if skip_self else _distinct(donors.select("id", "window", "vec"), k).persist()
+    pivots = _pivots(right_set, seed)
     if not len(pivots):
-        return queries.select("window", "id", F.lit(None).cast("bigint").alias("nbr"), F.lit(1).alias("rank"),
-                              F.lit(None).cast("double").alias("dist")).where(F.lit(False))
-    right = _blocks(_assign(source.select("id", "window", "vec"), pivots)).persist()
-    left = right if skip_self else _blocks(_assign(queries.select("id", "window", "vec"), pivots)).persist()
-    gaps = np.sqrt(((pivots[:, None, :] - pivots[None, :, :]) ** 2).sum(axis=2))
-    gap = F.lit([[float(x) for x in r] for r in gaps])
-
-    # block level only: one row per block of about BLOCK rows
+        return left_rows.select("window", "id", F.lit(None).cast("bigint").alias("nbr"),
+                                F.lit(None).cast("double").alias("dist"), F.lit(1).alias("rank")).where(F.lit(False))
+    right = _blocks(_assign(right_set, pivots)).persist()
+    left = right if skip_self else _blocks(_assign(left_set, pivots)).persist()
+    gap = F.lit([[float(x) for x in r] for r in np.sqrt(((pivots[:, None, :] - pivots[None, :, :]) ** 2).sum(axis=2))])
+
+    # block level only: one row per block of about BLOCK distinct vectors
     lm = left.select("window", C("block").alias("lb"), C("cell").alias("lc"), C("radius").alias("lr"))
     rm = right.select("window", C("block").alias("rb"), C("cell").alias("rc"), C("radius").alias("rr"), "cnt")
     near = lm.join(rm, "window").withColumn("gap", gap[C("lc")][C("rc")])
-    # every row of lb has k neighbours within reach if one block with enough rows lies that close
-    enough = C("cnt") > k if skip_self else C("cnt") >= k
-    reach = near.groupBy("lb").agg(F.min(F.when(enough, C("gap") + C("lr") + C("rr"))).alias("reach"))
+    # every row of lb has its neighbours within reach if one block with enough vectors lies that close
+    reach = near.groupBy("lb").agg(F.min(F.when(C("cnt") >= take, C("gap") + C("lr") + C("rr"))).alias("reach"))
     keep = near.join(reach, "lb").where(
         C("reach").isNull() | (C("gap") - C("lr") - C("rr") <= C("reach") * (1 + 1e-9))).select("lb", "rb")
-    a = left.select("window", C("block").alias("lb"), C("ids").alias("a_ids"), C("data").alias("a_data"))
-    b = right.select(C("block").alias("rb"), C("ids").alias("b_ids"), C("data").alias("b_data"))
+    a = left.select("window", C("block").alias("lb"), C("reps").alias("a_reps"), C("data").alias("a_data"))
+    b = right.select(C("block").alias("rb"), C("reps").alias("b_reps"), C("data").alias("b_data"),
+                     C("sizes").alias("b_sizes"), C("ids").alias("b_ids"))
     # spread by pair: one block takes part in many pairs
-    work = keep.join(a, "lb").join(b, "rb").repartition("lb", "rb")
-    found = work.select("window", "a_ids", "a_data", "b_ids", "b_data").mapInPandas(
-        _compare(k, skip_self), "window string, id bigint, nbr bigint, dist double")
-    best = Window.partitionBy("window", "id").orderBy("dist", "nbr")
-    return found.withColumn("rank", F.row_number().over(best)).where(C("rank") <= k)
+    work = keep.join(a, "lb").join(b, "rb").repartition("lb", "rb").drop("lb", "rb")
+    found = work.mapInPandas(_compare(take), "window string, rep bigint, nbr bigint, dist double")
+    best = Window.partitionBy("window", "rep").orderBy("dist", "nbr")
+    top = found.withColumn("_r", F.row_number().over(best)).where(C("_r") <= take)
+    lists = top.groupBy("window", "rep").agg(F.array_sort(F.collect_list(F.struct("dist", "nbr"))).alias("nb"))
+    # hand the list to every copy of the vector
+    known = left_set.select("window", "vec", C("id").alias("rep"), "n").join(lists, ["window", "rep"]).drop("rep")
+    members = join_stats(left_rows, known, ["window", "vec"], "n")
+    own = F.filter("nb", lambda x: x["nbr"] != C("id")) if skip_self else C("nb")
+    table = (members.select("window", "id", F.posexplode(F.slice(own, 1, k)).alias("_p", "_x"))
+             .select("window", "id", C("_x.nbr").alias("nbr"), C("_x.dist").alias("dist"), (C("_p") + 1).alias("rank")))
+    # the table feeds several later joins: written once instead of compared again
+    done = settle(table, "neighbours")
+    for cached in {left_set, right_set, left, right}:
+        cached.unpersist()
+    return done
 
 
 def impute_knn(df: DataFrame, key: str, target: str, features: list[str], k: int = 5) -> DataFrame:
@@ -120,6 +158,7 @@ def impute_knn(df: DataFrame, key: str, target: str, features: list[str], k: int
         C(key).alias("id"), F.lit("all").alias("window"),
         F.array(*[C(f).cast("double") for f in features]).alias("vec"), C(target).alias("_t"))
     nbrs = knn_table(scaled.where(C("_t").isNull()), k, scaled.where(C("_t").isNotNull()))
-    fill = (nbrs.join(df.select(C(key).alias("nbr"), C(target).alias("_t")), "nbr")
-            .groupBy(C("id").alias(key)).agg(F.avg("_t").alias("_fill")))
+    donors = nbrs.groupBy("nbr").agg(F.count(F.lit(1)).alias("_n")).join(
+        df.select(C(key).alias("nbr"), C(target).alias("_t")), "nbr")
+    fill = join_stats(nbrs, donors, ["nbr"], "_n").groupBy(C("id").alias(key)).agg(F.avg("_t").alias("_fill"))
     return df.join(fill, key, "left").withColumn(target, F.coalesce(C(target), C("_fill"))).drop("_fill")

@@ -67,7 +67,7 @@ def outlier_iforest(spark, sf):
 @query("outlier_lscp")
 def outlier_lscp(spark, sf):
     rows = feature_rows(spark, sf)
-    nbrs = knn.knn_table(rows, 20).persist()
+    nbrs = knn.knn_table(rows, 20)
     base = detectors.outlier_hbos(rows).unionByName(detectors.outlier_knn(nbrs, 15)).unionByName(detectors.outlier_lof(nbrs, 15))
     return rounded(detectors.outlier_lscp(base, nbrs, 20, "lscp"), "raw")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import unscale_score
 from ..ml import train
 from ..operators import cost, curves
-from .base import AP, AUC, C, PR_AREA, SCORED, curve_sql, q6, query, r6, rounded, scored, tbl
+from .base import AP, AUC, C, PR_AREA, SCORED, curve_sql, q6, query, rounded, scored, tbl
 from .tables import CV_SQL, cv_scores
 
 _CUM = f"WITH {SCORED}, {curve_sql('scored')}"
@@ -213,9 +213,9 @@ def dominance_check(spark, sf):
 @query("lift_report", f"""WITH {_AUG}, adj AS (SELECT *, CASE WHEN augmented_pred <> base_pred THEN proba ELSE base END AS adjusted FROM aug),
   {curve_sql('adj', (), 'base', name='c1')}, {curve_sql('adj', (), 'adjusted', name='c2')},
   r AS (SELECT COUNT(*) FILTER (base_pred = 1 AND ytrue = 1) AS bt, COUNT(*) FILTER (base_pred = 1) AS b,
-    COUNT(*) FILTER (augmented_pred = 1 AND ytrue = 1) AS at, COUNT(*) FILTER (augmented_pred = 1) AS a, COUNT(*) FILTER (ytrue = 1) AS f FROM adj)
-  SELECT {q6('bt / b')} AS base_precision, {q6('at / a')} AS augmented_precision, {q6('bt / f')} AS base_recall, {q6('at / f')} AS augmented_recall,
-  {q6(f'(SELECT {PR_AREA} FROM c1)')} AS pr_auc, {q6(f'(SELECT {PR_AREA} FROM c2)')} AS pr_auc_adj, {q6('at / f - bt / f')} AS recall_gain FROM r""")
+    COUNT(*) FILTER (augmented_pred = 1 AND ytrue = 1) AS att, COUNT(*) FILTER (augmented_pred = 1) AS a, COUNT(*) FILTER (ytrue = 1) AS f FROM adj)
+  SELECT {q6('bt / b')} AS base_precision, {q6('att / a')} AS augmented_precision, {q6('bt / f')} AS base_recall, {q6('att / f')} AS augmented_recall,
+  {q6(f'(SELECT {PR_AREA} FROM c1)')} AS pr_auc, {q6(f'(SELECT {PR_AREA} FROM c2)')} AS pr_auc_adj, {q6('att / f - bt / f')} AS recall_gain FROM r""")
 def lift_report(spark, sf):
     df = cost.dominance_adjust(_aug(spark, sf), "base", "proba", "adjusted")
     out = cost.lift_report(df, "ytrue", "base", "adjusted")

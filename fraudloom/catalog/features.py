@@ -522,9 +522,9 @@ FINAL = ["ca_id", "ca_ft_created_at_tz_adj", "tmx_raw_os", "tmx_raw_n", "a_ft_hi
          "tmx_ft_input_ip_true_ip_distance", "never_sent"]
 
 
-def feature_plan(df, spark, sf, name_matches=True):
+def feature_plan(df, spark, sf):
     risk = tbl(spark, sf, "nation").where(C("n_nationkey") % 7 == 0).select(C("n_nationkey").alias("a_zip"))
-    return application_features(df, zip_offsets(spark, sf), risk, ["os", "n"], FINAL, name_matches)
+    return application_features(df, zip_offsets(spark, sf), risk, ["os", "n"], FINAL)
 
 
 @query("application_features")

@@ -9,15 +9,14 @@ from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from ..ml import stages, train
-from ..operators import curves, graph, relational as rel
-from ..session import scratch_path, settle
+from ..operators import relational as rel
+from ..session import scratch_path
 from ..streaming import jobs
-from .base import C, applications, query, rounded, scored, tbl
+from .base import C, applications, query, rounded
 from .features import feature_plan, payloads
 from .evaluation import augmented
 
 TREES = {"maxIter": 3, "maxDepth": 3}
-_DROP = ["ca_id", "customer_id", "partner_note"]
 
 
 def training_rows(spark, sf):
@@ -169,7 +168,7 @@ def _stored_payloads(spark, sf):
 def stream_features(spark, sf):
     path, schema = _stored_payloads(spark, sf)
     stream = spark.readStream.schema(schema).parquet(path)
-    out = jobs.stream_features(stream, lambda df: feature_plan(df, spark, sf, name_matches=False))
+    out = jobs.stream_features(stream, lambda df: feature_plan(df, spark, sf))
     return rounded(jobs.run_to_table(out, "features"), "p_tcr_ft_first_name_match", "p_tcr_ft_last_name_match",
                    "tmx_ss_ft_input_ip_address_distance")
 

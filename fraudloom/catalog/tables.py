@@ -88,7 +88,7 @@ def evaluation_report(spark, sf):
     report = writers.evaluation_report(curves.curve_counts(s))
     path = scratch_path(spark, "report")
     writers.write_report(report, path)
-    return spark.read.text(path).select("part", C("value").alias("json"))
+    return spark.read.schema("part int, json string").json(path)
 
 
 @query("score_response", f"""WITH {SCORED} SELECT ca_id, '{{"keyAttributes":{{"scores":{{"model_v1":{{"probability_fraud":' ||

@@ -140,66 +140,88 @@ def indel_ratio(a: Column, b: Column) -> Column:
 
 @F.pandas_udf(T.DoubleType())
 def gestalt_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)], dtype="float64")
+    """Sequence-matcher ratio; order matters, so keep the application value first. Repeats in a batch are scored once."""
+    seen: dict[tuple, float | None] = {}
+
+    def one(pair):
+        if pair not in seen:
+            x, y = pair
+            seen[pair] = None if x is None or y is None else SequenceMatcher(None, x, y).ratio()
+        return seen[pair]
+
+    return pd.Series([one(p) for p in zip(a, b)], dtype="float64")
 
 
 def match_scores(df: DataFrame, pairs: Sequence[tuple[str, str, str]], method: str = "indel",
                  unquote: Sequence[str] = ()) -> DataFrame:
     """Similarity of lower-cased column pairs (a, b, out); -1 where either is null or b is empty.
 
-    Each distinct value pair of a column pair is scored once and joined back, so
-    repeated names cost one scoring.
+    Scored in place, without a shuffle: the same plan serves batch and stream.
     """
-    if method not in ("indel", "gestalt"):
-        raise ValueError(method)
-    for a, b, out in pairs:
+    ratios = {"indel": indel_ratio, "gestalt": gestalt_ratio}
+    if method not in ratios:
+        raise ValueError(f"unknown method {method!r}; choose one of {sorted(ratios)}")
+    out = {}
+    for a, b, name in pairs:
         left, right = C(a), C(b)
-        if out in unquote:
+        if name in unquote:
             left, right = F.translate(left, "\"'", ""), F.translate(right, "\"'", "")
-        df = df.withColumns({"_l": F.lower(left), "_r": F.lower(right)})
-        scored = (df.where(C("_l").isNotNull() & (F.length("_r") > 0)).select("_l", "_r").distinct()
-                  .withColumn(out, indel_ratio(C("_l"), C("_r")) if method == "indel"
-                              else gestalt_ratio(C("_l"), C("_r"))))
-        df = df.join(scored, ["_l", "_r"], "left").withColumn(out, F.coalesce(C(out), F.lit(-1.0))).drop("_l", "_r")
-    return df
+        score = ratios[method](F.lower(left), F.lower(right))
+        out[name] = F.when(left.isNotNull() & (F.length(right) > 0), score).otherwise(F.lit(-1.0))
+    return df.withColumns(out)
 
 
-def _rank_last(values: DataFrame, top: int = 64) -> Column:
-    """A literal map of the most frequent characters to their place from the end (bounded list)."""
-    chars = values.select(F.explode(F.split("v", "")).alias("ch")).where(C("ch") != "")
-    rows = chars.groupBy("ch").count().orderBy(C("count").desc(), "ch").limit(top).collect()
-    pairs = []
-    for i, r in enumerate(rows):
-        pairs += [F.lit(r.ch), F.lit(top - i)]
-    return F.create_map(*pairs)
+def _common_first(tokens: DataFrame, top: int = 256) -> Column:
+    """The most frequent tokens as a literal array, most frequent first (bounded list)."""
+    rows = tokens.groupBy("tok").count().orderBy(C("count").desc(), "tok").limit(top).collect()
+    return F.array(*[F.lit(r.tok) for r in rows])
 
 
 def candidate_match_join(left: DataFrame, right: DataFrame, block: str, left_name: str, right_name: str,
                          threshold: float) -> DataFrame:
     """Distinct value pairs of one block with indel ratio >= threshold (block, left value, right value, score).
 
-    Exact prefix filter instead of all pairs of a block: a pair that reaches the
-    threshold shares at least ceil(len*t/(2-t)) characters, so the first
-    len - that + 1 characters of both, in one fixed order with rare ones first,
-    have a (character, occurrence) in common. Only such pairs are scored.
+    Exact prefix filter instead of all pairs of a block. A qualifying pair has a
+    common subsequence L >= t*(la+lb)/2, so it shares at least 3L-la-lb-1
+    two-letter tokens and L one-letter tokens. Of tokens put in one fixed order,
+    rare ones first, a text therefore only needs its first (count - bound + 1).
+    Two-letter tokens are used where their bound is positive, one-letter tokens
+    where a partner may be too short for that. Only pairs that meet are scored.
     """
+    t = float(threshold)
+    if not 0 < t <= 1:
+        raise ValueError("threshold must be in (0, 1]")
     lo = left.select(C(block), F.lower(left_name).alias("v")).where(F.length("v") > 0).distinct()
     ro = right.select(C(block), F.lower(right_name).alias("v")).where(F.length("v") > 0).distinct()
-    rank = _rank_last(lo.select("v").union(ro.select("v")))
-    share = threshold / (2.0 - threshold)
+    shortest = t / (2 - t)  # the shortest partner, as a share of the own length
+
+    def pair_bound(length: Column) -> Column:
+        return F.ceil(length * ((1.5 * t - 1) * (1 + shortest)) - 1 - 1e-9)
+
+    def grams(df: DataFrame) -> DataFrame:
+        chars, n = _chars(C("v")), F.length("v")
+        two = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: C("v").substr(i, F.lit(2)))
+        sets = F.array(
+            F.struct(F.lit(2).alias("q"), two.alias("g"), (n - 1 - pair_bound(n) + 1).alias("keep"), (pair_bound(n) >= 1).alias("use")),
+            F.struct(F.lit(1).alias("q"), chars.alias("g"), (n - F.ceil(n * shortest - 1e-9) + 1).alias("keep"),
+                     (pair_bound(F.floor(n * shortest)) < 1).alias("use")))
+        return df.withColumn("s", F.explode(F.filter(sets, lambda s: s["use"]))).select(block, "v", "s.q", "s.g", "s.keep")
+
+    lg, rg = grams(lo), grams(ro)
+    common = _common_first(lg.select(F.explode("g").alias("tok")).union(rg.select(F.explode("g").alias("tok"))))
 
     def tokens(df: DataFrame, name: str) -> DataFrame:
-        chars = F.filter(F.split("v", ""), lambda ch: ch != "")
-        marked = F.transform(chars, lambda ch, i: F.struct(
-            F.coalesce(F.element_at(rank, ch), F.lit(0)).alias("r"), ch.alias("ch"),
-            F.size(F.filter(F.slice(chars, 1, i + 1), lambda o: o == ch)).alias("occ")))
-        keep = F.length("v") - F.ceil(F.length("v") * share - 1e-9).cast("int") + 1
-        return (df.withColumn("t", F.explode(F.slice(F.sort_array(marked), 1, keep)))
-                .select(block, C("v").alias(name), C("t.ch").alias("ch"), C("t.occ").alias("occ")))
-
-    lt, rt = tokens(lo, left_name), tokens(ro, right_name)
+        marked = F.transform("g", lambda tok, i: F.struct(
+            # 0 = not among the common ones; then the most frequent come last
+            F.when(F.array_position(common, tok) > 0, -F.array_position(common, tok)).otherwise(F.lit(-1_000_000)).alias("o"),
+            tok.alias("tok"), F.size(F.filter(F.slice("g", 1, i + 1), lambda x: x == tok)).alias("occ")))
+        kept = F.slice(F.sort_array(marked), 1, F.greatest(C("keep").cast("int"), F.lit(0)))
+        return (df.withColumn("t", F.explode(kept))
+                .select(block, "q", C("v").alias(name), C("t.tok").alias("tok"), C("t.occ").alias("occ")))
+
     short = F.least(F.length(left_name), F.length(right_name))
-    fits = 2.0 * short >= threshold * (F.length(left_name) + F.length(right_name)) - 1e-9
-    pairs = lt.join(rt, [block, "ch", "occ"]).where(fits).select(block, left_name, right_name).distinct()
+    fits = 2.0 * short >= t * (F.length(left_name) + F.length(right_name)) - 1e-9
+    pairs = (tokens(lg, left_name).join(tokens(rg, right_name), [block, "q", "tok", "occ"]).where(fits)
+             .select(block, left_name, right_name).distinct())
     return (pairs.withColumn("score", indel_ratio(C(left_name), C(right_name)))
-            .where(C("score") >= threshold))
+            .where(C("score") >= t - 1e-12))

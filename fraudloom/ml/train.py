@@ -117,7 +117,7 @@ def cross_validate(df: DataFrame, key: str, label: str, fit: Fit, folds: int = 1
         model = fit(split.where(C("fold") != k).drop("fold"))
         t1 = time.perf_counter()
         scored = probability(model, split.where(C("fold") == k)).select(C(label).alias("ytrue"), "score").persist()
-        m = group_metrics(curve_counts(scored)).first()
+        m = group_metrics(curve_counts(scored, keep=False)).first()
         scored.unpersist()
         rows.append((k, m.auc_pr, m.auc_roc, t1 - t0, time.perf_counter() - t1))
     return df.sparkSession.createDataFrame(
@@ -176,7 +176,7 @@ def eliminate_features(df: DataFrame, key: str, label: str, names: Sequence[str]
     while True:
         models: list = []
         oof = out_of_fold(df, key, label, _slice_fit(label, left, **tree_params), folds, timings=models).persist()
-        ap = average_precision(curve_counts(oof, groups=["fold"]), ["fold"])
+        ap = average_precision(curve_counts(oof, groups=["fold"], keep=False), ["fold"])
         m = ap.agg(F.avg("auc_pr").alias("m"), F.stddev_samp("auc_pr").alias("s")).first()
         rows.append((len(left), m.m, m.s))
         oof.unpersist()
@@ -262,7 +262,7 @@ def permutation_importance(model, df: DataFrame, key: str, label: str, features:
                         array_to_vector("x").alias(model.getFeaturesCol()))
     scored = model.transform(shuffled.unionByName(plain)).select(
         "rep", "f", "ytrue", vector_to_array("probability")[1].alias("score")).persist()
-    ap = average_precision(curve_counts(scored, groups=["rep", "f"]), ["rep", "f"]).persist()
+    ap = average_precision(curve_counts(scored, groups=["rep", "f"], keep=False), ["rep", "f"]).persist()
     whole = ap.where(C("f") == -1).select("auc_pr").scalar()
     labels = F.array(*[F.lit(n) for n in names])
     return ap.where(C("f") >= 0).groupBy("f").agg((whole - F.avg("auc_pr")).alias("importance")).select(
@@ -283,8 +283,9 @@ def learning_curve(df: DataFrame, key: str, label: str, fit: Fit, folds: int = 3
             took = time.perf_counter() - t0
             aps = []
             for side in (part, split.where(C("fold") == k)):
-                s = probability(model, side).select(C(label).alias("ytrue"), "score")
-                aps.append(average_precision(curve_counts(s)).first()[0])
+                s = probability(model, side).select(C(label).alias("ytrue"), "score").persist()
+                aps.append(average_precision(curve_counts(s, keep=False)).first()[0])
+                s.unpersist()
             got.append((share, *aps, took))
         rows += got
     runs = df.sparkSession.createDataFrame(rows, "share double, train_ap double, valid_ap double, fit_time double")

@@ -8,7 +8,6 @@ each cut. All curves and areas are plain column arithmetic on that table.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -18,14 +17,22 @@ C = F.col
 
 
 def curve_counts(scores: DataFrame, score: str = "score", label: str = "ytrue",
-                 groups: Sequence[str] = (), weight: str | None = None) -> DataFrame:
-    """One row per (group, distinct score): pos, neg at the score, tp, fp at or above it, totals p, n."""
+                 groups: Sequence[str] = (), weight: str | None = None, keep: bool = True) -> DataFrame:
+    """One row per (group, distinct score): pos, neg at the score, tp, fp at or above it, totals p, n.
+
+    ``keep`` caches the per-score counts, so that the source is read once although
+    the bucket borders need a pass of their own; pass False when the scores are cached.
+    """
     rows = scores.where(C(score).isNotNull() & C(label).isNotNull())
     w: Column = F.lit(1) if weight is None else C(weight)
     per_score = rows.groupBy(*groups, C(score).cast("double").alias("score")).agg(
         F.sum(F.when(C(label) == 1, w).otherwise(F.lit(0))).alias("pos"),
         F.sum(F.when(C(label) == 1, F.lit(0)).otherwise(w)).alias("neg"))
-    cuts = cut_points(rows, score, bucket_count(rows))
+    if keep:
+        per_score = per_score.persist()
+        cuts = cut_points(per_score, "score", bucket_count(rows))
+    else:
+        cuts = cut_points(rows, score, bucket_count(rows))
     out = running_sums(per_score, "score", ["pos", "neg"], groups, ascending=False, cuts=cuts)
     return out.select(*groups, "score", "pos", "neg",
                       C("pos_upto").alias("tp"), C("neg_upto").alias("fp"),
@@ -215,6 +222,3 @@ def cv_summary(metrics: DataFrame, metric: str, groups: Sequence[str] = ()) -> D
     return metrics.groupBy(*groups).agg(F.avg(metric).alias(f"{metric}_cv_mean"),
                                         F.stddev_samp(metric).alias(f"{metric}_cv_std"))
 
-
-def all_of(conds: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: a & b, conds)

@@ -12,8 +12,6 @@ from collections.abc import Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .skew import join_null_safe
-
 MAX_BUCKETS = 1024
 
 
@@ -49,8 +47,10 @@ def running_sums(df: DataFrame, order: str, sums: Sequence[str], groups: Sequenc
     """
     if cuts is None:
         cuts = cut_points(df, order)
-    keys = [*groups, "_bkt"]
-    base = with_bucket(df, order, cuts)
+    # one struct key: never null itself, and its null fields compare as equal
+    group = F.struct(*groups) if groups else F.lit(0)
+    base = with_bucket(df, order, cuts).withColumn("_g", group)
+    keys = ["_g", "_bkt"]
     if tie is not None:
         # a value equal to its own lower cut point may be a hot one: give it buckets of its own
         tie_cuts = cut_points(df, tie, 16)
@@ -67,16 +67,17 @@ def running_sums(df: DataFrame, order: str, sums: Sequence[str], groups: Sequenc
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     rows = base.withColumns({f"_in_{c}": F.sum(c).over(inner) for c in sums})
     totals = base.groupBy(*keys).agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
-    per_group = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
+    per_group = Window.partitionBy("_g")
     before = per_group.orderBy(way("_bkt")).rowsBetween(Window.unboundedPreceding, -1)
     # at most one row per (group, bucket): the windows below are small
     offsets = totals.select(
         *keys,
         *[F.coalesce(F.sum(f"_t_{c}").over(before), F.lit(0)).alias(f"_off_{c}") for c in sums],
         *[F.sum(f"_t_{c}").over(per_group).alias(f"{c}_all") for c in sums])
-    out = join_null_safe(rows, offsets, keys)
+    # the rows are already partitioned and sorted by the join keys for the window above
+    out = rows.join(offsets, keys)
     return (out.withColumns({f"{c}_upto": F.col(f"_off_{c}") + F.col(f"_in_{c}") for c in sums})
-            .drop("_bkt", *[f"_off_{c}" for c in sums], *[f"_in_{c}" for c in sums]))
+            .drop("_bkt", "_g", *[f"_off_{c}" for c in sums], *[f"_in_{c}" for c in sums]))
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: dict[str, float], groups: Sequence[str] = ()) -> DataFrame:

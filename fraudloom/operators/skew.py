@@ -5,17 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 #: a key with more than 1/HOT_SHARE of all rows is hot, so fewer than HOT_SHARE keys can be
 HOT_SHARE = 2000
 
 
-def same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Null-safe equality on all keys."""
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
-
-
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join on keys where null equals null; the key columns come from the left side."""
     renamed = right.withColumnsRenamed({k: f"__{k}" for k in keys})
@@ -42,5 +37,7 @@ def join_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str], count: str
     return hot_rows.unionByName(cold_rows)
 
 
-def bucket_column(hash_of: Column, n: int) -> Column:
-    return F.pmod(F.xxhash64(hash_of), F.lit(n))
+def join_unique(df: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join with a side that has one row per key, where keys may be hot in ``df``."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return join_stats(df, right.join(counts, list(keys)), keys, "_n").drop("_n")

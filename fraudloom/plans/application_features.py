@@ -22,13 +22,12 @@ GESTALT_PAIRS = (("p_first_name", "tcr_contact_firstname", "p_tcr_ft_difflib_fir
 
 
 def application_features(payloads: DataFrame, zip_offsets: DataFrame, high_risk: DataFrame | None = None,
-                         tmx_keys: Sequence[str] = (), final_features: Sequence[str] | None = None,
-                         name_matches: bool = True) -> DataFrame:
+                         tmx_keys: Sequence[str] = (), final_features: Sequence[str] | None = None) -> DataFrame:
     """Query-string columns, risk flag, name matches, local time, e-mail length, distances, contract projection.
 
     ``zip_offsets`` (a_zip, tz_offset) and ``high_risk`` (a_zip) are tables; Spark
-    broadcasts them when they are small enough. ``name_matches=False`` scores
-    names in place (needed on streams, where distinct pairs cannot be joined back).
+    broadcasts them when they are small enough. Everything else is one projection,
+    so the same plan runs on a stream.
     """
     df = text.kv_expand(payloads, "tmx_raw", tmx_keys) if "tmx_raw" in payloads.columns else payloads
     if high_risk is not None:
@@ -36,13 +35,8 @@ def application_features(payloads: DataFrame, zip_offsets: DataFrame, high_risk:
     have = set(df.columns)
     pairs = [p for p in NAME_PAIRS if {p[0], p[1]} <= have]
     gestalt = [p for p in GESTALT_PAIRS if {p[0], p[1]} <= have]
-    if name_matches:
-        df = text.match_scores(df, pairs, "indel", unquote=("a_tcr_ft_address_match",))
-        df = text.match_scores(df, gestalt, "gestalt")
-    else:
-        for a, b, out in pairs:
-            score = text.indel_ratio(F.lower(a), F.lower(b))
-            df = df.withColumn(out, F.when(C(a).isNotNull() & (F.length(b) > 0), score).otherwise(F.lit(-1.0)))
+    df = text.match_scores(df, pairs, "indel", unquote=("a_tcr_ft_address_match",))
+    df = text.match_scores(df, gestalt, "gestalt")
     df = relational.lookup_default(df, zip_offsets, "a_zip", "tz_offset", 0)
     df = df.withColumn("ca_ft_created_at_tz_adj", dates.tz_adjust(C("ca_created_at"), C("tz_offset")))
     df = df.drop("ca_created_at", "tz_offset")

@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.curves import group_metrics
-from ..operators.prefix import cut_points, with_bucket
+from ..operators.prefix import running_sums
 
 C = F.col
+REPORT_POINTS = 10_000
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
@@ -31,14 +32,14 @@ def write_metrics(df: DataFrame, path: str) -> None:
 def evaluation_report(counts: DataFrame) -> DataFrame:
     """JSON documents (part, json): part 0 the areas, parts 1.. the curve points in descending score order.
 
-    Each curve part holds one score range, so the report keeps every point and
+    A curve part holds REPORT_POINTS points, so the report keeps every point and
     no document grows with the data.
     """
     head = group_metrics(counts).select(F.lit(0).alias("part"), F.to_json(F.struct(
         C("auc_pr").alias("average_precision"), C("auc_roc").alias("roc_auc"),
         C("total_applications").alias("applications"), C("actual_fraud").alias("fraud"))).alias("json"))
-    cuts = cut_points(counts, "score")
-    points = with_bucket(counts, "score", cuts).withColumn("part", F.lit(len(cuts) + 1) - C("_bkt"))
+    placed = running_sums(counts.withColumn("one", F.lit(1)), "score", ["one"], ascending=False)
+    points = placed.withColumn("part", F.floor((C("one_upto") - 1) / REPORT_POINTS).cast("int") + 1)
     point = F.struct((-C("score")).alias("o"), C("score").alias("threshold"), F.try_divide("fp", "n").alias("fpr"),
                      F.try_divide("tp", "p").alias("tpr"), (C("tp") / (C("tp") + C("fp"))).alias("precision"))
     packed = points.groupBy("part").agg(F.array_sort(F.collect_list(point)).alias("c"))
@@ -52,7 +53,7 @@ def evaluation_report(counts: DataFrame) -> DataFrame:
 
 
 def write_report(report: DataFrame, path: str) -> None:
-    report.write.mode("overwrite").partitionBy("part").text(path)
+    report.write.mode("overwrite").json(path)
 
 
 def score_response(app_id: Column, proba: Column, model: str = "model_v1") -> Column:
@@ -71,5 +72,6 @@ def materialise_windows(windows: DataFrame, path: str) -> DataFrame:
     """Write prepared windows once, partitioned by window_end; later calls reuse the files."""
     spark = windows.sparkSession
     if not _exists(spark, path):
-        windows.write.mode("overwrite").partitionBy("window_end").parquet(path)
+        # rebalancing gathers a window's rows into few files and splits a hot window again
+        windows.hint("rebalance", "window_end").write.mode("overwrite").partitionBy("window_end").parquet(path)
     return spark.read.parquet(path)
