@@ -211,13 +211,11 @@ def filter_scored(spark, sf):
     return rounded(rel.filter_scored(scored(spark, sf)).select("ca_id", "fm_5_score"), "fm_5_score")
 
 
-_EMAIL = F.concat("c_name", F.lit("@"), F.lower("partner"), F.lit(".com"))
-
-
 @query("search_email", f"""WITH {APPS} SELECT ca_id, c_name || '@' || lower(partner) || '.com' AS email FROM apps
   WHERE c_name || '@' || lower(partner) || '.com' = 'Customer#000000001@machinery.com'""")
 def search_email(spark, sf):
-    df = applications(spark, sf).select("ca_id", _EMAIL.alias("email"))
+    df = applications(spark, sf).select(
+        "ca_id", F.concat("c_name", F.lit("@"), F.lower("partner"), F.lit(".com")).alias("email"))
     return rel.search_exact(df, "email", "Customer#000000001@machinery.com")
 
 

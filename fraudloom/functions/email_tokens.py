@@ -56,6 +56,6 @@ def similar_tokens(vectors: DataFrame, min_similarity: float) -> DataFrame:
 def most_similar(vectors: DataFrame, token: str, top: int = 4) -> DataFrame:
     """The ``top`` tokens closest to one token."""
     q = vectors.where(C("token") == token).agg(F.first("vec")).scalar()
-    cos = F.aggregate(F.zip_with("vec", q, lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
-    return (vectors.where(C("token") != token).select("token", cos.alias("similarity"))
+    cos = F.aggregate(F.zip_with("vec", "_q", lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
+    return (vectors.where(C("token") != token).withColumn("_q", q).select("token", cos.alias("similarity"))
             .orderBy(C("similarity").desc(), "token").limit(top))
