@@ -82,7 +82,21 @@ def _names(spark, sf):
         F.when(C("c_custkey") % 11 == 0, F.lit("")).otherwise(C("tcr_contact_lastname")).alias("tcr_contact_lastname"))
 
 
-@query("match_scores_indel")
+def _lcs_sql(source):
+    """Recursive table of LCS rows: the next row is the running maximum of stay and match moves."""
+    return f"""dp(a, b, i, r) AS (SELECT a, b, 0, list_transform(range(0, CAST(length(b) AS BIGINT) + 1), lambda x: CAST(0 AS BIGINT)) FROM {source}
+    UNION ALL SELECT a, b, i + 1, list_prepend(CAST(0 AS BIGINT), list_transform(range(1, CAST(length(b) AS BIGINT) + 1), lambda j: list_max(list_transform(
+      range(1, j + 1), lambda t: greatest(r[t + 1], CASE WHEN substr(a, i + 1, 1) = substr(b, t, 1) THEN r[t] + 1 ELSE 0 END)))))
+    FROM dp WHERE i < length(a)),
+  lcs AS (SELECT a, b, 2.0e0 * r[length(b) + 1] / (length(a) + length(b)) AS ratio FROM dp WHERE i = length(a))"""
+
+
+@query("match_scores_indel", f"""WITH RECURSIVE pick AS (SELECT s_nationkey, MIN(s_name) AS s FROM supplier GROUP BY 1),
+  nm AS (SELECT c_custkey, c_name AS p_last_name, CASE WHEN c_custkey % 11 = 0 THEN '' ELSE s END AS tcr_contact_lastname
+    FROM customer LEFT JOIN pick ON c_nationkey = s_nationkey),
+  prs AS (SELECT DISTINCT lower(p_last_name) AS a, lower(tcr_contact_lastname) AS b FROM nm WHERE length(tcr_contact_lastname) > 0),
+  {_lcs_sql('prs')} SELECT c_custkey, p_last_name, tcr_contact_lastname, {q6('COALESCE(ratio, -1)')} AS score FROM nm
+  LEFT JOIN lcs ON a = lower(p_last_name) AND b = lower(tcr_contact_lastname)""")
 def match_scores_indel(spark, sf):
     return rounded(text.match_scores(_names(spark, sf), [("p_last_name", "tcr_contact_lastname", "score")]), "score")
 
@@ -92,7 +106,10 @@ def match_scores_gestalt(spark, sf):
     return rounded(text.match_scores(_names(spark, sf), [("p_last_name", "tcr_contact_lastname", "score")], "gestalt"), "score")
 
 
-@query("candidate_match_join")
+@query("candidate_match_join", f"""WITH RECURSIVE nms AS (SELECT DISTINCT p_brand, lower(p_name) AS v FROM part),
+  prs AS (SELECT DISTINCT x.v AS a, y.v AS b FROM nms x JOIN nms y ON x.p_brand = y.p_brand AND x.v < y.v), {_lcs_sql('prs')}
+  SELECT x.p_brand, x.v AS left_name, y.v AS right_name, {q6('ratio')} AS score FROM nms x JOIN nms y ON x.p_brand = y.p_brand
+  JOIN lcs ON a = x.v AND b = y.v WHERE ratio >= 0.75""")
 def candidate_match_join(spark, sf):
     p = tbl(spark, sf, "part")
     out = text.candidate_match_join(p.select("p_brand", C("p_name").alias("left_name")),
@@ -375,12 +392,21 @@ def impute_numeric(spark, sf):
     return rounded(model.transform(df), "amount", digits=3)
 
 
-@query("impute_knn")
+_DIMS = 6
+
+
+@query("impute_knn", "WITH e AS (SELECT vec_id, CASE WHEN vec_id % 10 <> 0 THEN CAST(vec_id % 97 AS DOUBLE) END AS t, "
+       + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS f{i}" for i in range(_DIMS)) + " FROM embeddings), z AS (SELECT vec_id, t, ["
+       + ", ".join(f"(f{i} - AVG(f{i}) OVER ()) / stddev_pop(f{i}) OVER ()" for i in range(_DIMS)) + """] AS v FROM e),
+  nn AS (SELECT q.vec_id, d.t, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.v, d.v), d.vec_id) AS r
+    FROM z q JOIN z d ON q.t IS NULL AND d.t IS NOT NULL)
+  SELECT z.vec_id, """ + q6("COALESCE(z.t, m)") + """ AS t FROM z LEFT JOIN (SELECT vec_id, AVG(t) AS m FROM nn WHERE r <= 5 GROUP BY 1) f ON z.vec_id = f.vec_id""")
 def impute_knn_query(spark, sf):
-    p = tbl(spark, sf, "part").select(
-        "p_partkey", C("p_size").cast("double").alias("p_size"),
-        F.when(C("p_partkey") % 10 != 0, C("p_retailprice")).alias("price"), F.length("p_name").cast("double").alias("w"))
-    return rounded(impute_knn(p, "p_partkey", "price", ["p_size", "w"], 5), "price")
+    names = [f"f{i}" for i in range(_DIMS)]
+    e = tbl(spark, sf, "embeddings").select(
+        "vec_id", F.when(C("vec_id") % 10 != 0, (C("vec_id") % 97).cast("double")).alias("t"),
+        *[C("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)])
+    return rounded(impute_knn(e, "vec_id", "t", names, 5).select("vec_id", "t"), "t")
 
 
 @query("impute_categorical", f"WITH {SPARSE_SQL} SELECT o_orderkey, COALESCE(priority, 'Missing') AS priority FROM sparse")

@@ -55,7 +55,7 @@ def train_model(spark, sf):
     return rounded(train.probability(model, df).select("ca_id", "score"), "score")
 
 
-@query("save_load_model")
+@query("save_load_model", "SELECT COUNT(*) AS rows, CAST(0 AS DOUBLE) AS largest_gap FROM orders JOIN customer ON o_custkey = c_custkey")
 def save_load_model(spark, sf):
     df = training_rows(spark, sf)
     model = _fit()(df)

@@ -82,13 +82,24 @@ def write_metrics(spark, sf):
     return readers.read_csv(spark, path, "partner string, applications bigint, fraud bigint")
 
 
-@query("evaluation_report")
+@query("evaluation_report", f"""WITH {SCORED}, {curve_sql('scored')} SELECT 0 AS part, NULL AS threshold, {q6(AP)} AS a, {q6(AUC)} AS b,
+    CAST(COUNT(*) AS DOUBLE) AS c FROM cum
+  UNION ALL SELECT CAST((row_number() OVER (ORDER BY score DESC) - 1) // 10000 AS INTEGER) + 1, {q6('score')}, {q6('fp / n')}, {q6('tp / p')},
+    {q6('tp / (tp + fp)')} FROM cum""")
 def evaluation_report(spark, sf):
-    s = scored(spark, sf).withColumn("score", F.round("score", 3))
-    report = writers.evaluation_report(curves.curve_counts(s))
+    """The report is written, read back and unpacked: areas in part 0, then every curve point with its part."""
+    counts = curves.curve_counts(scored(spark, sf))
     path = scratch_path(spark, "report")
-    writers.write_report(report, path)
-    return spark.read.schema("part int, json string").json(path)
+    writers.write_report(writers.evaluation_report(counts), path)
+    docs = spark.read.schema("part int, json string").json(path)
+    series = "threshold array<double>, fpr array<double>, tpr array<double>, precision array<double>"
+    points = docs.where("part > 0").select("part", F.from_json("json", series).alias("j")).select(
+        "part", F.explode(F.arrays_zip("j.threshold", "j.fpr", "j.tpr", "j.precision")).alias("p")).select(
+        "part", r6("p.threshold").alias("threshold"), r6("p.fpr").alias("a"), r6("p.tpr").alias("b"), r6("p.precision").alias("c"))
+    head = docs.where("part = 0").select("part", F.from_json("json", "average_precision double, roc_auc double").alias("j")).select(
+        "part", F.lit(None).cast("double").alias("threshold"), r6("j.average_precision").alias("a"), r6("j.roc_auc").alias("b"),
+        counts.agg(F.count(F.lit(1)).cast("double")).scalar().alias("c"))
+    return head.unionByName(points)
 
 
 @query("score_response", f"""WITH {SCORED} SELECT ca_id, '{{"keyAttributes":{{"scores":{{"model_v1":{{"probability_fraud":' ||
@@ -489,10 +500,17 @@ def stratified_fold(spark, sf):
     return cv_scores(spark, sf).select("ca_id", "fold")
 
 
-@query("dense_node_id")
+@query("dense_node_id", f"""WITH {IDENTITY_SQL} SELECT DISTINCT 'customer' AS kind, CAST(user_id AS VARCHAR) AS value, 1 AS ids, 1 AS owners FROM ident
+  UNION ALL SELECT DISTINCT 'device', device, 1, 1 FROM ident""")
 def dense_node_id(spark, sf):
+    """Every node has one id and every id one node (hash ids cannot be compared across engines)."""
     e = identity_rows(spark, sf)
-    return graph.node_table(e, {"customer": "user_id", "device": "device"})
+    nodes = graph.node_table(e, {"customer": "user_id", "device": "device"})
+    again = e.select(graph.dense_node_id("device", C("device")).alias("node_id")).distinct()
+    again = again.union(e.select(graph.dense_node_id("customer", C("user_id"))).distinct())
+    owners = nodes.groupBy("node_id").agg(F.count(F.lit(1)).alias("owners"))
+    ids = nodes.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("ids"))
+    return nodes.join(again, "node_id").join(owners, "node_id").join(ids, ["kind", "value"]).select("kind", "value", "ids", "owners")
 
 
 @query("period_windows", _WINDOWS + " SELECT ca_id, window_no, CAST(window_end AS VARCHAR) AS window_end FROM win")
