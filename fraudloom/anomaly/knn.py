@@ -11,6 +11,8 @@ copies.
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
@@ -110,15 +112,17 @@ def knn_table(queries: DataFrame, k: int, donors: DataFrame | None = None, seed:
     skip_self = donors is None
     take = k + 1 if skip_self else k
     left_rows = queries.select("id", "window", "vec")
-    left_set = _distinct(left_rows, k).persist()
-    right_set = left_set if skip_self else _distinct(donors.select("id", "window", "vec"), k).persist()
+    # each step is written once: later steps read files instead of repeating it, also after a lost executor
+    left_set = settle(_distinct(left_rows, k), "distinct")
+    right_set = left_set if skip_self else settle(_distinct(donors.select("id", "window", "vec"), k), "distinct")
     pivots = _pivots(right_set, seed)
     if not len(pivots):
         return left_rows.select("window", "id", F.lit(None).cast("bigint").alias("nbr"),
                                 F.lit(None).cast("double").alias("dist"), F.lit(1).alias("rank")).where(F.lit(False))
-    right = _blocks(_assign(right_set, pivots)).persist()
-    left = right if skip_self else _blocks(_assign(left_set, pivots)).persist()
-    gap = F.lit([[float(x) for x in r] for r in np.sqrt(((pivots[:, None, :] - pivots[None, :, :]) ** 2).sum(axis=2))])
+    right = settle(_blocks(_assign(right_set, pivots)), "blocks")
+    left = right if skip_self else settle(_blocks(_assign(left_set, pivots)), "blocks")
+    between = np.sqrt(((pivots[:, None, :] - pivots[None, :, :]) ** 2).sum(axis=2))
+    gap = F.from_json(F.lit(json.dumps(between.tolist())), "array<array<double>>")
 
     # block level only: one row per block of about BLOCK distinct vectors
     lm = left.select("window", C("block").alias("lb"), C("cell").alias("lc"), C("radius").alias("lr"))
@@ -136,7 +140,7 @@ def knn_table(queries: DataFrame, k: int, donors: DataFrame | None = None, seed:
     found = work.mapInPandas(_compare(take), "window string, rep bigint, nbr bigint, dist double")
     best = Window.partitionBy("window", "rep").orderBy("dist", "nbr")
     top = found.withColumn("_r", F.row_number().over(best)).where(C("_r") <= take)
-    lists = top.groupBy("window", "rep").agg(F.array_sort(F.collect_list(F.struct("dist", "nbr"))).alias("nb"))
+    lists = settle(top.groupBy("window", "rep").agg(F.array_sort(F.collect_list(F.struct("dist", "nbr"))).alias("nb")), "nearest")
     # hand the list to every copy of the vector
     known = left_set.select("window", "vec", C("id").alias("rep"), "n").join(lists, ["window", "rep"]).drop("rep")
     members = join_stats(left_rows, known, ["window", "vec"], "n")
@@ -144,10 +148,7 @@ def knn_table(queries: DataFrame, k: int, donors: DataFrame | None = None, seed:
     table = (members.select("window", "id", F.posexplode(F.slice(own, 1, k)).alias("_p", "_x"))
              .select("window", "id", C("_x.nbr").alias("nbr"), C("_x.dist").alias("dist"), (C("_p") + 1).alias("rank")))
     # the table feeds several later joins: written once instead of compared again
-    done = settle(table, "neighbours")
-    for cached in {left_set, right_set, left, right}:
-        cached.unpersist()
-    return done
+    return settle(table, "neighbours")
 
 
 def impute_knn(df: DataFrame, key: str, target: str, features: list[str], k: int = 5) -> DataFrame:
