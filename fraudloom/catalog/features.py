@@ -268,11 +268,11 @@ _GEO_OUT = {"tmx_ft_input_ip_true_ip_distance": ("ip", "tr"), "tmx_ss_ft_input_i
             "tmx_ss_ft_true_ip_address_distance": ("tr", "ss")}
 
 
-@query("geo_distance_features", f"WITH {APPS}, {_GEO} SELECT ca_id, CAST(NULL AS DOUBLE) AS tmx_tcr_ft_dns_ip_phone_distance, " + ", ".join(
+@query("geo_distance_features", f"WITH {APPS}, {_GEO} SELECT ca_id, CAST(NULL AS DOUBLE) AS tcr_tmx_ft_phone_dns_ip_distance, " + ", ".join(
     f"{q6(_HAV.format(*_PTS[a], *_PTS[b]), 4)} AS {name}" for name, (a, b) in _GEO_OUT.items()) + " FROM geo")
 def geo_distance_features(spark, sf):
     out = geo.geo_distance_features(_geo_rows(spark, sf))
-    return out.select("ca_id", "tmx_tcr_ft_dns_ip_phone_distance", *[r6(c, 4).alias(c) for c in _GEO_OUT])
+    return out.select("ca_id", "tcr_tmx_ft_phone_dns_ip_distance", *[r6(c, 4).alias(c) for c in _GEO_OUT])
 
 
 @query("clean_coordinates", """SELECT o_orderkey, o_orderkey % 90 + 0.5e0 AS tmx_raw_dns_ip_latitude,

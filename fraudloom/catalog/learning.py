@@ -122,7 +122,7 @@ def rfe_importance(spark, sf):
 @query("rfe_attribution")
 def rfe_attribution(spark, sf):
     data = _assembled(spark, sf)
-    return train.eliminate_features(data, "ca_id", "dep_var", train.feature_names(data), step=3, folds=2, importance="shapley",
+    return train.eliminate_features(data, "ca_id", "dep_var", train.feature_names(data), step=2, folds=2, importance="shapley",
                                     permutations=1, maxIter=2, maxDepth=2)
 
 

@@ -27,14 +27,24 @@ _POINTS = {
     "address": ("ss_lat", "ss_long"),
     "phone": ("tcr_location_coordinates_latitude", "tcr_location_coordinates_longitude"),
 }
-#: the twelve distances of an application and their column prefixes
-_DISTANCES = (
-    ("tmx_ft", "input_ip", "true_ip"), ("tmx_ss_ft", "input_ip", "address"), ("tmx_ss_ft", "true_ip", "address"),
-    ("tcr_ss_ft", "phone", "address"), ("tmx_tcr_ft", "true_ip", "phone"), ("tmx_ss_ft", "dns_ip", "address"),
-    ("tmx_ft", "proxy_ip", "dns_ip"), ("tmx_ft", "input_ip", "proxy_ip"), ("tmx_tcr_ft", "input_ip", "phone"),
-    ("tmx_ss_ft", "proxy_ip", "address"), ("tmx_tcr_ft", "proxy_ip", "phone"), ("tmx_tcr_ft", "dns_ip", "phone"),
-)
-DISTANCE_PAIRS = tuple((*_POINTS[a], *_POINTS[b], f"{pre}_{a}_{b}_distance") for pre, a, b in _DISTANCES)
+#: fixed values that results must share: the twelve output columns and the two sources each one compares
+_DISTANCES = {
+    "tmx_ft_input_ip_true_ip_distance": ("input_ip", "true_ip"),
+    "tmx_ss_ft_input_ip_address_distance": ("address", "input_ip"),
+    "tmx_ss_ft_true_ip_address_distance": ("address", "true_ip"),
+    "ss_tcr_ft_address_phone_distance": ("address", "phone"),
+    "tcr_tmx_ft_phone_true_ip_distance": ("phone", "true_ip"),
+    "ss_tmx_ft_address_dns_ip_distance": ("address", "dns_ip"),
+    "tmx_ft_proxy_ip_dns_ip_distance": ("proxy_ip", "dns_ip"),
+    "tmx_ft_proxy_ip_input_ip_distance": ("proxy_ip", "input_ip"),
+    "tcr_tmx_ft_phone_input_ip_distance": ("phone", "input_ip"),
+    "ss_tmx_ft_address_proxy_ip_distance": ("address", "proxy_ip"),
+    "tcr_tmx_ft_phone_proxy_ip_distance": ("phone", "proxy_ip"),
+    "tcr_tmx_ft_phone_dns_ip_distance": ("phone", "dns_ip"),
+}
+#: outputs whose second point once had latitude and longitude exchanged
+SWAPPED = ("tcr_tmx_ft_phone_input_ip_distance", "tcr_tmx_ft_phone_dns_ip_distance")
+DISTANCE_PAIRS = tuple((*_POINTS[a], *_POINTS[b], name) for name, (a, b) in _DISTANCES.items())
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
@@ -43,11 +53,17 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     return EARTH_KM * 2 * F.atan2(F.sqrt(h), F.sqrt(1 - h))
 
 
-def geo_distance_features(df: DataFrame, pairs: Sequence[tuple] = DISTANCE_PAIRS) -> DataFrame:
-    """All distances in one projection; a missing source column gives a null column."""
+def geo_distance_features(df: DataFrame, pairs: Sequence[tuple] = DISTANCE_PAIRS, compat_swap: bool = False) -> DataFrame:
+    """All distances in one projection; a missing source column gives a null column.
+
+    ``compat_swap`` exchanges latitude and longitude of the second point for the outputs in SWAPPED,
+    for models fitted on such values.
+    """
     have = set(df.columns)
     out = {}
     for lat1, lon1, lat2, lon2, name in pairs:
+        if compat_swap and name in SWAPPED:
+            lat2, lon2 = lon2, lat2
         if {lat1, lon1, lat2, lon2} <= have:
             out[name] = haversine_km(C(lat1), C(lon1), C(lat2), C(lon2))
         else:

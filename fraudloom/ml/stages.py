@@ -15,8 +15,11 @@ from pyspark.ml.util import (DefaultParamsReadable, DefaultParamsReader, Default
                              MLReadable, MLReader, MLWritable, MLWriter)
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..anomaly.knn import knn_table
 from ..functions import dates, missing, text
 from ..operators import encode, relational
+from ..operators.skew import join_unique
+from ..session import settle
 
 C = F.col
 HOT_LEVELS = 200
@@ -114,6 +117,13 @@ class CategoricalImputer(_Stage):
         return missing.impute_categorical(df, self.settings["columns"])
 
 
+class HashEncoder(_Stage):
+    """columns, n: counts of column=level tokens in n hashed components."""
+
+    def _transform(self, df):
+        return encode.hash_encode(df, self.settings["columns"], self.settings["n"])
+
+
 class _Fitted(_Configured, Model, DefaultParamsReadable, DefaultParamsWritable):
     pass
 
@@ -212,11 +222,22 @@ class LevelEncoder(_Configured, Estimator, DefaultParamsReadable, DefaultParamsW
         return model
 
 
-class LevelEncoderModel(_Configured, Model, MLReadable, MLWritable):
-    """The most frequent levels are a literal map; only longer level lists need a join."""
+class _TableModel(_Configured, Model, MLReadable, MLWritable):
+    """A fitted stage that may hold a table (``cold``), saved as parquet beside its settings."""
 
     cold: DataFrame | None = None
 
+    def write(self):
+        return _TableWriter(self)
+
+    @classmethod
+    def read(cls):
+        return _TableReader(cls)
+
+
+class LevelEncoderModel(_TableModel):
+    """The most frequent levels are a literal map; only longer level lists need a join."""
+
     def _transform(self, df):
         s = self.settings
         for c in s["columns"]:
@@ -235,15 +256,46 @@ class LevelEncoderModel(_Configured, Model, MLReadable, MLWritable):
                 df = df.withColumn(c, F.coalesce(value, rest))
         return df
 
-    def write(self):
-        return _LevelWriter(self)
 
-    @classmethod
-    def read(cls):
-        return _LevelReader(cls)
+class KnnImputer(_Configured, Estimator, DefaultParamsReadable, DefaultParamsWritable):
+    """columns, key, k: a null takes the mean of the k nearest fitted rows that have the value.
+
+    Distances use the other columns, scaled and mean-filled with the fitted statistics.
+    """
+
+    def _fit(self, df):
+        s = self.settings
+        cols = s["columns"]
+        row = df.agg(*[a for c in cols for a in (F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}"))]).first()
+        model = KnnImputerModel(columns=cols, key=s["key"], k=s.get("k", 5), long=True,
+                                mean={c: row[f"m_{c}"] or 0.0 for c in cols}, dev={c: row[f"s_{c}"] or 1.0 for c in cols})
+        model.cold = settle(df.select(s["key"], *[C(c).cast("double").alias(c) for c in cols]), "donors")
+        return model
+
+
+class KnnImputerModel(_TableModel):
+    def _vectors(self, df, target):
+        s = self.settings
+        others = [c for c in s["columns"] if c != target]
+        z = [(F.coalesce(C(c).cast("double"), F.lit(s["mean"][c])) - s["mean"][c]) / s["dev"][c] for c in others]
+        return df.select(C(s["key"]).alias("id"), F.lit("all").alias("window"), F.array(*z).alias("vec"), C(target).alias("_t"))
+
+    def _transform(self, df):
+        s, key = self.settings, self.settings["key"]
+        fills = {}
+        for c in s["columns"]:
+            open_rows = self._vectors(df, c).where(C("_t").isNull())
+            if len(s["columns"]) > 1 and not open_rows.isEmpty():
+                donors = self._vectors(self.cold, c).where(C("_t").isNotNull())
+                values = donors.select(C("id").alias("nbr"), "_t")
+                nbrs = knn_table(open_rows, s["k"], donors)
+                fills[c] = join_unique(nbrs, values, ["nbr"]).groupBy(C("id").alias(key)).agg(F.avg("_t").alias(f"_f_{c}"))
+        for c, fill in fills.items():
+            df = df.join(fill, key, "left").withColumn(c, F.coalesce(C(c).cast("double"), C(f"_f_{c}"))).drop(f"_f_{c}")
+        return df
 
 
-class _LevelWriter(MLWriter):
+class _TableWriter(MLWriter):
     def __init__(self, instance):
         super().__init__()
         self.instance = instance
@@ -254,7 +306,7 @@ class _LevelWriter(MLWriter):
             self.instance.cold.write.parquet(f"{path}/cold")
 
 
-class _LevelReader(MLReader):
+class _TableReader(MLReader):
     def __init__(self, cls):
         super().__init__()
         self.cls = cls

@@ -17,31 +17,46 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from ..functions.geo import unscale_score
 from ..operators.curves import average_precision, curve_counts, group_metrics
 from ..operators.relational import hash_bucket, stratified_fold
+from ..sources.writers import write_table
 from . import stages
 
 C = F.col
 
 #: names accepted as preprocess choices
-IMPUTERS = ("mean", "constant", "none")
-ENCODERS = ("woe", "target", "james_stein", "ordered")
+IMPUTERS = ("mean", "constant", "knn", "none")
+ENCODERS = ("woe", "target", "hash", "james_stein", "ordered")
 SCALERS = ("standard", "minmax", "robust", "none")
 
 
 def preprocess_by_type(df: DataFrame, label: str, exclude: Sequence[str] = (), imputer: str = "mean",
                        encoder: str = "woe", scaler: str = "standard", tol: float = 0.0017,
-                       n_categories: int = 3, output: str = "features") -> list:
-    """Stages chosen from the schema: numbers are imputed and scaled, strings imputed, folded and encoded."""
+                       n_categories: int = 3, output: str = "features", key: str | None = None,
+                       hash_size: int = 8, neighbours: int = 5) -> list:
+    """Stages chosen from the schema: numbers are imputed and scaled, strings imputed, folded and encoded.
+
+    The ``knn`` imputer needs the unique ``key`` column of the rows.
+    """
+    for name, value, known in (("imputer", imputer, IMPUTERS), ("encoder", encoder, ENCODERS), ("scaler", scaler, SCALERS)):
+        if value not in known:
+            raise ValueError(f"unknown {name} {value!r}; choose one of {known}")
     skip = {label, *exclude}
     numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType) and f.name not in skip]
     categorical = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name not in skip]
     out = []
+    if numeric and imputer == "knn":
+        out.append(stages.KnnImputer(columns=numeric, key=key, k=neighbours))
     if numeric:
-        out.append(stages.NumericScaler(columns=numeric, fill=imputer, method=scaler))
+        out.append(stages.NumericScaler(columns=numeric, fill="mean" if imputer == "knn" else imputer, method=scaler))
+    encoded = categorical
     if categorical:
         out += [stages.CategoricalImputer(columns=categorical),
-                stages.LevelEncoder(columns=categorical, method="rare", tol=tol, n_categories=n_categories),
-                stages.LevelEncoder(columns=categorical, method=encoder, label=label)]
-    out.append(VectorAssembler(inputCols=[*numeric, *categorical], outputCol=output, handleInvalid="keep"))
+                stages.LevelEncoder(columns=categorical, method="rare", tol=tol, n_categories=n_categories)]
+        if encoder == "hash":
+            out.append(stages.HashEncoder(columns=categorical, n=hash_size))
+            encoded = [f"hash_{i}" for i in range(hash_size)]
+        else:
+            out.append(stages.LevelEncoder(columns=categorical, method=encoder, label=label))
+    out.append(VectorAssembler(inputCols=[*numeric, *encoded], outputCol=output, handleInvalid="keep"))
     return out
 
 
@@ -50,6 +65,13 @@ def boosted_trees(label: str, features: str = "features", **params) -> GBTClassi
     return GBTClassifier(labelCol=label, featuresCol=features, **settings)
 
 
+def boosting_params(max_depth: int = 5, learning_rate: float = 0.1, n_estimators: int = 20, subsample: float = 1.0,
+                    min_child_weight: int = 1, gamma: float = 0.0) -> dict:
+    """Common booster argument names as GBTClassifier params."""
+    return {"maxDepth": max_depth, "stepSize": learning_rate, "maxIter": n_estimators, "subsamplingRate": subsample,
+            "minInstancesPerNode": max(1, int(min_child_weight)), "minInfoGain": gamma}
+
+
 def train_model(df: DataFrame, label: str, front: Sequence = (), exclude: Sequence[str] = (),
                 choices: Mapping | None = None, **tree_params) -> PipelineModel:
     """Parse and feature stages, preprocess by type and boosted trees as one fitted object."""
@@ -166,23 +188,24 @@ def _slice_fit(label: str, names: Sequence[str], **tree_params) -> Fit:
 
 def eliminate_features(df: DataFrame, key: str, label: str, names: Sequence[str], step: int, folds: int = 5,
                        small_step: int | None = None, small_below: int = 200, importance: str = "tree",
-                       permutations: int = 2, **tree_params) -> DataFrame:
+                       permutations: int = 2, lists_path: str | None = None, **tree_params) -> DataFrame:
     """Recursive elimination: (num_features, auc_pr_cv_mean, auc_pr_cv_std).
 
     Each round cross-validates, averages the importance over folds and drops the
-    ``step`` least important features (``small_step`` once fewer than ``small_below``).
+    ``step`` least important features (``small_step`` once fewer than ``small_below``),
+    while more than ``step`` are left. With ``lists_path`` the ranked list of every
+    round is written as CSV.
     """
     spark, left, rows = df.sparkSession, list(names), []
-    while True:
+    while len(left) > step:
         models: list = []
         oof = out_of_fold(df, key, label, _slice_fit(label, left, **tree_params), folds, timings=models).persist()
         ap = average_precision(curve_counts(oof, groups=["fold"], keep=False), ["fold"])
         m = ap.agg(F.avg("auc_pr").alias("m"), F.stddev_samp("auc_pr").alias("s")).first()
         rows.append((len(left), m.m, m.s))
         oof.unpersist()
-        now = small_step if small_step and len(left) < small_below else step
-        if len(left) <= now:
-            break
+        if small_step and len(left) < small_below:
+            step = small_step
         mean = {f: 0.0 for f in left}
         for _, _, model in models:
             if importance == "tree":
@@ -193,7 +216,11 @@ def eliminate_features(df: DataFrame, key: str, label: str, names: Sequence[str]
             for f in left:
                 mean[f] += float(values.get(f, 0.0)) / len(models)
         order = sorted(left, key=lambda f: (mean[f], f))
-        dropped = set(order[:now])
+        if lists_path:
+            ranked = [(f, mean[f]) for f in reversed(order)]
+            write_table(spark.createDataFrame(ranked, "feature string, importance double").coalesce(1),
+                        f"{lists_path}/{len(left)}_features", "csv")
+        dropped = set(order[:step])
         left = [f for f in left if f not in dropped]
     return spark.createDataFrame(rows, "num_features int, auc_pr_cv_mean double, auc_pr_cv_std double")
 

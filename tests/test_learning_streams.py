@@ -112,3 +112,25 @@ def test_velocity_drops_late_rows_only(spark):
     push(5, "05")
     got = {str(r.window_start)[:10]: r.velocity for r in spark.read.parquet(out).collect()}
     assert got == {"2024-01-01": 2, "2024-01-03": 1}
+
+
+def test_knn_imputer_stage(spark):
+    rows = [(1, 0.0, 10.0), (2, 1.0, 20.0), (3, 50.0, 99.0), (4, 0.4, None), (5, None, 99.0)]
+    df = spark.createDataFrame(rows, "id bigint, x double, t double")
+    model = stages.KnnImputer(columns=["x", "t"], key="id", k=2).fit(df)
+    path = scratch_path(spark, "knn-imputer")
+    Pipeline(stages=[model]).fit(df).write().overwrite().save(path)
+    got = {r.id: (r.x, r.t) for r in PipelineModel.load(path).transform(df).collect()}
+    assert got[4] == (0.4, 15.0) and got[1] == (0.0, 10.0) and got[5][0] == pytest.approx(25.2)
+
+
+@pytest.mark.parametrize("encoder", train.ENCODERS)
+def test_every_encoder_choice_trains(spark, encoder):
+    df = _levels(spark, 400)
+    model = train.train_model(df, "y", exclude=["id"], choices={"encoder": encoder, "scaler": "robust"}, maxIter=1, maxDepth=2)
+    assert train.probability(model, df).where(C("score").isNull()).count() == 0
+
+
+def test_unknown_choice_is_refused(spark):
+    with pytest.raises(ValueError):
+        train.preprocess_by_type(_levels(spark, 5), "y", encoder="nope")
