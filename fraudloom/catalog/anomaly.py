@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 from ..anomaly import detectors, knn
 from ..operators import graph, relational as rel
 from ..plans import window_cost
-from ..session import scratch_path
-from .base import C, applications, q6, query, r6, rounded, scored, tbl
-from .tables import EDGES_SQL, IDENTITY_SQL, _LINE_EDGES, identity_rows, line_edges
+from .base import C, applications, q6, query, rounded, scored, tbl
+from .tables import EDGES_SQL, IDENTITY_SQL, _LINE_EDGES, _WINDOWS, identity_rows, line_edges
 
 
 def feature_rows(spark, sf):
@@ -64,7 +63,23 @@ def outlier_iforest(spark, sf):
     return rounded(detectors.outlier_iforest(feature_rows(spark, sf), trees=128), "raw")
 
 
-@query("outlier_lscp")
+_HBOS = """cells AS (SELECT id, "window", pos, vec[pos] AS x FROM rws, range(1, 65) r(pos)),
+  e AS (SELECT *, MIN(x) OVER w AS lo, MAX(x) OVER w AS hi, COUNT(*) OVER w AS n FROM cells WINDOW w AS (PARTITION BY "window", pos)),
+  b AS (SELECT *, least(9, floor((x - lo) / ((hi - lo) / 10))) AS bin FROM e),
+  h AS (SELECT *, COUNT(*) OVER (PARTITION BY "window", pos, bin) AS c FROM b),
+  hb AS (SELECT id, "window", SUM(-ln(c / (n * ((hi - lo) / 10)) + 0.1e0)) AS raw FROM h GROUP BY 1, 2)"""
+
+
+@query("outlier_lscp", f"""WITH {_knn_sql(20)}, {_HBOS}, n15 AS (SELECT * FROM nn WHERE rnk <= 15),
+  kd AS (SELECT id, MAX(dist) AS kdist FROM n15 GROUP BY id),
+  d AS (SELECT n15.id, 1.0e0 / AVG(greatest(kdist, dist)) AS lrd FROM n15 JOIN kd ON n15.nbr = kd.id GROUP BY n15.id),
+  s AS (SELECT id, "window", 'hbos' AS det, raw FROM hb UNION ALL SELECT id, "window", 'knn_15', AVG(dist) FROM n15 GROUP BY 1, 2
+    UNION ALL SELECT n15.id, n15."window", 'lof_15', AVG(o.lrd) / MAX(m.lrd) FROM n15 JOIN d o ON n15.nbr = o.id JOIN d m ON n15.id = m.id GROUP BY 1, 2),
+  z AS (SELECT id, "window", det, (raw - AVG(raw) OVER w) / stddev_pop(raw) OVER w AS z FROM s WINDOW w AS (PARTITION BY "window", det)),
+  zt AS (SELECT *, MAX(z) OVER (PARTITION BY id) AS target FROM z),
+  fit AS (SELECT nn.id, zt.det, corr(zt.z, zt.target) AS f FROM nn JOIN zt ON nn.nbr = zt.id GROUP BY 1, 2),
+  best AS (SELECT id, det FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY COALESCE(f, -2) DESC, det DESC) AS r FROM fit) WHERE r = 1)
+  SELECT z.id, z."window", 'lscp' AS detector, {q6('z.z')} AS raw FROM z JOIN best ON z.id = best.id AND z.det = best.det""")
 def outlier_lscp(spark, sf):
     rows = feature_rows(spark, sf)
     nbrs = knn.knn_table(rows, 20)
@@ -72,11 +87,19 @@ def outlier_lscp(spark, sf):
     return rounded(detectors.outlier_lscp(base, nbrs, 20, "lscp"), "raw")
 
 
-@query("window_features")
+@query("window_features", _WINDOWS + f""", lng AS (SELECT ca_id, window_end, 'partner' AS col, partner AS level FROM win
+    UNION ALL SELECT ca_id, window_end, 'product_type', product_type FROM win),
+  lv AS (SELECT window_end, col, level, COUNT(*) AS n, SUM(COUNT(*)) OVER (PARTITION BY window_end, col) AS t,
+    row_number() OVER (PARTITION BY window_end, col ORDER BY level) AS r FROM lng GROUP BY 1, 2, 3),
+  kp AS (SELECT *, n / t AS p, row_number() OVER (PARTITION BY window_end ORDER BY col, level) AS pos FROM lv WHERE r > 1)
+  SELECT ca_id AS id, CAST(window_end AS VARCHAR) AS "window", 0 AS pos, {q6('(requested_loan_amount - AVG(requested_loan_amount) OVER w) / stddev_pop(requested_loan_amount) OVER w')} AS x
+  FROM win WINDOW w AS (PARTITION BY window_end)
+  UNION ALL SELECT l.ca_id, CAST(l.window_end AS VARCHAR), CAST(pos AS INTEGER), {q6('CASE WHEN l.level = kp.level THEN 1 ELSE 0 END / sqrt(p) - p')}
+  FROM lng l JOIN kp ON l.window_end = kp.window_end AND l.col = kp.col""")
 def window_features(spark, sf):
     a = applications(spark, sf)
     out = window_cost.window_features(a, "ca_id", "ca_created_at", 90, ["requested_loan_amount"], ["partner", "product_type"])
-    return out.select("id", "window", F.transform("vec", lambda x: F.round(x, 6) + F.lit(0.0)).alias("vec"))
+    return rounded(out.select("id", "window", F.posexplode("vec").alias("pos", "x")), "x")
 
 
 @query("window_anomaly_cost")

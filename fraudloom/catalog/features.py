@@ -553,7 +553,20 @@ def feature_plan(df, spark, sf):
     return application_features(df, zip_offsets(spark, sf), risk, ["os", "n"], FINAL)
 
 
-@query("application_features")
+FEATURE_PLAN_SQL = f"""WITH RECURSIVE {APPS}, {ZIP_SQL}, {_GEO},
+  prs AS (SELECT DISTINCT lower(c_name) AS a, lower(regexp_replace(c_name, '0+', '', 'g')) AS b FROM apps), {_lcs_sql('prs')}
+  SELECT apps.ca_id, {q_stamp('ca_created_at + to_hours(CAST(COALESCE(tz_offset, 0) AS INTEGER))')} AS ca_ft_created_at_tz_adj,
+  product_type || ', alt' AS tmx_raw_os, CAST(apps.ca_id AS VARCHAR) AS tmx_raw_n, CASE WHEN c_nationkey % 7 = 0 THEN 1 ELSE 0 END AS a_ft_high_risk_area,
+  CAST(length(c_name) AS INTEGER) AS ea_ft_digits, 1.0e0 AS p_tcr_ft_first_name_match, {q6('ratio')} AS p_tcr_ft_last_name_match,
+  {q6(_HAV.format(*_PTS['ss'], *_PTS['ip']), 4)} AS tmx_ss_ft_input_ip_address_distance, CAST(NULL AS DOUBLE) AS tmx_ft_input_ip_true_ip_distance,
+  '' AS never_sent FROM apps JOIN geo ON apps.ca_id = geo.ca_id JOIN lcs ON a = lower(c_name) LEFT JOIN zips ON c_nationkey = a_zip"""
+
+
+def rounded_features(out):
+    out = rounded(out, "p_tcr_ft_first_name_match", "p_tcr_ft_last_name_match")
+    return rounded(out, "tmx_ss_ft_input_ip_address_distance", digits=4)
+
+
+@query("application_features", FEATURE_PLAN_SQL)
 def application_features_query(spark, sf):
-    out = feature_plan(payloads(spark, sf), spark, sf)
-    return rounded(out, "p_tcr_ft_first_name_match", "p_tcr_ft_last_name_match", "tmx_ss_ft_input_ip_address_distance")
+    return rounded_features(feature_plan(payloads(spark, sf), spark, sf))

@@ -13,7 +13,7 @@ from ..operators import relational as rel
 from ..session import scratch_path
 from ..streaming import jobs
 from .base import C, applications, query, rounded
-from .features import feature_plan, payloads
+from .features import FEATURE_PLAN_SQL, feature_plan, payloads, rounded_features
 from .evaluation import augmented
 
 TREES = {"maxIter": 3, "maxDepth": 3}
@@ -164,13 +164,12 @@ def _stored_payloads(spark, sf):
     return path, rows.schema
 
 
-@query("stream_features")
+@query("stream_features", FEATURE_PLAN_SQL)
 def stream_features(spark, sf):
     path, schema = _stored_payloads(spark, sf)
     stream = spark.readStream.schema(schema).parquet(path)
     out = jobs.stream_features(stream, lambda df: feature_plan(df, spark, sf))
-    return rounded(jobs.run_to_table(out, "features"), "p_tcr_ft_first_name_match", "p_tcr_ft_last_name_match",
-                   "tmx_ss_ft_input_ip_address_distance")
+    return rounded_features(jobs.run_to_table(out, "features"))
 
 
 @query("stream_score")
