@@ -143,7 +143,7 @@ def knn_table(queries: DataFrame, k: int, donors: DataFrame | None = None, seed:
     lists = settle(top.groupBy("window", "rep").agg(F.array_sort(F.collect_list(F.struct("dist", "nbr"))).alias("nb")), "nearest")
     # hand the list to every copy of the vector
     known = left_set.select("window", "vec", C("id").alias("rep"), "n").join(lists, ["window", "rep"]).drop("rep")
-    members = join_stats(left_rows, known, ["window", "vec"], "n")
+    members = join_stats(left_rows, known, ["window", "vec"], "n", nulls=False)
     own = F.filter("nb", lambda x: x["nbr"] != C("id")) if skip_self else C("nb")
     table = (members.select("window", "id", F.posexplode(F.slice(own, 1, k)).alias("_p", "_x"))
              .select("window", "id", C("_x.nbr").alias("nbr"), C("_x.dist").alias("dist"), (C("_p") + 1).alias("rank")))
@@ -161,5 +161,5 @@ def impute_knn(df: DataFrame, key: str, target: str, features: list[str], k: int
     nbrs = knn_table(scaled.where(C("_t").isNull()), k, scaled.where(C("_t").isNotNull()))
     donors = nbrs.groupBy("nbr").agg(F.count(F.lit(1)).alias("_n")).join(
         df.select(C(key).alias("nbr"), C(target).alias("_t")), "nbr")
-    fill = join_stats(nbrs, donors, ["nbr"], "_n").groupBy(C("id").alias(key)).agg(F.avg("_t").alias("_fill"))
+    fill = join_stats(nbrs, donors, ["nbr"], "_n", nulls=False).groupBy(C("id").alias(key)).agg(F.avg("_t").alias("_fill"))
     return df.join(fill, key, "left").withColumn(target, F.coalesce(C(target), C("_fill"))).drop("_fill")

@@ -11,16 +11,24 @@ from pyspark.sql import DataFrame, functions as F
 HOT_SHARE = 2000
 
 
-def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join on keys where null equals null; the key columns come from the left side."""
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner",
+                   nulls: bool = True) -> DataFrame:
+    """Join on keys where null equals null; the key columns come from the left side.
+
+    ``nulls=False`` says that no key is null: the plain equality then keeps an
+    existing partitioning by the keys.
+    """
     renamed = right.withColumnsRenamed({k: f"__{k}" for k in keys})
-    cond = reduce(lambda a, b: a & b, [left[k].eqNullSafe(renamed[f"__{k}"]) for k in keys])
-    return left.join(renamed, cond, how).drop(*[f"__{k}" for k in keys])
+    return left.join(renamed, _on(left, renamed, keys, nulls), how).drop(*[f"__{k}" for k in keys])
+
+
+def _on(left: DataFrame, renamed: DataFrame, keys: Sequence[str], nulls: bool):
+    parts = [left[k].eqNullSafe(renamed[f"__{k}"]) if nulls else left[k] == renamed[f"__{k}"] for k in keys]
+    return reduce(lambda a, b: a & b, parts)
 
 
-def join_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str], count: str = "n",
-               how: str = "inner") -> DataFrame:
-    """Attach one row of group statistics to every row of ``df``.
+def join_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str], count: str = "n", nulls: bool = True) -> DataFrame:
+    """Attach one row of group statistics to every row of ``df`` (inner).
 
     ``stats`` has one row per key and the number of rows of ``df`` in ``count``.
     Keys that hold more than 1/HOT_SHARE of all rows are joined by broadcast
@@ -30,14 +38,13 @@ def join_stats(df: DataFrame, stats: DataFrame, keys: Sequence[str], count: str
     total = stats.agg(F.sum(count)).scalar()
     is_hot = F.col(count) * HOT_SHARE > total
     hot, cold = stats.where(is_hot), stats.where(~is_hot)
-    hot_rows = join_null_safe(df, F.broadcast(hot), keys)
+    hot_rows = join_null_safe(df, F.broadcast(hot), keys, nulls=nulls)
     renamed = hot.select(*[F.col(k).alias(f"__{k}") for k in keys])
-    cond = reduce(lambda a, b: a & b, [df[k].eqNullSafe(renamed[f"__{k}"]) for k in keys])
-    cold_rows = join_null_safe(df.join(F.broadcast(renamed), cond, "left_anti"), cold, keys, how)
-    return hot_rows.unionByName(cold_rows)
+    other_rows = df.join(F.broadcast(renamed), _on(df, renamed, keys, nulls), "left_anti")
+    return hot_rows.unionByName(join_null_safe(other_rows, cold, keys, nulls=nulls))
 
 
 def join_unique(df: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Inner join with a side that has one row per key, where keys may be hot in ``df``."""
+    """Inner join on non-null keys with a side that has one row per key, where keys may be hot in ``df``."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return join_stats(df, right.join(counts, list(keys)), keys, "_n").drop("_n")
+    return join_stats(df, right.join(counts, list(keys)), keys, "_n", nulls=False).drop("_n")
