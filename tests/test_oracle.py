@@ -37,5 +37,8 @@ def test_entry_runs(spark):
 
 
 def test_names():
-    for name in entry.queries():
+    names = entry.catalog.all_queries()
+    assert names
+    for name in names:
         assert name != "pipeline" and not name.startswith("op")
+    assert set(ORACLE) <= set(entry.queries())
