@@ -111,8 +111,8 @@ class LengthClass:
         self.tables, missed, of = [], np.ones(len(probes), bool), np.array(of)
         laid = [self.lay_out([items[k] for k in members]), self.lay_out(probes)]
         while missed.mean() > 1 - recall and len(self.tables) < 400:
-            walk_seed = seed * 1000 + len(self.tables) // 4
-            if len(self.tables) % 4 == 0:  # four samples of coordinates share a walk
+            walk_seed = seed * 1000 + len(self.tables) // 8
+            if len(self.tables) % 8 == 0:  # eight samples of coordinates share a walk
                 own, test = (walk(*x, self.steps, walk_seed) for x in laid)
             picks = np.sort(rng.choice(self.steps, min(bits, self.steps), replace=False))
             h = hashes(own, picks)
@@ -190,7 +190,11 @@ class Benchmark:
             edits, m = self.limit[i], len(self.items[i])
             a = max(int(first[text]), p - edits - 1)
             z = min(int(first[text]) + sizes[text], p + m + edits + 1)
-            d, s, e = best_stretch(self.items[i], seq[a:z].tolist())
+            near = seq[a:z].tolist()
+            held = set(near)
+            if sum(w in held for w in self.items[i]) < m - edits:  # each edit can change one word of the item only
+                continue
+            d, s, e = best_stretch(self.items[i], near)
             if d <= edits:
                 place = (d, a + s - int(first[text]), a + e - int(first[text]))
                 old = found.get((text, i))
@@ -228,8 +232,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, similarity: float = 0.8, m
         def apply(batches):
             b = sent.value
             for batch in batches:
-                for at in range(0, batch.num_rows, 500):
-                    t = batch.slice(at, 500)
+                for at in range(0, batch.num_rows, 2000):
+                    t = batch.slice(at, 2000)
                     got = b.matches(t.column(n).to_pylist())
                     rows = pa.array([g[0] for g in got], pa.int64())
                     yield pa.RecordBatch.from_arrays(
@@ -255,8 +259,8 @@ def without_matches(docs: DataFrame, benchmark: DataFrame, *, similarity: float
         def apply(batches):
             b = sent.value
             for batch in batches:
-                for at in range(0, batch.num_rows, 500):
-                    t = batch.slice(at, 500)
+                for at in range(0, batch.num_rows, 2000):
+                    t = batch.slice(at, 2000)
                     keep = np.ones(t.num_rows, bool)
                     keep[[g[0] for g in b.matches(t.column(at_text).to_pylist())]] = False
                     yield t.filter(pa.array(keep))
