@@ -9,6 +9,7 @@ and their shorter forms meet in one group, which holds at most 256^(n - 2) grams
 from __future__ import annotations
 
 import numpy as np
+import zstandard
 
 
 def codes(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -22,8 +23,9 @@ def codes(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
     for j in range(n):
         out <<= 8
         out |= x[j:j + m]
+    del x
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    owner = np.repeat(np.arange(len(texts)), lengths + n)[:m]
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), lengths + n)[:m]
     if len(texts) > 1:  # the zeros between two texts: one end, then context only
         keep = np.ones(m, bool)
         ends = np.cumsum(lengths + n)[:-1] - n
@@ -34,11 +36,11 @@ def codes(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def tally(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys and their counts, or sums of weights."""
+    """Sorted distinct keys and their counts, or sums of weights. Sorts ``keys`` in place where there are no weights."""
     if not len(keys):
         return keys, np.zeros(0, np.int64 if weights is None else weights.dtype)
     if weights is None:
-        keys = np.sort(keys)
+        keys.sort()
     else:
         order = np.argsort(keys, kind="stable")
         keys, weights = keys[order], weights[order]
@@ -55,7 +57,10 @@ def by_text(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     distinct = None
     if 8 * n + bits > 63:  # too wide for one word: number the grams first
         distinct, c = np.unique(c, return_inverse=True)
-    c, k = tally(c << bits | owner)
+    c <<= bits
+    c |= owner
+    del owner
+    c, k = tally(c)
     owner = c & ((1 << bits) - 1)
     c >>= bits
     return (c if distinct is None else distinct[c]), owner, k
@@ -66,17 +71,25 @@ def bucket_of(code: np.ndarray, buckets: int) -> np.ndarray:
     return ((((code >> 8) & 0xFFFF) * 40503 >> 4) & 0xFFFFF) % buckets
 
 
+def squeeze(values: np.ndarray) -> bytes:
+    """An array as byte planes, compressed."""
+    planes = values.view(np.uint8).reshape(len(values), values.itemsize).T
+    return zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)
+
+
+def expand(blob: bytes, kind: str = "<i8") -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(blob), np.uint8)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(planes.reshape(size, -1).T).view(kind).ravel()
+
+
 def pack_keys(code: np.ndarray) -> bytes:
     """Sorted codes as differences, compressed."""
-    import zlib
-
-    return zlib.compress(np.diff(code, prepend=0).astype("<i8").tobytes(), 1)
+    return squeeze(np.diff(code, prepend=0).astype("<i8"))
 
 
 def unpack_keys(blob: bytes) -> np.ndarray:
-    import zlib
-
-    return np.cumsum(np.frombuffer(zlib.decompress(blob), "<i8"))
+    return np.cumsum(expand(blob))
 
 
 def split(code: np.ndarray, count: np.ndarray, buckets: int):

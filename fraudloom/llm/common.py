@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..session import settle
+from ..session import scratch_path, settle
 
 __all__ = ["DOCUMENT_COLUMNS", "held_out", "read", "remainder", "settle", "text_bytes", "write_packs", "unpack"]
 
@@ -41,7 +41,7 @@ def text_bytes(df: DataFrame, col: str = "text") -> int:
 
 def _seal(batches: list[pa.RecordBatch]) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+    with pa.ipc.new_stream(sink, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as w:
         for b in batches:
             w.write_batch(b)
     return sink.getvalue().to_pybytes()
@@ -52,14 +52,15 @@ def unpack(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(blob).read_all()
 
 
-def write_packs(df: DataFrame, requests, name: str, *, text: str = "text", pack_bytes: int = 6 << 20,
-                max_rows: int = 16_000) -> DataFrame:
+def write_packs(df: DataFrame, requests, name: str, buckets: int, *, text: str = "text", pack_bytes: int = 6 << 20,
+                max_rows: int = 16_000):
     """Cut the scan into packs of rows and write them, with what each pack asks of the corpus, to the shared folder.
 
     A pack is a run of rows of one input task holding about ``pack_bytes`` of text (one longer text makes a pack
     of its own), kept as one compressed row in ``blob``. ``requests(table)`` yields (kind, bucket, keys, counts)
-    for a pack; these are rows of the same table, with a null ``blob``. So no text moves before the packs meet
-    their answers, and a lost executor costs only the tasks it ran.
+    for a pack; these are rows of the same table, with a null ``blob``. The table is bucketed by ``pack``, so the
+    answers are shuffled to the packs and no text is ever shuffled. Returns the table and a function that forgets its
+    name, to be called once nothing is read from it any more; the files stay in the scratch folder.
     """
     def cut(batches):
         part, seq, held, size, rows = TaskContext.get().partitionId(), 0, [], 0, 0
@@ -88,7 +89,11 @@ def write_packs(df: DataFrame, requests, name: str, *, text: str = "text", pack_
         if held:
             yield emit()
 
-    return settle(df.mapInArrow(cut, PACK_SCHEMA), name)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    table = f"llm_{path.rsplit('-', 1)[1]}"
+    (df.mapInArrow(cut, PACK_SCHEMA).write.format("parquet").option("path", path).bucketBy(buckets, "pack").saveAsTable(table))
+    return spark.table(table), lambda: spark.sql(f"DROP TABLE IF EXISTS {table}")
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 20_000) -> DataFrame:

@@ -21,10 +21,11 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from . import bytegrams as bg
-from .common import held_out, remainder, text_bytes, unpack, write_packs
+from .common import held_out, remainder, settle, text_bytes, unpack, write_packs
 
 C = F.col
 LN2 = float(np.log(2))
@@ -113,15 +114,15 @@ def gram_logs(code: np.ndarray, levels: dict[int, dict], depth: int, mass: np.nd
 
 def _bucket_counts(t: pa.Table):
     asks = [bg.unpack_keys(k) for k in t.column("keys").to_pylist()]
-    counts = [np.frombuffer(zlib.decompress(c), "<i8") for c in t.column("counts").to_pylist()]
+    counts = [bg.expand(c) for c in t.column("counts").to_pylist()]
     return asks, bg.tally(np.concatenate(asks), np.concatenate(counts))
 
 
 def _words(t: pa.Table):
-    asks = [zlib.decompress(k).split(b" ") for k in t.column("keys").to_pylist()]
+    asks = [zstandard.decompress(k).split(b" ") for k in t.column("keys").to_pylist()]
     seen: dict[bytes, int] = {}
     for ask, c in zip(asks, t.column("counts").to_pylist()):
-        for w, n in zip(ask, np.frombuffer(zlib.decompress(c), "<i8").tolist()):
+        for w, n in zip(ask, bg.expand(c).tolist()):
             if n:
                 seen[w] = seen.get(w, 0) + n
     return asks, seen
@@ -152,7 +153,7 @@ def score(docs: DataFrame, *, depth: int = 5, modulus: int = 7, rest: int = 2, b
         code, count = bg.tally(code)
         count[np.searchsorted(code, rest_code)] -= rest_count
         for b, k, c in bg.split(code, count, buckets):
-            yield "g", b, bg.pack_keys(k), zlib.compress(c.astype("<i8").tobytes(), 1)
+            yield "g", b, bg.pack_keys(k), bg.squeeze(c.astype("<i8"))
         words, rest_words = Counter(), Counter()
         for ws, f in zip(lists, learn):
             words.update(ws)
@@ -161,10 +162,10 @@ def score(docs: DataFrame, *, depth: int = 5, modulus: int = 7, rest: int = 2, b
         for b, ws in enumerate(word_buckets(words)):
             if ws:
                 c = np.array([words[w] - rest_words[w] if w in rest_words else words[w] for w in ws], "<i8")
-                yield "w", b, zlib.compress(b" ".join(ws), 1), zlib.compress(c.tobytes(), 1)
-        yield "e", 0, b"", zlib.compress(np.array([int(learn.sum())], "<i8").tobytes(), 1)
+                yield "w", b, zstandard.compress(b" ".join(ws), 3), bg.squeeze(c)
+        yield "e", 0, b"", bg.squeeze(np.array([int(learn.sum())], "<i8"))
 
-    packs = write_packs(src, requests, "ctw-packs")
+    packs, forget = write_packs(src, requests, "ctw-packs", buckets)
     asked = packs.filter(C("kind").isNotNull()).select("kind", "bucket", "pack", "keys", "counts")
 
     def stats(key, t):
@@ -179,7 +180,7 @@ def score(docs: DataFrame, *, depth: int = 5, modulus: int = 7, rest: int = 2, b
             seen = _words(t)[1]
             out = [("w", 0, float(sum(seen.values())), float(len(seen)), 0.0)]
         else:
-            out = [("e", 0, float(sum(int(np.frombuffer(zlib.decompress(c), "<i8")[0]) for c in t.column("counts").to_pylist())), 0.0, 0.0)]
+            out = [("e", 0, float(sum(int(bg.expand(c)[0]) for c in t.column("counts").to_pylist())), 0.0, 0.0)]
         names = ("what", "k", "zero", "one", "kids")
         types = (pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
         return pa.table({a: pa.array([r[i] for r in out], ty) for i, (a, ty) in enumerate(zip(names, types))})
@@ -195,10 +196,10 @@ def score(docs: DataFrame, *, depth: int = 5, modulus: int = 7, rest: int = 2, b
         if key[0].as_py() == "g":
             asks, (code, count) = _bucket_counts(t)
             logs = gram_logs(code, weigh(*leaves(code, count), depth, 2), depth, mass, left)
-            out = [logs[np.searchsorted(code, a)].astype("<f4").tobytes() for a in asks]
+            out = [bg.squeeze(logs[np.searchsorted(code, a)].astype("<f4")) for a in asks]
         else:
             asks, seen = _words(t)
-            out = [zlib.compress(np.array([seen.get(w, 0) for w in a], "<i8").tobytes(), 1) for a in asks]
+            out = [bg.squeeze(np.array([seen.get(w, 0) for w in a], "<i8")) for a in asks]
         return pa.table({"pack": t.column("pack"), "kind": t.column("kind"), "bucket": t.column("bucket"),
                          "logs": pa.array(out, pa.binary())})
 
@@ -212,13 +213,13 @@ def score(docs: DataFrame, *, depth: int = 5, modulus: int = 7, rest: int = 2, b
         got = list(zip(*(rt.column(c).to_pylist() for c in ("kind", "bucket", "logs"))))
         code, owner, k = bg.by_text(texts, n)
         first = np.r_[True, code[1:] != code[:-1]]
-        lp = bg.join_answers(code[first], buckets, {b: np.frombuffer(x, "<f4") for a, b, x in got if a == "g"})
+        lp = bg.join_answers(code[first], buckets, {b: bg.expand(x, "<f4") for a, b, x in got if a == "g"})
         score2 = np.bincount(owner, weights=k * lp[np.cumsum(first) - 1], minlength=len(texts))
         counts: dict[bytes, int] = {}
         mine = word_buckets(dict.fromkeys(chain.from_iterable(lists)))  # the order of the requests
         for a, b, x in got:
             if a == "w":
-                counts.update(zip(mine[b], np.frombuffer(zlib.decompress(x), "<i8").tolist()))
+                counts.update(zip(mine[b], bg.expand(x).tolist()))
         flat = np.array(list(map(counts.__getitem__, chain.from_iterable(lists))), np.int64)
         size = np.fromiter(map(len, lists), np.int64, len(lists))
         doc = np.repeat(np.arange(len(lists)), size)
@@ -232,7 +233,9 @@ def score(docs: DataFrame, *, depth: int = 5, modulus: int = 7, rest: int = 2, b
                          "base_score": pa.array(base), "score": pa.array(score2 * np.log10(2)),
                          "bits_per_byte": pa.array(-score2 / width)})
 
-    return (packs.filter(C("blob").isNotNull()).select("pack", "blob").groupBy("pack")
-            .cogroup(replies.groupBy("pack"))
-            .applyInArrow(finish, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, "
-                                  "base_score double, score double, bits_per_byte double"))
+    out = settle(
+        packs.filter(C("blob").isNotNull()).select("pack", "blob").groupBy("pack").cogroup(replies.groupBy("pack"))
+        .applyInArrow(finish, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, "
+                                  "base_score double, score double, bits_per_byte double"), "ctw-scores")
+    forget()
+    return out
