@@ -105,7 +105,7 @@ class Model:
             self.cache.update(zip(new, (np.add.reduceat(self.slot[slots].astype(float), edge[:-1]) / np.diff(edge)).tolist()))
         out = np.array(list(map(self.cache.__getitem__, chain.from_iterable(lists))), float)
         m, k = worst(*no_repeats(out, n))
-        z = self.map[0] * (m + self.bias) + self.map[1] * np.log(np.maximum(k, 1)) + self.map[2]
+        z = self.map[0] * (np.where(k > 0, m, 0.0) + self.bias) + self.map[1] * np.log(np.maximum(k, 1)) + self.map[2]
         return np.where(k > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), self.empty)
 
 
@@ -122,8 +122,12 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e
     return b
 
 
-def train(texts: list[str | None], y: np.ndarray, share: float, *, epochs: int = 8, seed: int = 7) -> Model:
-    """Fit on texts with labels y; ``share`` is the known share of toxic rows, which weighs the logistic map."""
+def train(texts: list[str | None], y: np.ndarray, share: float, *, epochs: int = 8, min_steps: int = 300,
+          seed: int = 7) -> Model:
+    """Fit on texts with labels y; ``share`` is the known share of toxic rows, which weighs the logistic map.
+
+    A small sample is gone through more often, until there were about ``min_steps`` batches.
+    """
     vocab: dict[str, int] = {}
     rows = [np.array([vocab.setdefault(w, len(vocab)) for w in words_of(t)], np.int64) for t in texts]
     flat, n = no_repeats(np.concatenate([np.zeros(0, np.int64), *rows]), np.array([len(x) for x in rows], np.int64))
@@ -136,8 +140,9 @@ def train(texts: list[str | None], y: np.ndarray, share: float, *, epochs: int =
     acc_e, acc_h, acc_b = np.full(SLOTS, 1e-6), np.full((DIM, 2), 1e-6), np.full(2, 1e-6)
     start, end, text = windows(n)
     first = np.searchsorted(text, np.arange(len(n) + 1))
+    epochs = max(epochs, -(-min_steps * 256 // int(np.minimum(np.diff(first), 6).sum())))
     for epoch in range(epochs):
-        if epoch < 2:  # any windows: which are toxic isn't known yet
+        if 4 * epoch < epochs:  # any windows: which are toxic isn't known yet
             pick = np.concatenate([rng.choice(np.arange(a, b), min(b - a, 6), replace=False) for a, b in zip(first, first[1:])])
         else:  # the worst window of every text, and some others of the clean ones
             v = np.add.reduceat((emb @ (head[:, 1] - head[:, 0]))[slots], ptr[:-1]) / np.diff(ptr)
