@@ -157,7 +157,8 @@ def impute_knn(df: DataFrame, key: str, target: str, features: list[str], k: int
 
     scaled = scale_standard(df, features).select(
         C(key).alias("id"), F.lit("all").alias("window"),
-        F.array(*[C(f).cast("double") for f in features]).alias("vec"), C(target).alias("_t"))
+        # a missing feature counts as the mean, which is 0 after scaling
+        F.array(*[F.nanvl(F.coalesce(C(f).cast("double"), F.lit(0.0)), F.lit(0.0)) for f in features]).alias("vec"), C(target).alias("_t"))
     nbrs = knn_table(scaled.where(C("_t").isNull()), k, scaled.where(C("_t").isNotNull()))
     donors = nbrs.groupBy("nbr").agg(F.count(F.lit(1)).alias("_n")).join(
         df.select(C(key).alias("nbr"), C(target).alias("_t")), "nbr")

@@ -85,9 +85,10 @@ def model_comparison(spark, sf):
     return rounded(curves.model_comparison(s, "ytrue", ["score", "fm_5_score", "amount"]), "auc_pr")
 
 
-@query("ks_statistic", f"{_CUM} SELECT {q6('MAX(abs(tp / p - fp / n))')} AS ks FROM cum")
+@query("ks_statistic", f"""{_CUM} SELECT {q6('ks')} AS ks, {q6('threshold')} AS threshold FROM
+  (SELECT abs(tp / p - fp / n) AS ks, score AS threshold FROM cum) ORDER BY ks DESC, threshold DESC LIMIT 1""")
 def ks_statistic(spark, sf):
-    return rounded(curves.ks_statistic(_counts(spark, sf)).select("ks"), "ks")
+    return rounded(curves.ks_statistic(_counts(spark, sf)).select("ks", "threshold"), "ks", "threshold")
 
 
 @query("labelled_documents_metrics", f"""WITH docs AS (SELECT source, documents.n_chars / 20000.0e0 AS score, toxic AS ytrue FROM documents JOIN labels USING (doc_id)),

@@ -353,9 +353,7 @@ def shared_attribute_edges(spark, sf):
 @query("assign_window", _WINDOWS + " SELECT ca_id, window_no FROM win WHERE product_type = 'F'")
 def assign_window(spark, sf):
     a = applications(spark, sf)
-    # windows are laid over the whole table; the slice selects rows afterwards
-    whole = rel.assign_window(a, "ca_created_at", 90)
-    return whole.join(rel.filter_product(a, "F").select("ca_id"), "ca_id", "left_semi").select("ca_id", "window_no")
+    return rel.assign_window(a, "ca_created_at", 90, rel.filter_product(a, "F")).select("ca_id", "window_no")
 
 
 @query("anti_join_holdout", f"""WITH {APPS} SELECT ca_id, partner FROM apps WHERE {md5_bucket('ca_id', 100)} >= 20""")

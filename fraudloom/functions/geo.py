@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.relational import coerce_numeric_lenient
+from ..operators.skew import join_null_safe
 from .text import url_decode
 
 C = F.col
@@ -101,7 +102,7 @@ def erf_probability(df: DataFrame, score: str, out: str = "proba", groups: Seque
     """z-score over root 2 through erf, clipped to [0, 1], and its complement."""
     stats = df.groupBy(*groups).agg(F.avg(score).alias("_mu"), F.stddev_pop(score).alias("_sd"))
     if groups:
-        both = df.join(stats, list(groups))
+        both = join_null_safe(df, stats, list(groups))
         mu, sd = C("_mu"), C("_sd")
     else:
         both = df

@@ -7,6 +7,7 @@ from itertools import chain
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..operators.skew import join_null_safe
 from .geo import time_zone_minutes
 
 C = F.col
@@ -86,4 +87,4 @@ def standardize_present(df: DataFrame, cols: Sequence[str], window: str) -> Data
     stats = df.groupBy(window).agg(*aggs)
     z = {c: F.coalesce((C(c) - C(f"_mu_{c}")) / F.when(C(f"_sd_{c}") == 0, 1.0).otherwise(C(f"_sd_{c}")), F.lit(-1.0))
          for c in cols}
-    return df.join(stats, window).withColumns(z).drop(*[f"_{s}_{c}" for c in cols for s in ("mu", "sd")])
+    return join_null_safe(df, stats, [window]).withColumns(z).drop(*[f"_{s}_{c}" for c in cols for s in ("mu", "sd")])

@@ -23,7 +23,8 @@ def curve_counts(scores: DataFrame, score: str = "score", label: str = "ytrue",
     ``keep`` caches the per-score counts, so that the source is read once although
     the bucket borders need a pass of their own; pass False when the scores are cached.
     """
-    rows = scores.where(C(score).isNotNull() & C(label).isNotNull())
+    value = C(score).cast("double")
+    rows = scores.where(value.isNotNull() & ~F.isnan(value) & C(label).isNotNull())
     w: Column = F.lit(1) if weight is None else C(weight)
     per_score = rows.groupBy(*groups, C(score).cast("double").alias("score")).agg(
         F.sum(F.when(C(label) == 1, w).otherwise(F.lit(0))).alias("pos"),
@@ -166,12 +167,15 @@ def threshold_sweep(scores: DataFrame, score: str = "score", label: str = "ytrue
     """Confusion counts and rates at thresholds 0..top on 100*score, strict greater.
 
     One scan: rows fall into at most top+2 buckets, and bucket b counts as
-    predicted positive at threshold t when b > t.
+    predicted positive at threshold t when b > t. A row without a score (null or NaN)
+    is never predicted positive; a row without a label is not counted.
     """
-    bucket = F.greatest(F.lit(0), F.least(F.lit(top + 1), F.ceil(C(score) * 100))).cast("int")
+    value = C(score).cast("double")
+    bucket = F.when(value.isNull() | F.isnan(value), 0).otherwise(
+        F.greatest(F.lit(0), F.least(F.lit(top + 1), F.ceil(value * 100)))).cast("int")
     hist = scores.groupBy(*groups, bucket.alias("b")).agg(
         F.sum(F.when(C(label) == 1, 1).otherwise(0)).alias("pos"),
-        F.sum(F.when(C(label) == 1, 0).otherwise(1)).alias("neg"))
+        F.sum(F.when(C(label) != 1, 1).otherwise(0)).alias("neg"))
     spread = hist.withColumn("threshold", F.explode(F.sequence(F.lit(0), F.lit(top))))
     hit = C("b") > C("threshold")
     sums = spread.groupBy(*groups, "threshold").agg(

@@ -298,6 +298,6 @@ def period_windows(df: DataFrame, ts: str, days: int, closed: str = "both") -> D
 
 
 def assign_window(df: DataFrame, ts: str, days: int, keys: DataFrame | None = None, key: str = "ca_id") -> DataFrame:
-    """Window membership, optionally only of rows whose key is in a given slice."""
-    rows = df if keys is None else df.join(keys.select(key), key, "left_semi")
-    return period_windows(rows, ts, days)
+    """Window membership; windows lie over the whole table, ``keys`` then selects the rows of a slice."""
+    rows = period_windows(df, ts, days)
+    return rows if keys is None else rows.join(keys.select(key), key, "left_semi")

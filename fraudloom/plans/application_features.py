@@ -29,6 +29,8 @@ def application_features(payloads: DataFrame, zip_offsets: DataFrame, high_risk:
     broadcasts them when they are small enough. Everything else is one projection,
     so the same plan runs on a stream.
     """
+    if "tmx_raw" in payloads.columns and not tmx_keys:
+        raise ValueError("name the keys to take from tmx_raw")
     df = text.kv_expand(payloads, "tmx_raw", tmx_keys) if "tmx_raw" in payloads.columns else payloads
     if high_risk is not None:
         df = relational.membership_flag(df, "a_zip", high_risk, "a_ft_high_risk_area")
