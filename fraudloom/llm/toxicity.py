@@ -34,6 +34,20 @@ SLOTS, DIM, WINDOW = 1 << 17, 8, 16
 CACHE = 400_000
 
 
+def all_grams(words: list[str], block: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
+    """``grams`` of any number of words, a block at a time, with small integers."""
+    parts = [grams(words[at:at + block]) for at in range(0, len(words), block)]
+    size = np.concatenate([np.diff(e) for _, e in parts])
+    return np.concatenate([s.astype(np.int32) for s, _ in parts]), np.r_[0, np.cumsum(size)]
+
+
+def word_means(value: np.ndarray, slots: np.ndarray, edge: np.ndarray, block: int = 50_000) -> np.ndarray:
+    """Mean of ``value`` over the slots of each word."""
+    n = len(edge) - 1
+    return np.concatenate([np.add.reduceat(value[slots[edge[a]:edge[min(a + block, n)]]], edge[a:min(a + block, n)] - edge[a])
+                           for a in range(0, n, block)]) / np.diff(edge)
+
+
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Slots of each word's character n-grams (3 to 5, with its ends) and of the word itself; edges between words."""
     x = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le"), "<u4").astype(np.uint64)
@@ -101,8 +115,7 @@ class Model:
             self.cache.clear()
         new = list(set(chain.from_iterable(lists)).difference(self.cache))
         if new:
-            slots, edge = grams(new)
-            self.cache.update(zip(new, (np.add.reduceat(self.slot[slots].astype(float), edge[:-1]) / np.diff(edge)).tolist()))
+            self.cache.update(zip(new, word_means(self.slot.astype(float), *all_grams(new)).tolist()))
         out = np.array(list(map(self.cache.__getitem__, chain.from_iterable(lists))), float)
         m, k = worst(*no_repeats(out, n))
         z = self.map[0] * (np.where(k > 0, m, 0.0) + self.bias) + self.map[1] * np.log(np.maximum(k, 1)) + self.map[2]
@@ -134,7 +147,8 @@ def train(texts: list[str | None], y: np.ndarray, share: float, *, epochs: int =
     empty = float(np.sum(y[n == 0]) / (np.sum(n == 0) + 10))
     if not len(flat) or len(set(y[n > 0])) < 2:
         return Model(np.zeros(SLOTS), 0.0, np.array([0.0, 0.0, np.log((share + 1e-9) / (1 - share + 1e-9))]), share)
-    slots, ptr = grams(list(vocab))
+    slots, ptr = all_grams(list(vocab))
+    del vocab, rows
     rng = np.random.default_rng(seed)
     emb, head, bias = rng.normal(0, 0.1, (SLOTS, DIM)), rng.normal(0, 0.1, (DIM, 2)), np.zeros(2)
     acc_e, acc_h, acc_b = np.full(SLOTS, 1e-6), np.full((DIM, 2), 1e-6), np.full(2, 1e-6)
@@ -145,7 +159,7 @@ def train(texts: list[str | None], y: np.ndarray, share: float, *, epochs: int =
         if 4 * epoch < epochs:  # any windows: which are toxic isn't known yet
             pick = np.concatenate([rng.choice(np.arange(a, b), min(b - a, 6), replace=False) for a, b in zip(first, first[1:])])
         else:  # the worst window of every text, and some others of the clean ones
-            v = np.add.reduceat((emb @ (head[:, 1] - head[:, 0]))[slots], ptr[:-1]) / np.diff(ptr)
+            v = word_means(emb @ (head[:, 1] - head[:, 0]), slots, ptr)
             total = np.r_[0.0, np.cumsum(v[flat])]
             mean = (total[end] - total[start]) / (end - start)
             order = np.lexsort((-mean, text))
@@ -185,7 +199,7 @@ def train(texts: list[str | None], y: np.ndarray, share: float, *, epochs: int =
             acc_b += gb * gb
             bias -= 0.1 * gb / np.sqrt(acc_b)
     slot = emb @ (head[:, 1] - head[:, 0])
-    v = np.add.reduceat(slot.astype(np.float32)[slots].astype(float), ptr[:-1]) / np.diff(ptr)
+    v = word_means(slot.astype(np.float32).astype(float), slots, ptr)
     m, k = worst(v[flat], n)
     b, ok = float(bias[1] - bias[0]), n > 0
     have = float(y[ok].mean())
@@ -194,7 +208,7 @@ def train(texts: list[str | None], y: np.ndarray, share: float, *, epochs: int =
     return Model(slot, b, logistic(np.c_[m[ok] + b, np.log(k[ok])], y[ok], weight[ok]), empty)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, max_toxic: int = 3000, max_clean: int = 6000, modulus: int = 5, rest: int = 0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, max_toxic: int = 2000, max_clean: int = 4000, modulus: int = 5, rest: int = 0) -> Model:
     """Train on at most ``max_toxic`` and ``max_clean`` labelled rows, taken in hash order outside the held-out fold."""
     known = (labels.filter(C("toxic").isin(0, 1) & F.coalesce(remainder("doc_id", modulus) != rest, F.lit(False)))
              .select(C("doc_id").alias("_id"), C("toxic").alias("_y")).distinct())
