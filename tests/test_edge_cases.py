@@ -19,7 +19,7 @@ def test_missing_score_is_never_predicted(spark):
     df = spark.createDataFrame([(0.995, 1), (None, 1), (NAN, 0), (1.5, None), (0.2, 0)], "score double, ytrue int")
     rows = {r["threshold"]: r for r in curves.threshold_sweep(df).collect()}
     assert rows[0]["predicted_fraud"] == 2 and rows[0]["total_applications"] == 4
-    assert rows[98]["predicted_fraud"] == 2 and rows[99]["precision"] == 1.0 and rows[100]["predicted_fraud"] == 0
+    assert rows[98]["predicted_fraud"] == 1 and rows[99]["precision"] == 1.0 and rows[100]["predicted_fraud"] == 0
 
 
 def test_nan_score_is_missing_in_curves(spark):
