@@ -46,13 +46,16 @@ def roc_curve(spark, sf):
     return rounded(curves.roc_curve(_counts(spark, sf)), "threshold", "fpr", "tpr")
 
 
-@query("mean_roc_curve", f"""WITH {CV_SQL}, {curve_sql('cv', ('fold',))},
+_FOLD_CURVES = f"""{CV_SQL}, {curve_sql('cv', ('fold',))},
   pts AS (SELECT fold, fp, MAX(tp) AS hi, MIN(tp) AS lo, MAX(p) AS p, MAX(n) AS n FROM
           (SELECT fold, fp, tp, p, n FROM cum UNION ALL SELECT fold, 0, 0, MAX(p), MAX(n) FROM cum GROUP BY fold) GROUP BY fold, fp),
   seg AS (SELECT *, LEAD(fp) OVER w AS fp2, LEAD(lo) OVER w AS lo2 FROM pts WINDOW w AS (PARTITION BY fold ORDER BY fp)),
   rd AS (SELECT fold, i, CASE WHEN i = 0 THEN 0.0e0 ELSE (hi + (lo2 - hi) * (i / 99.0e0 * n - fp) / (fp2 - fp)) / p END AS t
          FROM seg, range(0, 99) r(i) WHERE i * n >= 99 * fp AND i * n < 99 * fp2
-         UNION ALL SELECT DISTINCT fold, 99, 1.0e0 FROM seg)
+         UNION ALL SELECT DISTINCT fold, 99, 1.0e0 FROM seg)"""
+
+
+@query("mean_roc_curve", f"""WITH {_FOLD_CURVES}
   SELECT i AS point, {q6('i / 99.0e0')} AS fpr, {q6('AVG(t)')} AS mean_tpr, {q6('greatest(AVG(t) - stddev_pop(t), 0)')} AS tpr_lower,
   {q6('least(AVG(t) + stddev_pop(t), 1)')} AS tpr_upper FROM rd GROUP BY i""")
 def mean_roc_curve(spark, sf):
@@ -60,11 +63,12 @@ def mean_roc_curve(spark, sf):
     return rounded(c, "fpr", "mean_tpr", "tpr_lower", "tpr_upper")
 
 
-@query("mean_roc_auc", f"""WITH {CV_SQL}, {curve_sql('cv', ('fold',))}, a AS (SELECT fold, {AUC} AS auc FROM cum GROUP BY fold)
-  SELECT {q6('stddev_pop(auc)')} AS std_auc, {q6('AVG(auc)')} AS avg_fold_auc FROM a""")
+@query("mean_roc_auc", f"""WITH {_FOLD_CURVES}, a AS (SELECT fold, {AUC} AS auc FROM cum GROUP BY fold),
+  m AS (SELECT i, AVG(t) AS t FROM rd GROUP BY i), area AS (SELECT (t + LAG(t) OVER (ORDER BY i)) / 2 / 99 AS s FROM m)
+  SELECT {q6('(SELECT SUM(s) FROM area)')} AS mean_auc, {q6('stddev_pop(auc)')} AS std_auc, {q6('AVG(auc)')} AS avg_fold_auc FROM a""")
 def mean_roc_auc(spark, sf):
     c = curves.curve_counts(cv_scores(spark, sf), groups=["fold"])
-    return rounded(curves.mean_roc_auc(c, "fold").drop("mean_auc"), "std_auc", "avg_fold_auc")
+    return rounded(curves.mean_roc_auc(c, "fold"), "mean_auc", "std_auc", "avg_fold_auc")
 
 
 @query("pooled_pr_curve", f"""WITH {CV_SQL}, two AS (SELECT CAST(fold AS VARCHAR) AS fold, round(score, 2) AS score, ytrue FROM cv

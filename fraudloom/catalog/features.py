@@ -29,7 +29,7 @@ def url_decode_columns(spark, sf):
 @query("dirty_json_expand", """SELECT event_id, CAST(json_extract_string(props, '$.k') AS VARCHAR) AS j_k FROM events""")
 def dirty_json_expand(spark, sf):
     dirty = tbl(spark, sf, "events").select("event_id", F.translate("props", '"', "'").alias("props"))
-    return text.dirty_json_expand(dirty, "props", prefix="j_").drop("props")
+    return text.dirty_json_expand(dirty, "props", ["k"], prefix="j_").drop("props")
 
 
 _QS = """qs AS (SELECT page_id, CASE WHEN contains(url, '?') THEN

@@ -130,7 +130,7 @@ def rfe_attribution(spark, sf):
 def permutation_importance(spark, sf):
     data = _assembled(spark, sf)
     model = train.boosted_trees("dep_var", **TREES).fit(data)
-    return rounded(train.permutation_importance(model, data, "ca_id", "dep_var", repeats=3), "importance")
+    return rounded(train.permutation_importance(model, data, "ca_id", "dep_var"), "importance")
 
 
 @query("learning_curve")

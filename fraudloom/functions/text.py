@@ -27,16 +27,8 @@ def dirty_json_map(c: Column) -> Column:
     return F.from_json(F.translate(F.coalesce(c, F.lit("{}")), "'", '"'), T.MapType(T.StringType(), T.StringType()))
 
 
-def json_keys(df: DataFrame, col: str, max_keys: int = 5000) -> list[str]:
-    """All keys of a dirty JSON column; more than ``max_keys`` is an error, nothing is cut off."""
-    keys = df.select(F.explode(F.map_keys(dirty_json_map(C(col)))).alias("k")).distinct().limit(max_keys + 1).collect()
-    if len(keys) > max_keys:
-        raise ValueError(f"{col} has more than {max_keys} keys; pass the wanted keys")
-    return sorted(r.k for r in keys)
-
-
-def dirty_json_expand(df: DataFrame, col: str, keys: Sequence[str] | None = None, prefix: str = "") -> DataFrame:
-    keys = json_keys(df, col) if keys is None else keys
+def dirty_json_expand(df: DataFrame, col: str, keys: Sequence[str], prefix: str = "") -> DataFrame:
+    """One column per named key; ``dirty_json_map`` holds all keys of a row where they aren't known."""
     parsed = dirty_json_map(C(col))
     return df.withColumn("_m", parsed).withColumns({f"{prefix}{k}": C("_m")[k] for k in keys}).drop("_m")
 

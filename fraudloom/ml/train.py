@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from ..functions.geo import unscale_score
 from ..operators.curves import average_precision, curve_counts, group_metrics
 from ..operators.relational import hash_bucket, stratified_fold
+from ..session import settle
 from ..sources.writers import write_table
 from . import stages
 
@@ -262,16 +263,15 @@ def sampled_attribution(model, df: DataFrame, key: str, names: Sequence[str], fe
 
 
 def permutation_importance(model, df: DataFrame, key: str, label: str, features: str = "features",
-                           repeats: int = 10, seed: int = 42) -> DataFrame:
+                           repeats: int = 10, seed: int = 42, shard_rows: int = 50_000) -> DataFrame:
     """(feature, importance): mean drop of average precision when one feature is shuffled.
 
-    Rows are dealt into hash shards; inside a shard two independent hash orders are
-    numbered and joined on the number, which permutes the rows. All features and
-    repeats are scored as one table and evaluated by one grouped curve job.
+    Rows are dealt into hash shards of about ``shard_rows``, whatever the session's settings; inside a
+    shard two independent hash orders are numbered and joined on the number, which permutes
+    the rows. All features and repeats are scored as one table and evaluated by one grouped curve job.
     """
     names = feature_names(df, features)
-    spark = df.sparkSession
-    shards = max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))) * 4
+    shards = max(1, -(-df.count() // shard_rows))
     base = df.select(C(key).alias("k"), C(label).alias("ytrue"), vector_to_array(features).alias("x"))
     from pyspark.sql import Window
     copies = base.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
@@ -287,9 +287,9 @@ def permutation_importance(model, df: DataFrame, key: str, label: str, features:
     shuffled = spread.select("rep", "f", "ytrue", array_to_vector(mixed).alias(model.getFeaturesCol()))
     plain = base.select(F.lit(0).alias("rep"), F.lit(-1).alias("f"), "ytrue",
                         array_to_vector("x").alias(model.getFeaturesCol()))
-    scored = model.transform(shuffled.unionByName(plain)).select(
-        "rep", "f", "ytrue", vector_to_array("probability")[1].alias("score")).persist()
-    ap = average_precision(curve_counts(scored, groups=["rep", "f"], keep=False), ["rep", "f"]).persist()
+    scored = settle(model.transform(shuffled.unionByName(plain)).select(
+        "rep", "f", "ytrue", vector_to_array("probability")[1].alias("score")), "permuted")
+    ap = settle(average_precision(curve_counts(scored, groups=["rep", "f"], keep=False), ["rep", "f"]), "permuted-ap")
     whole = ap.where(C("f") == -1).select("auc_pr").scalar()
     labels = F.array(*[F.lit(n) for n in names])
     return ap.where(C("f") >= 0).groupBy("f").agg((whole - F.avg("auc_pr")).alias("importance")).select(

@@ -28,12 +28,12 @@ def test_kv_expand(spark):
     assert tuple(a) == ("1, 3", "2", None, "") and tuple(b) == (None,) * 4
 
 
-def test_json_keys_found(spark):
+def test_json_named_keys(spark):
     df = spark.createDataFrame([("{'a': 1, 'b': 'x'}",), (None,), ("{'c': 2}",)], "j string")
-    out = text.dirty_json_expand(df, "j")
-    assert out.columns == ["a", "b", "c"] or set(out.columns) == {"j", "a", "b", "c"}
-    with pytest.raises(ValueError):
-        text.json_keys(df, "j", max_keys=2)
+    out = text.dirty_json_expand(df, "j", ["a", "c"], "p_")
+    assert out.columns == ["j", "p_a", "p_c"]
+    assert sorted((r.p_a or "", r.p_c or "") for r in out.collect()) == [("", ""), ("", "2"), ("1", "")]
+    assert df.select(text.dirty_json_map(C("j")).alias("m")).collect()[0].m == {"a": "1", "b": "x"}
 
 
 def lcs(a, b):

@@ -4,6 +4,7 @@ import json
 
 import pytest
 from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from fraudloom.catalog import features, learning
@@ -134,3 +135,19 @@ def test_every_encoder_choice_trains(spark, encoder):
 def test_unknown_choice_is_refused(spark):
     with pytest.raises(ValueError):
         train.preprocess_by_type(_levels(spark, 5), "y", encoder="nope")
+
+
+def test_permutation_importance_ignores_session_settings(spark):
+    rows = [(i, int(i % 4 == 0), float(i % 4), float(i * 7919 % 101)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id bigint, y int, useful double, noise double")
+    data = VectorAssembler(inputCols=["useful", "noise"], outputCol="features").transform(df)
+    model = train.boosted_trees("y", maxIter=2, maxDepth=2).fit(data)
+    before, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for parts in ("1", "64"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            out = train.permutation_importance(model, data, "id", "y", repeats=2, shard_rows=150)
+            got.append({r.feature: round(r.importance, 9) for r in out.collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0] == got[1] and got[0]["useful"] > 0.2 > abs(got[0]["noise"])
