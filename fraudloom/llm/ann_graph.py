@@ -160,7 +160,7 @@ def valid(df: DataFrame, id_col: str, vector: str) -> DataFrame:
 
 
 def search(df: DataFrame, *, k: int = 20, every: int = 20, id_col: str = "vec_id", vector: str = "embedding",
-           shard_rows: int = 8192, block_rows: int = 4096, degree: int = 32, width: int = 96) -> DataFrame:
+           shard_rows: int = 8192, block_rows: int = 32_768, degree: int = 32, width: int = 96) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row whose id is divisible by ``every``."""
     rows = settle(valid(df, id_col, vector), "ann-rows")
     few = F.row_number().over(Window.partitionBy("vec").orderBy("id")) <= k + 1
