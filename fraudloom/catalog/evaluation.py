@@ -89,6 +89,15 @@ def model_comparison(spark, sf):
     return rounded(curves.model_comparison(s, "ytrue", ["score", "fm_5_score", "amount"]), "auc_pr")
 
 
+@query("model_curves", f"""WITH {SCORED}, long AS (SELECT 'score' AS model, score, ytrue FROM scored
+  UNION ALL SELECT 'fm_5_score', fm_5_score, ytrue FROM scored), {curve_sql('long', ('model',))}
+  SELECT model, {q6('score')} AS threshold, {q6('tp / (tp + fp)')} AS precision, {q6('tp / p')} AS recall FROM cum
+  UNION ALL SELECT DISTINCT model, NULL, 1.0e0, 0.0e0 FROM cum
+  UNION ALL SELECT 'no_skill', NULL, {q6('AVG(ytrue)')}, r FROM scored, (VALUES (0.0e0), (1.0e0)) v(r) GROUP BY r""")
+def model_curves(spark, sf):
+    return rounded(curves.model_curves(scored(spark, sf), "ytrue", ["score", "fm_5_score"]), "threshold", "precision", "recall")
+
+
 @query("ks_statistic", f"""{_CUM} SELECT {q6('ks')} AS ks, {q6('threshold')} AS threshold FROM
   (SELECT abs(tp / p - fp / n) AS ks, score AS threshold FROM cum) ORDER BY ks DESC, threshold DESC LIMIT 1""")
 def ks_statistic(spark, sf):

@@ -136,8 +136,7 @@ def permutation_importance(spark, sf):
 @query("learning_curve")
 def learning_curve(spark, sf):
     data = _assembled(spark, sf)
-    return train.learning_curve(data, "ca_id", "dep_var", train.boosted_trees("dep_var", maxIter=2, maxDepth=2).fit, folds=2,
-                                shares=(0.1, 0.55, 1.0))
+    return train.learning_curve(data, "ca_id", "dep_var", train.boosted_trees("dep_var", maxIter=2, maxDepth=2).fit, folds=2)
 
 
 @query("boosting_curve")

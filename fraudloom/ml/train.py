@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import itertools
 import json
+import math
 import random
 import time
 from collections.abc import Callable, Mapping, Sequence
@@ -148,10 +148,16 @@ def cross_validate(df: DataFrame, key: str, label: str, fit: Fit, folds: int = 1
 
 
 def draw_params(space: Mapping[str, Sequence], n: int, seed: int = 42) -> list[dict]:
-    """n distinct draws from a discrete space (all combinations when there are fewer)."""
-    every = [dict(zip(space, combo)) for combo in itertools.product(*space.values())]
-    random.Random(seed).shuffle(every)
-    return every[:n]
+    """n distinct draws from a discrete space (all combinations when there are fewer), without listing the space."""
+    total = math.prod(len(v) for v in space.values())
+    draws = []
+    for i in random.Random(seed).sample(range(total), min(n, total)):
+        params = {}
+        for name, values in space.items():
+            i, at = divmod(i, len(values))
+            params[name] = values[at]
+        draws.append(params)
+    return draws
 
 
 def tune_search(df: DataFrame, key: str, label: str, make_fit: Callable[[dict], Fit], space: Mapping[str, Sequence],

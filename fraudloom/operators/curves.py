@@ -155,6 +155,15 @@ def model_comparison(scores: DataFrame, label: str, score_cols: Sequence[str]) -
     return skill.unionByName(none)
 
 
+def model_curves(scores: DataFrame, label: str, score_cols: Sequence[str]) -> DataFrame:
+    """Precision-recall points (model, threshold, precision, recall) per score column, and both ends of the no-skill line."""
+    long = unpivot_scores(scores, label, score_cols)
+    points = pr_curve(curve_counts(long, "score", "ytrue", ["model"]), ["model"])
+    none = scores.agg(F.lit("no_skill").alias("model"), F.lit(None).cast("double").alias("threshold"),
+                      F.avg(C(label).cast("double")).alias("precision"))
+    return points.unionByName(none.withColumn("recall", F.explode(F.array(F.lit(0.0), F.lit(1.0)))))
+
+
 def ks_statistic(counts: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     """Largest gap between the class-wise score distributions and the score where it is reached."""
     gap = F.abs(F.try_divide(C("tp"), C("p")) - F.try_divide(C("fp"), C("n")))

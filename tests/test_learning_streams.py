@@ -151,3 +151,12 @@ def test_permutation_importance_ignores_session_settings(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert got[0] == got[1] and got[0]["useful"] > 0.2 > abs(got[0]["noise"])
+
+
+def test_draws_are_distinct_and_need_no_listing():
+    small = {"a": [1, 2], "b": ["x", "y", "z"]}
+    every = train.draw_params(small, 50)
+    assert len(every) == 6 and len({(d["a"], d["b"]) for d in every}) == 6
+    huge = {f"p{i}": list(range(100)) for i in range(8)}
+    draws = train.draw_params(huge, 50)
+    assert len({tuple(d.values()) for d in draws}) == 50 and draws == train.draw_params(huge, 50)
