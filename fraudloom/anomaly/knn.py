@@ -1,8 +1,8 @@
 """Exact k nearest neighbours per window, in bounded tasks.
 
 Equal vectors are merged first and carry their smallest ids, so a group of
-copies costs no more than one row. The distinct vectors go to the nearest of a
-fixed number of pivots and each (window, pivot) cell is cut into blocks of
+copies costs no more than one row. The distinct vectors go to the nearest of
+at most PIVOTS pivots and each (window, pivot) cell is cut into blocks of
 about BLOCK rows. The triangle inequality tells from the block radii which
 block pairs can hold neighbours; only those pairs are compared, each as one
 task-sized unit that emits its best rows. The result is then handed to all
@@ -36,8 +36,9 @@ def _distinct(rows: DataFrame, k: int) -> DataFrame:
 
 
 def _pivots(rows: DataFrame, seed: int) -> np.ndarray:
-    """PIVOTS vectors in hash order (a fixed number)."""
-    picked = rows.select("vec").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(PIVOTS).collect()
+    """Vectors in hash order: one per BLOCK rows, at most PIVOTS."""
+    wanted = min(PIVOTS, -(-rows.count() // BLOCK))
+    picked = rows.select("vec").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(wanted).collect()
     return np.array([r.vec for r in picked], dtype="float64")
 
 
@@ -71,35 +72,47 @@ def _blocks(rows: DataFrame) -> DataFrame:
         F.flatten(F.transform("m", lambda x: x["ids"])).alias("ids"))
 
 
+def _best(i: np.ndarray, dist: np.ndarray, by: np.ndarray, take: int) -> np.ndarray:
+    """Positions of the ``take`` smallest (dist, by) of each i, in order."""
+    order = np.lexsort((by, dist, i))
+    s = i[order]
+    first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+    rank = np.arange(len(s)) - np.repeat(first, np.diff(np.r_[first, len(s)]))
+    return order[rank < take]
+
+
+def _nearest(a: np.ndarray, b: np.ndarray, take: int, step: int = 100_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of a, row of b, distance) of the ``take`` nearest rows of b to each row of a; ties by the row of b.
+
+    A matrix product picks the candidates, with room for its rounding; their distances are then taken from the vectors.
+    """
+    sa, sb = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    rough = sa[:, None] + sb - 2 * (a @ b.T)
+    at = min(take, len(b)) - 1
+    cut = np.partition(rough, at, axis=1)[:, at] + 1e-9 * (sa + sb.max())
+    i, j = np.nonzero(~(rough > cut[:, None])) if at < len(b) - 1 else (x.ravel() for x in np.indices(rough.shape))
+    dist = np.concatenate([np.sqrt(((b[j[s:s + step]] - a[i[s:s + step]]) ** 2).sum(axis=1)) for s in range(0, len(i), step)])
+    best = _best(i, dist, j, take)
+    return i[best], j[best], dist[best]
+
+
 def _compare(take: int):
     """For every left vector of a block pair, its ``take`` nearest member ids on the right."""
     def run(batches):
         for pdf in batches:
-            out = {"window": [], "rep": [], "nbr": [], "dist": []}
             for row in pdf.itertuples(index=False):
-                a_reps, b_reps = np.asarray(row.a_reps), np.asarray(row.b_reps)
+                a_reps, b_reps, ids = np.asarray(row.a_reps), np.asarray(row.b_reps), np.asarray(row.b_ids)
                 a = np.asarray(row.a_data, dtype="float64").reshape(len(a_reps), -1)
                 b = np.asarray(row.b_data, dtype="float64").reshape(len(b_reps), -1)
-                members = np.split(np.asarray(row.b_ids), np.cumsum(np.asarray(row.b_sizes))[:-1])
-                order = np.argsort(b_reps, kind="stable")
-                b, members = b[order], [members[i] for i in order]
-                single = all(len(m) == 1 for m in members)
-                firsts = np.array([m[0] for m in members])
-                for i in range(len(a_reps)):
-                    d = np.sqrt(((b - a[i]) ** 2).sum(axis=1))
-                    best = np.argsort(d, kind="stable")[:take]  # ties by smallest member id
-                    if single:
-                        ids, dist = firsts[best], d[best]
-                    else:
-                        ids = np.concatenate([members[j] for j in best])
-                        dist = np.repeat(d[best], [len(members[j]) for j in best])
-                        first = np.lexsort((ids, dist))[:take]
-                        ids, dist = ids[first], dist[first]
-                    out["window"] += [row.window] * len(ids)
-                    out["rep"] += [a_reps[i]] * len(ids)
-                    out["nbr"] += ids.tolist()
-                    out["dist"] += dist.tolist()
-            yield pd.DataFrame(out)
+                sizes = np.asarray(row.b_sizes, dtype="int64")
+                order = np.argsort(b_reps, kind="stable")  # ties by smallest member id
+                start, sizes = (np.cumsum(sizes) - sizes)[order], sizes[order]
+                i, j, dist = _nearest(a, b[order], take)
+                n = sizes[j]
+                i, dist = np.repeat(i, n), np.repeat(dist, n)
+                nbr = ids[np.repeat(start[j] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                top = _best(i, dist, nbr, take)
+                yield pd.DataFrame({"window": row.window, "rep": a_reps[i[top]], "nbr": nbr[top], "dist": dist[top]})
     return run
 
 

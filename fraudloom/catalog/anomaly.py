@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..anomaly import detectors, knn
 from ..operators import graph, relational as rel
 from ..plans import window_cost
+from ..session import settle
 from .base import C, applications, q6, query, rounded, scored, tbl
 from .tables import EDGES_SQL, IDENTITY_SQL, _LINE_EDGES, _WINDOWS, identity_rows, line_edges
 
@@ -107,7 +108,7 @@ def window_anomaly_cost(spark, sf):
     """Windows, features, the cheap detectors, augmentation and cost over all applications."""
     s = rel.filter_scored(scored(spark, sf))
     rows = window_cost.window_features(s, "ca_id", "ca_created_at", 365, ["requested_loan_amount"], ["partner", "product_type"])
-    rows = rows.persist()
+    rows = settle(rows, "windows")
     found = detectors.outlier_hbos(rows).unionByName(detectors.outlier_iforest(rows, trees=32)).unionByName(
         detectors.outlier_pca(rows, (1, 3)))
     return window_cost.window_savings(found, s, "ca_id", "ytrue", "fm_5_score")
@@ -116,7 +117,7 @@ def window_anomaly_cost(spark, sf):
 @query("detector_suite_cost")
 def detector_suite_cost(spark, sf):
     """All seven detectors on the embeddings, priced against a base score of the same ids."""
-    rows = feature_rows(spark, sf).persist()
+    rows = feature_rows(spark, sf)
     k = C("vec_id")
     labels = tbl(spark, sf, "embeddings").select(k, (k % 5 == 0).cast("int").alias("y"), (k * 7919 % 10007 / F.lit(20014.0)).alias("base"))
     found = detectors.detector_suite(rows, trees=64, dims=64)
@@ -126,20 +127,22 @@ def detector_suite_cost(spark, sf):
 # ---------------------------------------------------------------- graph
 
 
-def _edges(spark, sf):
-    return graph.shared_attribute_edges(identity_rows(spark, sf), "event_id", "user_id", ["props", "device"])
+def _pairs(spark, sf):
+    """Undirected pair weights of every row whose id is divisible by 20 against all rows."""
+    edges = graph.shared_attribute_edges(identity_rows(spark, sf), "event_id", "user_id", ["props", "device"])
+    listed = tbl(spark, sf, "events").where(C("event_id") % 20 == 0).select(C("event_id").alias("id"))
+    return graph.graph_from_adjacency(graph.pair_weights(edges, listed))
 
 
-@query("graph_from_adjacency", f"WITH {EDGES_SQL} SELECT kind, src, dst, via, weight FROM sedges WHERE kind = 'hub' OR src < dst")
+@query("graph_from_adjacency", f"WITH {EDGES_SQL} SELECT src, dst, weight FROM pairs")
 def graph_from_adjacency(spark, sf):
-    return graph.graph_from_adjacency(_edges(spark, sf))
+    return _pairs(spark, sf)
 
 
 @query("edge_attributes", f"""WITH {EDGES_SQL} SELECT src, dst, a.props AS src_email, b.props AS dst_email, substr(a.device, 1, 7) AS src_device,
-  substr(b.device, 1, 7) AS dst_device FROM sedges JOIN ident a ON src = a.event_id JOIN ident b ON dst = b.event_id WHERE src < dst""")
+  substr(b.device, 1, 7) AS dst_device FROM pairs JOIN ident a ON src = a.event_id JOIN ident b ON dst = b.event_id""")
 def edge_attributes(spark, sf):
-    e = graph.graph_from_adjacency(_edges(spark, sf)).where(C("kind") == "pair").select("src", "dst")
-    return graph.edge_attributes(e, identity_rows(spark, sf), "event_id",
+    return graph.edge_attributes(_pairs(spark, sf).select("src", "dst"), identity_rows(spark, sf), "event_id",
                                  {"email": C("props"), "device": F.substring("device", 1, 7)})
 
 

@@ -1,6 +1,6 @@
 """Queries of training, tuning, scoring, importances and streams.
 
-Each one runs over its whole tables; only the number of trees, folds and trials is kept small.
+Each one runs over its whole tables; the number of trees and trials, and the folds of the searches, are kept small.
 """
 
 from __future__ import annotations
@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from ..ml import stages, train
 from ..operators import relational as rel
-from ..session import scratch_path
+from ..session import scratch_path, settle
 from ..streaming import jobs
-from .base import C, applications, query, rounded
+from .base import C, applications, query, rounded, tbl
 from .features import FEATURE_PLAN_SQL, feature_plan, payloads, rounded_features
 from .evaluation import augmented
 
@@ -45,7 +45,7 @@ def _assembled(spark, sf):
     """Numeric feature vectors with slot names, prepared once."""
     df = training_rows(spark, sf).drop("ca_created_at")
     back = Pipeline(stages=train.preprocess_by_type(df, "dep_var", ["ca_id"])).fit(df)
-    return back.transform(df).select("ca_id", "dep_var", "features").persist()
+    return settle(back.transform(df).select("ca_id", "dep_var", "features"), "assembled")
 
 
 @query("train_model")
@@ -143,7 +143,7 @@ def learning_curve(spark, sf):
 def boosting_curve(spark, sf):
     split = rel.stratified_fold(_assembled(spark, sf), "ca_id", "dep_var", 5)
     fit_rows, test = split.where(C("fold") != 0), split.where(C("fold") == 0)
-    model = train.boosted_trees("dep_var", maxIter=5, maxDepth=3).fit(fit_rows)
+    model = train.boosted_trees("dep_var", maxDepth=3).fit(fit_rows)
     return train.boosting_curve(model, fit_rows, test)
 
 
@@ -181,10 +181,11 @@ def stream_score(spark, sf):
 
 
 @query("stream_velocity", """SELECT strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS window_start, user_id AS "from", event_type AS "to",
-  COUNT(*) AS velocity, round(AVG(CASE WHEN event_type = 'error' THEN 1.0e0 ELSE 0 END), 6) + 0.0 AS fraud FROM events
-  WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT MAX(ts) FROM events) - INTERVAL 2 HOUR GROUP BY 1, 2, 3""")
+  COUNT(*) AS velocity, round(AVG(CASE WHEN event_type = 'error' THEN 1.0e0 ELSE 0 END), 6) + 0.0 AS fraud FROM events GROUP BY 1, 2, 3""")
 def stream_velocity(spark, sf):
-    e = jobs.stream_table(spark, sf, "events").withColumns({
-        "ts": C("ts").cast("timestamp"), "flag": rel.map_flag(C("event_type"), "error")})
-    out = jobs.run_to_table(jobs.stream_velocity(e, "ts", "user_id", "event_type", "flag"), "velocity")
+    columns = {"ts": C("ts").cast("timestamp"), "flag": rel.map_flag(C("event_type"), "error")}
+    pair = ("ts", "user_id", "event_type", "flag")
+    e = jobs.stream_table(spark, sf, "events").withColumns(columns)
+    out = jobs.run_to_table(jobs.stream_velocity(e, *pair), "velocity")
+    out = jobs.close_velocity(out, tbl(spark, sf, "events").withColumns(columns), *pair)
     return rounded(out, "fraud").withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))

@@ -339,13 +339,13 @@ EDGES_SQL = f"""{IDENTITY_SQL}, attrs AS (
     UNION ALL SELECT event_id, user_id, 'device', device FROM ident WHERE trim(device) <> ''),
   sizes AS (SELECT attr, value, COUNT(*) AS n FROM attrs GROUP BY 1, 2 HAVING COUNT(DISTINCT owner) > 1),
   att AS (SELECT attrs.*, n FROM attrs JOIN sizes USING (attr, value)),
-  sedges AS (
-    SELECT 'pair' AS kind, a.id AS src, b.id AS dst, CAST(NULL AS VARCHAR) AS via, COUNT(*) AS weight
-    FROM att a JOIN att b ON a.attr = b.attr AND a.value = b.value AND a.owner <> b.owner WHERE a.n <= 50 GROUP BY 2, 3
-    UNION ALL SELECT 'hub', id, NULL, attr || '=' || value, 1 FROM att WHERE n > 50)"""
+  pairs AS (
+    SELECT DISTINCT least(src, dst) AS src, greatest(src, dst) AS dst, weight FROM (
+      SELECT a.id AS src, b.id AS dst, COUNT(*) AS weight FROM att a
+      JOIN att b ON a.attr = b.attr AND a.value = b.value AND a.owner <> b.owner WHERE a.id % 20 = 0 GROUP BY 1, 2))"""
 
 
-@query("shared_attribute_edges", f"WITH {EDGES_SQL} SELECT * FROM sedges")
+@query("shared_attribute_edges", f"WITH {EDGES_SQL} SELECT id, owner, attr || '=' || value AS via FROM att")
 def shared_attribute_edges(spark, sf):
     return graph.shared_attribute_edges(identity_rows(spark, sf), "event_id", "user_id", ["props", "device"])
 

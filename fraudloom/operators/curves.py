@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import settle
 from .prefix import bucket_count, cut_points, running_sums
 
 C = F.col
@@ -20,8 +21,8 @@ def curve_counts(scores: DataFrame, score: str = "score", label: str = "ytrue",
                  groups: Sequence[str] = (), weight: str | None = None, keep: bool = True) -> DataFrame:
     """One row per (group, distinct score): pos, neg at the score, tp, fp at or above it, totals p, n.
 
-    ``keep`` caches the per-score counts, so that the source is read once although
-    the bucket borders need a pass of their own; pass False when the scores are cached.
+    ``keep`` writes the per-score counts to the shared folder, so that the source is read once although
+    the bucket borders need a pass of their own; pass False when the scores are stored already.
     """
     value = C(score).cast("double")
     rows = scores.where(value.isNotNull() & ~F.isnan(value) & C(label).isNotNull())
@@ -30,7 +31,7 @@ def curve_counts(scores: DataFrame, score: str = "score", label: str = "ytrue",
         F.sum(F.when(C(label) == 1, w).otherwise(F.lit(0))).alias("pos"),
         F.sum(F.when(C(label) == 1, F.lit(0)).otherwise(w)).alias("neg"))
     if keep:
-        per_score = per_score.persist()
+        per_score = settle(per_score, "curve")
         cuts = cut_points(per_score, "score", bucket_count(rows))
     else:
         cuts = cut_points(rows, score, bucket_count(rows))

@@ -47,9 +47,20 @@ def stream_velocity(stream: DataFrame, ts: str, left: str, right: str, flag: str
                     late: str = "2 hours") -> DataFrame:
     """Velocity and mean flag per entity pair and event-time window; rows later than ``late`` are not counted.
 
-    A window is emitted once the watermark passed its end.
+    A window is emitted once the watermark passed its end; ``close_velocity`` adds those still open when a stream ends.
     """
     return (stream.withWatermark(ts, late)
             .groupBy(F.window(ts, window).alias("w"), C(left).alias("from"), C(right).alias("to"))
             .agg(F.count(C(flag)).alias("velocity"), F.avg(C(flag)).alias("fraud"))
             .select(C("w.start").alias("window_start"), "from", "to", "velocity", "fraud"))
+
+
+def close_velocity(emitted: DataFrame, rows: DataFrame, ts: str, left: str, right: str, flag: str,
+                   window: str = "1 day") -> DataFrame:
+    """The emitted windows of a stream that has ended, and those its watermark never closed, from its stored rows.
+
+    Windows close in order, so the open ones begin after the last one emitted; only their rows are read.
+    """
+    last = emitted.agg(F.max("window_start")).scalar()
+    still_open = rows.where(last.isNull() | (C(ts) >= last + F.expr(f"INTERVAL {window}")))
+    return emitted.unionByName(stream_velocity(still_open, ts, left, right, flag, window))

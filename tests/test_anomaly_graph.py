@@ -94,32 +94,36 @@ def test_iforest_is_repeatable(spark):
     assert a == b
 
 
-@pytest.mark.parametrize("max_group", [1, 4, 1000])
-def test_edges_keep_every_weight(spark, max_group):
+@pytest.mark.parametrize("tile", [7, 4096])
+def test_edges_keep_every_weight(spark, monkeypatch, tile):
+    monkeypatch.setattr(graph, "TILE", tile)
     rnd = random.Random(8)
     rows = [(i, rnd.randint(0, 12), "hot" if rnd.random() < .4 else f"m{rnd.randint(0, 20)}",
              None if rnd.random() < .2 else f"d{rnd.randint(0, 15)}") for i in range(120)]
     df = spark.createDataFrame(rows, "id bigint, owner int, mail string, dev string")
-    out = graph.shared_attribute_edges(df, "id", "owner", ["mail", "dev"], max_group).collect()
-    got, hubs = Counter(), {}
-    for e in out:
-        if e.kind == "pair":
-            got[(e.src, e.dst)] += e.weight
-        else:
-            hubs.setdefault(e.via, []).append(e.src)
+    edges = graph.shared_attribute_edges(df, "id", "owner", ["mail", "dev"])
+    values = {}
+    for e in edges.collect():
+        values.setdefault(e.via, []).append(e.id)
     owner = {r[0]: r[1] for r in rows}
-    for members in hubs.values():
-        assert len(members) > max_group
+    linear = Counter()
+    for members in values.values():
+        assert len({owner[i] for i in members}) > 1
         for a, b in itertools.permutations(members, 2):
             if owner[a] != owner[b]:
-                got[(a, b)] += 1
+                linear[(a, b)] += 1
+    pairs = graph.pair_weights(edges, df.where("id < 60"))
+    got = Counter({(p.src, p.dst): p.weight for p in pairs.collect()})
     want = Counter()
     for a, b in itertools.permutations(rows, 2):
         if a[1] != b[1]:
             w = sum(x is not None and x == y for x, y in zip(a[2:], b[2:]))
             if w:
                 want[(a[0], b[0])] = w
-    assert got == want
+    assert linear == want
+    assert got == Counter({p: w for p, w in want.items() if p[0] < 60})
+    once = {(p.src, p.dst): p.weight for p in graph.graph_from_adjacency(pairs).collect()}
+    assert once == {p: w for p, w in want.items() if p[0] < p[1] and min(p) < 60}
 
 
 def test_similar_tokens_is_exact(spark):
