@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fraudloom.llm import ann_graph, components, decontaminate, html_main, packing, simhash_bk, url_rules
+from fraudloom.llm import ann_graph, components, decontaminate, html_main, near_copies, packing, simhash_bk, url_rules
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -71,6 +71,48 @@ def test_simhash_components(spark):
     assert simhash_bk.cluster(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def five_words(text):
+    w = (text or "").encode().lower().split()
+    return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def test_pipeline_links_near_copies(spark):
+    rng = random.Random(21)
+    texts = []
+    for _ in range(6):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(60, 300))]
+        for _ in range(14):
+            w = list(base)
+            for _ in range(rng.randint(0, len(w) // 25)):
+                w[rng.randrange(len(w))] = f"new{rng.randrange(10**6)}"
+            texts.append(" ".join(w).upper() if rng.random() < 0.2 else "  ".join(w))
+    texts += [None, "", " \t", "one two", "one  TWO", "two one", "a b c d e", "a b c d e f"]
+    sets = [five_words(t) for t in texts]
+    top = list(range(len(texts)))
+    apart = 0
+    for a, b in combinations(range(len(texts)), 2):
+        if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b])):
+            apart += (fingerprint(texts[a] or "") ^ fingerprint(texts[b] or "")).bit_count() > 2
+            x, y = sorted((top[a], top[b]))
+            top = [x if v == y else v for v in top]
+    assert apart > 50  # links that the fingerprints of op5 do not have
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)] + [(None, texts[0], None, None, None), (3, texts[3], "en", "s", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == sorted(set(top))
+    numbered = simhash_bk.settle(docs.withColumn("_row", F.monotonically_increasing_id()), "test-rows")
+    for limit, tile in ((4096, 5), (3, 512), (3, 4)):  # families in tiles, every family cut to its buckets, both
+        kept = near_copies.first_of_groups(numbered, limit=limit, tile=tile)[1].join(numbered, "_row")
+        assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(top))
+    assert corpus_pipeline.near_duplicates(spark, docs.filter("false"), "").count() == 0
+
+
+def test_sizes_of_intersections():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, n, 60)).astype(np.uint64) for n in (70, 200, 2000) for _ in range(30)]
+    got = near_copies.common(sets)
+    assert all(got[a, b] == len(np.intersect1d(sets[a], sets[b])) for a in range(90) for b in range(90) if a != b)
+
+
 def test_bk_tree_and_components(spark):
     rng = random.Random(2)
     values = [rng.getrandbits(64) for _ in range(50)]
