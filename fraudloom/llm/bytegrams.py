@@ -3,7 +3,8 @@
 A gram of n bytes is an integer whose lowest byte is the predicted byte and whose next bytes are its context,
 nearest first. Every text is framed by n - 1 zero bytes in front and one zero byte as its end, so a text of m bytes
 has m + 1 grams. All contexts of two or more bytes that end in the same two bytes share a bucket: longer contexts
-and their shorter forms meet in one group, which holds at most 256^(n - 2) grams.
+and their shorter forms meet in one group. Contexts that the caller calls busy are dealt by their third byte as well.
+A group holds each gram once for every pack that has it.
 """
 
 from __future__ import annotations
@@ -66,9 +67,30 @@ def by_text(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     return (c if distinct is None else distinct[c]), owner, k
 
 
-def bucket_of(code: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket of a gram: a mix of its two nearest context bytes."""
-    return ((((code >> 8) & 0xFFFF) * 40503 >> 4) & 0xFFFFF) % buckets
+def bucket_of(code: np.ndarray, buckets: int, busy: np.ndarray | None = None) -> np.ndarray:
+    """Bucket of a gram: a mix of its two nearest context bytes, and of the third where ``busy`` (by the two) is true."""
+    near = (code >> 8) & 0xFFFF
+    mix = near * 40503 >> 4
+    if busy is not None:
+        mix = np.where(busy[near], mix + (((code >> 24) & 0xFF) + 1) * 2654435761 >> 7, mix)
+    return (mix & 0xFFFFF) % buckets
+
+
+def near_contexts(texts, chunk: int = 1 << 20) -> np.ndarray:
+    """How often each two bytes (nearest first from the low end) stand before a byte or the end of a text."""
+    out, held, size = np.zeros(65536, np.int64), [], 0
+
+    def add():
+        x = np.frombuffer(b"\0".join(held), np.uint8).astype(np.int64)
+        return np.bincount(x[:-1] << 8 | x[1:], minlength=65536)
+
+    for t in texts:
+        held.append(t)
+        size += len(t) + 1
+        if size > chunk:
+            out += add()
+            held, size = [], 0
+    return out + add()
 
 
 def squeeze(values: np.ndarray) -> bytes:
@@ -92,9 +114,24 @@ def unpack_keys(blob: bytes) -> np.ndarray:
     return np.cumsum(expand(blob))
 
 
-def split(code: np.ndarray, count: np.ndarray, buckets: int):
+def merge(parts, least: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct codes of all (codes, counts) and their summed counts, merged as they come.
+
+    What waits never exceeds what is merged, or ``least``, by more than one part.
+    """
+    code, count, held, size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+    for part in parts:
+        held.append(part)
+        size += len(part[0])
+        if size > max(least, len(code)):
+            code, count = tally(*(np.concatenate(x) for x in zip((code, count), *held)))
+            held, size = [], 0
+    return tally(*(np.concatenate(x) for x in zip((code, count), *held)))
+
+
+def split(code: np.ndarray, count: np.ndarray, buckets: int, busy: np.ndarray | None = None):
     """(bucket, codes, counts) per bucket that has codes; codes stay sorted."""
-    b = bucket_of(code, buckets)
+    b = bucket_of(code, buckets, busy)
     order = np.argsort(b, kind="stable")
     edge = np.searchsorted(b[order], np.arange(buckets + 1))
     for i in range(buckets):
@@ -103,9 +140,9 @@ def split(code: np.ndarray, count: np.ndarray, buckets: int):
             yield i, code[at], count[at]
 
 
-def join_answers(code: np.ndarray, buckets: int, answers: dict[int, np.ndarray]) -> np.ndarray:
+def join_answers(code: np.ndarray, buckets: int, answers: dict[int, np.ndarray], busy: np.ndarray | None = None) -> np.ndarray:
     """Answers of the buckets put back in the order of ``code``."""
-    b = bucket_of(code, buckets)
+    b = bucket_of(code, buckets, busy)
     out = np.zeros(len(code))
     for i, values in answers.items():
         out[b == i] = values

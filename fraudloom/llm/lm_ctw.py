@@ -6,7 +6,9 @@ training documents are fixed before anything is scored, so each next byte has on
 
 A pack of documents asks for its distinct grams and words. Grams meet in buckets by the two nearest context bytes,
 which hold whole subtrees of the context tree; the top two levels (at most 65,280 nodes) are summed over the buckets
-and passed back. Words meet in buckets by their hash. Nothing else passes through the driver.
+and passed back. Two-byte contexts before more than 1/512 of all bytes are dealt by their third byte, and their own
+nodes (at most 511 times 255) are summed over the buckets too. A bucket merges the sorted grams of its packs as it
+reads them. Words meet in buckets by their hash. Nothing else passes through the driver.
 
 Defined results: null texts count as empty. Text is lower-cased in A-Z and its words joined by one space; the model
 then codes every byte and one end. Documents without an id are scored and never learned from. With no training text
@@ -47,17 +49,18 @@ def kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 
 
 def leaves(code: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Deepest nodes of grams: (context << 8 | node, zeros, ones), sorted by key."""
+    """Deepest nodes of sorted grams: (context << 8 | node, zeros, ones), sorted by key."""
     byte, ctx = code & 255, code >> 8 << 8
     keys, zero, one = [], [], []
     for j in range(8):
-        bit = byte >> (7 - j) & 1
-        keys.append(ctx | 1 << j | byte >> (8 - j))
-        zero.append(np.where(bit == 0, count, 0))
-        one.append(np.where(bit == 1, count, 0))
-    keys, zero, one = np.concatenate(keys), np.concatenate(zero).astype(float), np.concatenate(one).astype(float)
-    k, z = bg.tally(keys, zero)
-    return k, z, bg.tally(keys, one)[1]
+        bit, k = byte >> (7 - j) & 1, ctx | 1 << j | byte >> (8 - j)  # k ascends as the codes do
+        at = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, np.int64)
+        keys.append(k[at])
+        zero.append(np.add.reduceat(np.where(bit == 0, count, 0), at) if len(k) else at)
+        one.append(np.add.reduceat(np.where(bit == 1, count, 0), at) if len(k) else at)
+    keys = np.concatenate(keys)
+    order = np.argsort(keys, kind="stable")
+    return keys[order], np.concatenate(zero)[order].astype(float), np.concatenate(one)[order].astype(float)
 
 
 def weigh(key: np.ndarray, zero: np.ndarray, one: np.ndarray, depth: int, top: int) -> dict[int, dict]:
@@ -84,24 +87,35 @@ def descend(level: dict, mass: np.ndarray, left: np.ndarray) -> tuple[np.ndarray
     return mass + left * level["own"] * p, left * (1 - level["own"])
 
 
-def tops(rows) -> tuple[np.ndarray, np.ndarray]:
-    """Gathered mass and left weight after depths 0 and 1, as 65,536 cells of (byte before << 8 | node)."""
+def tops(rows, busy_rows) -> tuple[tuple, tuple]:
+    """Gathered mass and left weight above the subtrees of a bucket, each as (keys, mass, left).
+
+    The first holds depths 0 and 1 in 65,536 cells of (byte before << 8 | node); the second adds depth 2 for the
+    nodes of busy contexts, which come in parts as their third byte deals them.
+    """
     zero, one, kids = np.zeros(65536), np.zeros(65536), np.zeros(65536)
     for r in rows:
         zero[r["k"]], one[r["k"]], kids[r["k"]] = r["zero"], r["one"], r["kids"]
+    busy_rows = sorted(busy_rows, key=lambda r: r["k"])
+    key = np.array([r["k"] for r in busy_rows], np.int64)
+    second = _weighted(*(np.array([r[x] for r in busy_rows], float) for x in ("zero", "one", "kids")))
+    for cells, x in ((zero, "zero"), (one, "one"), (kids, "lpw")):
+        np.add.at(cells, key & 0xFFFF, second[x])
     first = _weighted(zero, one, kids)
     root = _weighted(*(first[x].reshape(256, 256).sum(0) for x in ("zero", "one", "lpw")))
     mass, left = descend(root, np.zeros(256), np.ones(256))
-    return descend(first, np.tile(mass, 256), np.tile(left, 256))
+    mass, left = descend(first, np.tile(mass, 256), np.tile(left, 256))
+    return (np.arange(65536), mass, left), (key, *descend(second, mass[key & 0xFFFF], left[key & 0xFFFF]))
 
 
-def gram_logs(code: np.ndarray, levels: dict[int, dict], depth: int, mass: np.ndarray, left: np.ndarray) -> np.ndarray:
-    """Log2 probability of the byte of each gram given its context."""
-    node = levels[2]
-    m, l = mass[node["key"] & 0xFFFF], left[node["key"] & 0xFFFF]
-    for d in range(2, depth + 1):
+def gram_logs(code: np.ndarray, levels: dict[int, dict], depth: int, top: int, above: tuple) -> np.ndarray:
+    """Log2 probability of the byte of each gram given its context; ``above`` holds what depths under ``top`` gathered."""
+    node = levels[top]
+    at = np.searchsorted(above[0], node["key"] & ((1 << 8 * top) - 1))
+    m, l = above[1][at], above[2][at]
+    for d in range(top, depth + 1):
         node = levels[d]
-        if d > 2:
+        if d > top:
             m, l = m[node["up"]], l[node["up"]]
         m, l = descend(node, m, l)
     p = np.clip(m + l / 2, 1e-300, 1 - 1e-16)
@@ -112,10 +126,9 @@ def gram_logs(code: np.ndarray, levels: dict[int, dict], depth: int, mass: np.nd
     return out
 
 
-def _bucket_counts(t: pa.Table):
-    asks = [bg.unpack_keys(k) for k in t.column("keys").to_pylist()]
-    counts = [bg.expand(c) for c in t.column("counts").to_pylist()]
-    return asks, bg.tally(np.concatenate(asks), np.concatenate(counts))
+def _bucket_counts(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams of a bucket and their counts; one pack at a time is unpacked."""
+    return bg.merge((bg.unpack_keys(k.as_py()), bg.expand(c.as_py())) for k, c in zip(t.column("keys"), t.column("counts")))
 
 
 def _words(t: pa.Table):
@@ -128,7 +141,8 @@ def _words(t: pa.Table):
     return asks, seen
 
 
-def score(docs: DataFrame, *, depth: int = 5, modulus: int = 7, rest: int = 2, bucket_bytes: int = 16 << 20) -> DataFrame:
+def score(docs: DataFrame, *, depth: int = 5, modulus: int = 7, rest: int = 2, bucket_bytes: int = 16 << 20,
+          busy_share: int = 512) -> DataFrame:
     """Per document: held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte."""
     buckets = max(12, -(-text_bytes(docs) // bucket_bytes))
     n = depth + 1
@@ -139,6 +153,18 @@ def score(docs: DataFrame, *, depth: int = 5, modulus: int = 7, rest: int = 2, b
     def token_lists(t: pa.Table) -> list[list[bytes]]:
         return [x.lower().split() for x in t.column("text").fill_null("").cast(pa.binary()).to_pylist()]
 
+    def contexts(batches):
+        for b in batches:
+            n = bg.near_contexts(b" ".join(x) for x in token_lists(pa.Table.from_batches([b])))
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(n[at], pa.int64())], names=["near", "n"])
+
+    busy = np.zeros(65536, bool)
+    if depth > 2:
+        near = settle(src.select("text").mapInArrow(contexts, "near int, n long").groupBy("near").agg(F.sum("n").alias("n")), "ctw-near")
+        all_bytes = near.agg(F.sum("n")).first()[0] or 0
+        busy[[r["near"] for r in near.filter(C("n") > all_bytes / busy_share).collect()]] = True  # fewer than busy_share rows
+
     def word_buckets(words) -> list[list[bytes]]:
         parts: list[list[bytes]] = [[] for _ in range(buckets)]
         for w in words:
@@ -152,7 +178,7 @@ def score(docs: DataFrame, *, depth: int = 5, modulus: int = 7, rest: int = 2, b
         rest_code, rest_count = bg.tally(code[~learn[owner]])
         code, count = bg.tally(code)
         count[np.searchsorted(code, rest_code)] -= rest_count
-        for b, k, c in bg.split(code, count, buckets):
+        for b, k, c in bg.split(code, count, buckets, busy):
             yield "g", b, bg.pack_keys(k), bg.squeeze(c.astype("<i8"))
         words, rest_words = Counter(), Counter()
         for ws, f in zip(lists, learn):
@@ -168,14 +194,21 @@ def score(docs: DataFrame, *, depth: int = 5, modulus: int = 7, rest: int = 2, b
     packs, forget = write_packs(src, requests, "ctw-packs", buckets)
     asked = packs.filter(C("kind").isNotNull()).select("kind", "bucket", "pack", "keys", "counts")
 
+    def subtrees(code, count):
+        """(what its parts are called, depth of its highest nodes, which grams, their codes and counts)."""
+        mine = busy[(code >> 8) & 0xFFFF]
+        for what, top, at in (("g", 2, ~mine), ("b", 3, mine)):
+            if at.any():
+                yield what, top, at, code[at], count[at]
+
     def stats(key, t):
         kind, out = key[0].as_py(), []
         if kind == "g":
-            code, count = _bucket_counts(t)[1]
-            two = weigh(*leaves(code, count), depth, 2)[2]
-            k, back = np.unique(two["key"] & 0xFFFF, return_inverse=True)
-            cells = [np.bincount(back, weights=two[x]) for x in ("zero", "one", "lpw")]
-            out = [("g", int(a), *map(float, x)) for a, *x in zip(k, *cells)]
+            for what, top, _, code, count in subtrees(*_bucket_counts(t)):
+                nodes = weigh(*leaves(code, count), depth, top)[top]
+                k, back = np.unique(nodes["key"] & ((1 << 8 * top) - 1), return_inverse=True)
+                cells = [np.bincount(back, weights=nodes[x]) for x in ("zero", "one", "lpw")]
+                out += [(what, int(a), *map(float, x)) for a, *x in zip(k, *cells)]
         elif kind == "w":
             seen = _words(t)[1]
             out = [("w", 0, float(sum(seen.values())), float(len(seen)), 0.0)]
@@ -186,17 +219,19 @@ def score(docs: DataFrame, *, depth: int = 5, modulus: int = 7, rest: int = 2, b
         return pa.table({a: pa.array([r[i] for r in out], ty) for i, (a, ty) in enumerate(zip(names, types))})
 
     found = (asked.groupBy("kind", "bucket").applyInArrow(stats, "what string, k long, zero double, one double, kids double")
-             .groupBy("what", "k").agg(*(F.sum(x).alias(x) for x in ("zero", "one", "kids"))).collect())  # at most 65,282 rows
-    mass, left = tops(r for r in found if r["what"] == "g")
+             .groupBy("what", "k").agg(*(F.sum(x).alias(x) for x in ("zero", "one", "kids"))).collect())  # at most 65,282 rows and 255 for each busy context
+    above = dict(zip((2, 3), tops(*([r for r in found if r["what"] == x] for x in "gb"))))
     ends = int(sum(r["zero"] for r in found if r["what"] == "e"))
     total = int(sum(r["zero"] for r in found if r["what"] == "w")) + ends
     vocabulary = int(sum(r["one"] for r in found if r["what"] == "w")) + (ends > 0)
 
     def answer(key, t):
         if key[0].as_py() == "g":
-            asks, (code, count) = _bucket_counts(t)
-            logs = gram_logs(code, weigh(*leaves(code, count), depth, 2), depth, mass, left)
-            out = [bg.squeeze(logs[np.searchsorted(code, a)].astype("<f4")) for a in asks]
+            code, count = _bucket_counts(t)
+            logs = np.zeros(len(code))
+            for _, top, at, c, n in subtrees(code, count):
+                logs[at] = gram_logs(c, weigh(*leaves(c, n), depth, top), depth, top, above[top])
+            out = [bg.squeeze(logs[np.searchsorted(code, bg.unpack_keys(a.as_py()))].astype("<f4")) for a in t.column("keys")]
         else:
             asks, seen = _words(t)
             out = [bg.squeeze(np.array([seen.get(w, 0) for w in a], "<i8")) for a in asks]
@@ -213,7 +248,7 @@ def score(docs: DataFrame, *, depth: int = 5, modulus: int = 7, rest: int = 2, b
         got = list(zip(*(rt.column(c).to_pylist() for c in ("kind", "bucket", "logs"))))
         code, owner, k = bg.by_text(texts, n)
         first = np.r_[True, code[1:] != code[:-1]]
-        lp = bg.join_answers(code[first], buckets, {b: bg.expand(x, "<f4") for a, b, x in got if a == "g"})
+        lp = bg.join_answers(code[first], buckets, {b: bg.expand(x, "<f4") for a, b, x in got if a == "g"}, busy)
         score2 = np.bincount(owner, weights=k * lp[np.cumsum(first) - 1], minlength=len(texts))
         counts: dict[bytes, int] = {}
         mine = word_buckets(dict.fromkeys(chain.from_iterable(lists)))  # the order of the requests

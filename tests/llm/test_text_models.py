@@ -181,6 +181,24 @@ def test_language_model_is_context_tree_weighting(docs, none, corpus):
     assert any(r["doc_id"] is None and not r["held_out"] for r in got.values())
 
 
+def test_busy_contexts_are_dealt_by_their_third_byte(docs):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefghij") + ". x" for _ in range(200)).encode() for _ in range(20)]
+    near = bg.near_contexts(texts, chunk=300)
+    code = bg.codes(texts, 6)[0]
+    spot = ord(" ") | ord(".") << 8
+    at = (code >> 8 & 0xFFFF) == spot
+    assert near[spot] == at.sum() > near.sum() / 512
+    busy = near > near.sum() / 512
+    assert len(set(bg.bucket_of(code[at], 64))) == 1 and len(set(bg.bucket_of(code[at], 64, busy))) > 3
+    parts = [bg.tally(code[i::7].copy()) for i in range(7)]
+    for least in (10, 1 << 18):
+        got, want = bg.merge(iter(parts), least), bg.tally(code.copy())
+        assert all((a == b).all() for a, b in zip(got, want))
+    whole, dealt = ({(r["doc_id"], r["n_tokens"]): r["score"] for r in lm_ctw.score(docs, busy_share=n).collect()} for n in (1, 512))
+    assert whole.keys() == dealt.keys() and all(dealt[k] == pytest.approx(x, rel=1e-5) for k, x in whole.items())
+
+
 def test_toxicity_finds_held_out_rows_and_misspellings(docs, labels, none, corpus):
     out = {r["doc_id"]: r for r in toxicity.classify(docs, labels).collect()}
     toxic = {i: t for i, _, t in corpus[1] if t is not None and i < 300}
