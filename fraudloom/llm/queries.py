@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann_graph, decontaminate, html_main, lang_kernel, lm_ctw, packing, quality_kn, simhash_bk, toxicity, url_rules
+from . import (ann_graph, decontaminate, html_main, importance, lang_kernel, lm_ctw, packing, quality_kn, runs, simhash_bk, slot_shards,
+               toxicity, twins, url_rules)
 from .common import read
 
 
@@ -49,7 +50,20 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return slot_shards.shards(read(spark, sf_dir, "documents"))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_vector_search, op2_toxicity, op3_packing, op4_quality, op5_simhash, op6_main_text,
-                                   op7_lm_score, op8_url_filter, op9_language, op10_decontaminate)}
+                                   op7_lm_score, op8_url_filter, op9_language, op10_decontaminate, op11_sharding,
+                                   op12_importance, op13_runs)}
 #: SQL twins; the other operators are fitted or iterative and are tested against brute force.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op11_sharding": twins.SHARDS, "op12_importance": twins.RESAMPLE}
