@@ -1,22 +1,24 @@
 """Approximate nearest neighbours by largest inner product: robust-pruned directed graphs, one per shard.
 
-Equal vectors are one class that keeps its ``k + 1`` smallest ids, all that a result can show. Classes are dealt by
-hash into shards of about ``shard_rows``. In a shard a coordinate is added that makes the largest inner product the
-nearest point; nodes are inserted in batches: a greedy search proposes neighbours, pruning keeps one only if no kept
+Equal vectors are one class that keeps its ``k + 1`` smallest ids, all that a result can show. Classes are banded by
+length, each band holding lengths within a factor of two, so a long vector shares no graph with short ones; a band is
+dealt by hash into shards of about ``shard_rows``. In a shard vectors are divided by the longest one, and a coordinate
+is added that makes the largest inner product the nearest point; nodes are inserted in batches: a greedy search proposes neighbours, pruning keeps one only if no kept
 neighbour is nearer to it by the factor ``alpha``, and links are made both ways and pruned again. Queries go through
 every shard in blocks by beam search, are scored in double precision on the original vectors, and the best ``k`` over
 all shards stay. Shards, blocks and graphs are bounded, and every row is indexed.
 
 Defined results: vectors that are null, zero or hold null or non-finite parts, those of another length than the most
 common one (the shorter, if tied), and rows without an id take no part. Repeated rows count once; ties go to the
-smaller id. With fewer than ``k`` candidates all are returned; an empty table gives no rows.
+smaller id. With fewer than ``k`` candidates all are returned; an empty table gives no rows. Finite vectors of any
+length take part; a score beyond the range of doubles is infinite. Further columns, whatever their names, take no part.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import settle
 
@@ -114,6 +116,9 @@ def build(x: np.ndarray, *, degree: int = 32, width: int = 64, alpha: float = 1.
         links[new] = prune(x, new, cand, degree, alpha)
         src, dst = np.repeat(new, degree), links[new].ravel()
         src, dst = src[dst >= 0], dst[dst >= 0]
+        if not len(dst):
+            at += len(new)
+            continue
         near = ((x[src] - x[dst]) ** 2).sum(1)
         o = np.lexsort((near, dst))
         src, dst = src[o], dst[o]
@@ -143,10 +148,24 @@ def build(x: np.ndarray, *, degree: int = 32, width: int = 64, alpha: float = 1.
         front = rest[:1]
 
 
+def lengths(v: np.ndarray) -> np.ndarray:
+    """Euclidean lengths; squares of very large or small parts neither overflow nor vanish."""
+    top = np.abs(v).max(1)
+    return top * np.sqrt(((v / top[:, None]) ** 2).sum(1))
+
+
 def lift(v: np.ndarray) -> np.ndarray:
-    """Points whose nearest neighbours to (q, 0) are the vectors with the largest inner product with q."""
+    """Points whose nearest neighbours to (q, 0), q of length one, are the vectors with the largest inner product with q."""
+    v = v / lengths(v).max()
     sq = (v * v).sum(1)
-    return np.c_[v, np.sqrt(np.maximum(sq.max() - sq, 0))].astype(np.float32)
+    return np.c_[v, np.sqrt(np.maximum(1 - sq, 0))].astype(np.float32)
+
+
+def band(vector: str) -> Column:
+    """Exponent to base two of the length of a vector: lengths of a band are within a factor of two."""
+    top = F.array_max(F.transform(vector, F.abs))
+    squares = F.aggregate(vector, F.lit(0.0), lambda s, x: s + (x / top) * (x / top))
+    return F.floor(F.log2(top) + F.log2(squares) / 2).cast("int")
 
 
 def valid(df: DataFrame, id_col: str, vector: str) -> DataFrame:
@@ -165,7 +184,13 @@ def search(df: DataFrame, *, k: int = 20, every: int = 20, id_col: str = "vec_id
     rows = settle(valid(df, id_col, vector), "ann-rows")
     few = F.row_number().over(Window.partitionBy("vec").orderBy("id")) <= k + 1
     classes = settle(rows.distinct().withColumn("_few", few).filter("_few").groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids")), "ann-classes")
-    shards = max(1, -(-classes.count() // shard_rows))
+    sizes = classes.groupBy(band("vec").alias("band")).count().orderBy("band").collect()  # as many as doubles have exponents, at most
+    firsts, shards = [], 0
+    for r in sizes:
+        n = -(-r["count"] // shard_rows)
+        firsts.append((r["band"], shards, n))
+        shards += n
+    bands = F.broadcast(df.sparkSession.createDataFrame(firsts, "band int, first int, n int"))
 
     def index(t: pa.Table) -> pa.Table:
         v = t.column("vec").combine_chunks().values.to_numpy().reshape(t.num_rows, -1)
@@ -176,12 +201,13 @@ def search(df: DataFrame, *, k: int = 20, every: int = 20, id_col: str = "vec_id
                          "ids": pa.array([ids.values.to_numpy().tobytes()], pa.binary()),
                          "sizes": pa.array([ids.value_lengths().to_numpy().astype("<i4").tobytes()], pa.binary())})
 
-    graphs = settle(classes.withColumn("shard", F.pmod(F.xxhash64("vec"), F.lit(shards)).cast("int"))
-                    .groupBy("shard").applyInArrow(index, "shard int, vecs binary, links binary, entry binary, ids binary, sizes binary"), "ann-graphs")
+    dealt = classes.withColumn("band", band("vec")).join(bands, "band").withColumn(
+        "shard", (C("first") + F.pmod(F.xxhash64("vec"), C("n"))).cast("int"))
+    graphs = settle(dealt.select("shard", "vec", "ids").groupBy("shard").applyInArrow(index, "shard int, vecs binary, links binary, entry binary, ids binary, sizes binary"), "ann-graphs")
     queries = rows.filter(C("id") % every == 0).distinct()
     blocks = max(1, -(-queries.count() // block_rows))
     asked = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn(
-        "shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+        "shard", F.explode(F.sequence(F.lit(0), F.lit(max(shards, 1) - 1))))
     sent = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def find(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -196,7 +222,8 @@ def search(df: DataFrame, *, k: int = 20, every: int = 20, id_col: str = "vec_id
             edge = np.cumsum(sizes) - sizes
             for at in range(0, len(q), 512):
                 part = q[at:at + 512]
-                node, _ = beam(x, links, entry, np.c_[part, np.zeros(len(part))].astype(np.float32), width)
+                unit = part / lengths(part)[:, None]
+                node, _ = beam(x, links, entry, np.c_[unit, np.zeros(len(part))].astype(np.float32), width)
                 score = np.where(node >= 0, np.einsum("mkd,md->mk", v[node], part), -np.inf)
                 for r in range(len(part)):
                     near = np.argsort(-score[r], kind="stable")

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..session import scratch_path, settle
 
-__all__ = ["DOCUMENT_COLUMNS", "held_out", "read", "remainder", "settle", "text_bytes", "write_packs", "unpack"]
+__all__ = ["DOCUMENT_COLUMNS", "held_out", "join_split", "read", "remainder", "settle", "slices", "text_bytes", "write_packs", "unpack"]
 
+C = F.col
 #: The columns of the documents table, in order.
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 PACK_SCHEMA = T.StructType([
@@ -39,6 +41,19 @@ def text_bytes(df: DataFrame, col: str = "text") -> int:
     return df.agg(F.coalesce(F.sum(F.octet_length(col)), F.lit(0)).alias("b")).first()["b"]
 
 
+def slices(batch: pa.RecordBatch, text: int, rows: int = 2000, size: int = 8 << 20):
+    """Slices of a batch of at most ``rows`` rows and about ``size`` bytes in column ``text``; a longer text is a slice by itself."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_pylist()
+    start = held = 0
+    for i, n in enumerate(lengths):
+        if i > start and (held + n > size or i - start >= rows):
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    if start < len(lengths):
+        yield batch.slice(start)
+
+
 def _seal(batches: list[pa.RecordBatch]) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as w:
@@ -75,7 +90,7 @@ def write_packs(df: DataFrame, requests, name: str, buckets: int, *, text: str =
             return pa.RecordBatch.from_pylist(out, schema=_ARROW_PACK)
 
         for batch in batches:
-            lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+            lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
             start = 0
             for i, n in enumerate(lengths):
                 if rows and (size + n > pack_bytes or rows >= max_rows):
@@ -99,3 +114,22 @@ def write_packs(df: DataFrame, requests, name: str, buckets: int, *, text: str =
 def broadcast_if_small(df: DataFrame, max_rows: int = 20_000) -> DataFrame:
     """Mark a narrow table for broadcast when it has at most ``max_rows`` rows; a larger one is joined by shuffle."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+#: a key with more than 1/HOT_SHARE of all rows is joined by broadcast; fewer than HOT_SHARE keys can be
+HOT_SHARE = 2000
+
+
+def join_split(rows: DataFrame, table: DataFrame, key: str, name: str, count: str = "count") -> DataFrame:
+    """Left join of ``rows`` on ``key`` with ``table``, one row a key (column ``name``) with the number of rows in ``count``.
+
+    Keys that hold more than 1/HOT_SHARE of the counted rows are joined where the rows lie, so no key, whatever its share,
+    is a task of its own. The columns of ``table`` other than ``count`` are added.
+    """
+    table = settle(table, "join-table")
+    hot = C(count) * HOT_SHARE > (table.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0] or 0)
+    busy, rest = table.filter(hot).drop(count), table.filter(~hot).drop(count)
+    keys = F.broadcast(busy.select(C(name).alias("_busy")))
+    inner = rows.join(F.broadcast(busy), C(key) == C(name))
+    other = rows.join(keys, C(key) == C("_busy"), "left_anti").join(rest.hint("merge"), C(key) == C(name), "left")
+    return inner.unionByName(other)

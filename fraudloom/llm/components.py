@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import settle
+from .common import join_split, settle
 
 C = F.col
 
 
 def _smallest(pairs: DataFrame) -> DataFrame:
     """(u, v) with the smallest of u and its neighbours v; partial minima are taken before the shuffle."""
-    low = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return pairs.join(low, "u")
+    low = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("count"))
+    low = low.select(C("u").alias("_u"), F.least("u", "m").alias("m"), "count")
+    return join_split(pairs, low, "u", "_u").drop("_u")
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -22,7 +23,8 @@ def _both_ways(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v), root being the smallest node that is reachable.
 
-    Each round is written to the shared folder, so plans stay short and survive lost executors. Edges with a null end
+    Each round is written to the shared folder, so plans stay short and survive lost executors. A node with very many
+    edges is joined with its minimum where its edges lie. Edges with a null end
     and loops are left out; an empty table has no nodes.
     """
     now = settle(edges.select("u", "v").filter(C("u") != C("v")).distinct(), "edges")

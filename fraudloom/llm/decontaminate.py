@@ -6,8 +6,10 @@ items of the class, so windows without that are passed over at once (nothing is
 The others are embedded by a random walk that repeats or advances on a hash of (step, word), which turns edits into
 few differing coordinates; each table hashes a sample of coordinates, and windows that fall on an item's hash are
 candidates. The number of tables is set per class by measuring, on randomly edited copies of its own items with the
-most edits allowed, how often one table finds them, until the target recall is met. Candidates are decided by the
-exact edit distance of the item to the best stretch of the document around the window.
+most edits allowed, how often one table finds them, until the target recall is met. A class that would need more than
+``TABLES`` tables (very long items, in which many edits leave few coordinates alike) is searched exactly instead: of
+one piece more than the edits allowed, one piece must stand in the document unchanged. ``recalls`` lists what each class reaches.
+Candidates are decided by the exact edit distance of the item to the best stretch of the document around the window.
 
 Documents are scanned in place without a shuffle. Benchmark items are handled in slices of at most ``slice_items``
 items, so what is broadcast is bounded and a larger benchmark means more passes.
@@ -15,7 +17,8 @@ items, so what is broadcast is bounded and a larger benchmark means more passes.
 Defined results: null and empty texts hold nothing, null or wordless items match nothing, items of fewer than
 ``min_words`` words must match word for word. Equal items match each under its own id, repeated rows of the benchmark
 once; an id with several texts matches by each of them. Documents without an id are scanned too, repeated rows each
-on its own. Each (document row, item text) gives its best match only: fewest edits, then the first place.
+on its own. Each (document row, item text) gives its best match only: fewest edits, then the first place. Texts of any
+length are read whole, in slices of about 8 MB of text. Further columns of the input, whatever their names, take no part.
 """
 
 from __future__ import annotations
@@ -26,11 +29,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import settle
+from .common import settle, slices
 
 C = F.col
 WORD = re.compile(r"\w+")
 STEP = 1.25  # ratio of the lengths within a class
+TABLES = 400  # tables of a class; one that needs more is searched exactly
+LONG = 64  # words of an item from which its edits are counted a row at a time
 
 
 def words_of(text: str | None) -> list[str]:
@@ -44,6 +49,29 @@ def allowed(m: int, similarity: float, min_words: int) -> int:
 
 def best_stretch(item: list[int], text: list[int]) -> tuple[int, int, int]:
     """Least edits between the item and any stretch of the text, with its start and end; the first such end wins."""
+    return rows_stretch(item, text) if len(item) > LONG else cells_stretch(item, text)
+
+
+def rows_stretch(item: list[int], text: list[int]) -> tuple[int, int, int]:
+    """The same as ``cells_stretch``, a whole row of cells at a time."""
+    words, at = np.array(item), np.arange(len(item) + 1)
+    edits, start = at.copy(), np.zeros(len(at), np.int64)
+    best = (len(item), 0, 0)
+    for j, w in enumerate(text, 1):
+        keep, keep_start = edits[:-1] + (words != w), start[:-1]
+        extra = edits[1:] + 1
+        less = extra < keep
+        cell, cell_start = np.r_[0, np.where(less, extra, keep)], np.r_[j, np.where(less, start[1:], keep_start)]
+        low = cell - at  # a cell that follows a lower one takes it over, one edit a step
+        run = np.minimum.accumulate(low)
+        source = np.maximum.accumulate(np.where(low == run, at, 0))
+        edits, start = run + at, cell_start[source]
+        if edits[-1] < best[0]:
+            best = (int(edits[-1]), int(start[-1]), j)
+    return best
+
+
+def cells_stretch(item: list[int], text: list[int]) -> tuple[int, int, int]:
     row = [(i, 0) for i in range(len(item) + 1)]  # edits, start of the stretch
     best = (len(item), 0, 0)
     for j, w in enumerate(text, 1):
@@ -110,7 +138,13 @@ class LengthClass:
                 of.append(i)
         self.tables, missed, of = [], np.ones(len(probes), bool), np.array(of)
         laid = [self.lay_out([items[k] for k in members]), self.lay_out(probes)]
-        while missed.mean() > 1 - recall and len(self.tables) < 400:
+        self.pieces: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}  # words: sorted hashes, items, places in them
+        while missed.mean() > 1 - recall:
+            done, left = len(self.tables), missed.mean()
+            if done >= TABLES or done >= 16 and done * np.log(1 - recall) / np.log(min(left, 1 - 1e-9)) > TABLES:
+                self.tables = []
+                self.cut(items)
+                break
             walk_seed = seed * 1000 + len(self.tables) // 8
             if len(self.tables) % 8 == 0:  # eight samples of coordinates share a walk
                 own, test = (walk(*x, self.steps, walk_seed) for x in laid)
@@ -119,7 +153,20 @@ class LengthClass:
             order = np.argsort(h, kind="stable")
             self.tables.append((walk_seed, picks, h[order], np.array(members)[order]))
             missed &= hashes(test, picks) != h[of]
-
+        self.recall = 1.0 if self.pieces else 1 - float(missed.mean())
+
+    def cut(self, items: list[list[int]]) -> None:
+        """One piece more than the edits allowed of each item: an edit touches one of them, so one stands unchanged."""
+        seeds: dict[int, list[tuple[int, int]]] = {}
+        for i in self.members:
+            n = len(items[i]) // (self.edits + 1)
+            for k in range(self.edits + 1):
+                seeds.setdefault(n, []).append((i, k * n))
+        for n, found in seeds.items():
+            h = hashes(np.array([items[i][a:a + n] for i, a in found], np.int64).reshape(len(found), n), np.arange(n))
+            order = np.argsort(h, kind="stable")
+            of = np.array(found)[order]
+            self.pieces[n] = h[order], of[:, 0], of[:, 1]
 
     def lay_out(self, lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
         """Sequences end to end with a walk's length of -1 after each, and where they start."""
@@ -167,12 +214,26 @@ class Benchmark:
         for c, k in enumerate(self.classes):
             if len(seq) < k.size:
                 continue
+            if k.pieces:
+                self.verify(self.meet(k, seq), seq, first, sizes, found)
+                continue
             inside = np.r_[0, np.cumsum(self.has[c][seq], dtype=np.int32)]
             starts = np.flatnonzero(inside[k.size:] - inside[:-k.size] >= k.size - k.edits)
             for at in range(0, len(starts), 50_000):
                 self.probe(k, seq, starts[at:at + 50_000], first, sizes, found)
         return [(t, i, *m) for (t, i), m in found.items()]
 
+    def meet(self, k: LengthClass, seq) -> set[tuple[int, int]]:
+        """(where the item would begin, item) for every piece of an item that stands in the texts."""
+        pairs = set()
+        for n, (table, members, places) in k.pieces.items():
+            if n and len(seq) >= n:
+                h = hashes(np.lib.stride_tricks.sliding_window_view(seq, n), np.arange(n))
+                lo, hi = np.searchsorted(table, h, "left"), np.searchsorted(table, h, "right")
+                for s in np.flatnonzero(hi > lo):
+                    pairs.update((max(0, int(s - places[j])), int(members[j])) for j in range(lo[s], hi[s]))
+        return pairs
+
     def probe(self, k: LengthClass, seq, starts, first, sizes, found) -> None:
         pairs, embedded, walked = set(), None, None
         for walk_seed, picks, table, members in k.tables:
@@ -182,6 +243,9 @@ class Benchmark:
             lo, hi = np.searchsorted(table, h, "left"), np.searchsorted(table, h, "right")
             for s in np.flatnonzero(hi > lo):
                 pairs.update((int(starts[s]), int(i)) for i in members[lo[s]:hi[s]])
+        self.verify(pairs, seq, first, sizes, found)
+
+    def verify(self, pairs, seq, first, sizes, found) -> None:
         done: dict[int, int] = {}
         for p, i in sorted(pairs):
             if p < done.get(i, -1):
@@ -215,6 +279,13 @@ def _slices(benchmark: DataFrame, slice_items: int):
         last = part[-1]
 
 
+def recalls(benchmark: DataFrame, *, similarity: float = 0.8, min_words: int = 5, bits: int = 3, recall: float = 0.98,
+            slice_items: int = 5000) -> list[tuple[int, int, int, float]]:
+    """(words, items, tables, recall on edited copies) of every length class; no tables: searched exactly."""
+    return [(k.size, len(k.members), len(k.tables), k.recall) for rows in _slices(benchmark, slice_items)
+            for k in Benchmark(rows, similarity, min_words, bits, recall).classes]
+
+
 def _fitted(docs: DataFrame, benchmark: DataFrame, similarity, min_words, bits, recall, slice_items):
     for rows in _slices(benchmark, slice_items):
         yield docs.sparkSession.sparkContext.broadcast(Benchmark(rows, similarity, min_words, bits, recall))
@@ -232,8 +303,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, similarity: float = 0.8, m
         def apply(batches):
             b = sent.value
             for batch in batches:
-                for at in range(0, batch.num_rows, 2000):
-                    t = batch.slice(at, 2000)
+                for t in slices(batch, n):
                     got = b.matches(t.column(n).to_pylist())
                     rows = pa.array([g[0] for g in got], pa.int64())
                     yield pa.RecordBatch.from_arrays(
@@ -259,8 +329,7 @@ def without_matches(docs: DataFrame, benchmark: DataFrame, *, similarity: float
         def apply(batches):
             b = sent.value
             for batch in batches:
-                for at in range(0, batch.num_rows, 2000):
-                    t = batch.slice(at, 2000)
+                for t in slices(batch, at_text):
                     keep = np.ones(t.num_rows, bool)
                     keep[[g[0] for g in b.matches(t.column(at_text).to_pylist())]] = False
                     yield t.filter(pa.array(keep))

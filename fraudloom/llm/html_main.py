@@ -2,15 +2,18 @@
 
 Each paragraph passes points for its length and commas to its ancestors (all to the nearest container, half to the
 next, less further up), discounted by link density; the best container and those of its siblings that score close
-to it are kept. Navigation, headers, footers, sidebars, notices, adverts, forms, scripts, styles, hidden parts and
-reader comments are cut from the tree first, by element, role or the words of class and id.
+to it are kept. Navigation, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are
+cut from the tree first, by element, role, or a class or id whose name says so as a whole (``cookie-notice``, but not
+``social-security``); a paragraph or cell is cut only if all its class names and its id say so.
 
-Each page is handled on its own, in place; no shuffle. Markup is read by one linear pattern, so broken or very long
-pages cost time in proportion to their length.
+Each page is handled on its own, in place; no shuffle. Markup is read by one linear pattern and open elements are found by
+their kind, so broken or very long pages cost time in proportion to their length. An element that is never closed ends
+with its parent; only the content of scripts, styles, text fields and frames is skipped up to their end tag.
 
 Defined results: a null or empty page, or one without text outside the parts cut, has an empty text. A page without
 any scored paragraph keeps its article or main element, else its body. Ties between containers go to the deeper,
-then the earlier one. Repeated rows and rows without an id are handled each on its own.
+then the earlier one. Repeated rows and rows without an id are handled each on its own. An empty table gives no rows;
+further columns, whatever their names, take no part.
 """
 
 from __future__ import annotations
@@ -25,21 +28,35 @@ C = F.col
 TOKEN = re.compile(r"""<!--.*?-->|<(/?)([a-zA-Z][^\s/<>]*+)((?:"[^"<]*+"|'[^'<]*+'|[^<>])*+)>|<[!?][^<>]*+>""", re.S)
 ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
-RAW = frozenset("script style noscript template iframe object textarea svg math canvas audio video select".split())
-CUT = frozenset("nav header footer aside form menu dialog button fieldset head".split())
+RAW = frozenset("script style textarea iframe".split())
+CUT = frozenset("nav header footer aside form menu dialog button fieldset head select noscript template".split())
 BLOCK = frozenset("""address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer
 form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul""".split())
 PARAGRAPH = frozenset("p pre li dd dt td th blockquote figcaption h1 h2 h3 h4 h5 h6 summary address".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A start tag of the key closes open elements of these kinds, up to the nearest container.
-CLOSES = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
-          "option": ("option",)}
+CLOSES = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 JUNK_WORDS = frozenset("""ad ads advert adverts advertisement adsense banner sponsor sponsored promo promotion nav navbar navigation
 menu menubar breadcrumb breadcrumbs sidebar aside footer header masthead cookie cookies consent gdpr notice notices notification
 alert popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments respond replies
-disqus related recommended widget toolbar pagination pager skip hidden""".split())
+disqus related recommended widget toolbar pagination pager skip""".split())
+#: Words that say nothing about what a part holds: a name made of these and junk words is junk.
+PLAIN_WORDS = frozenset("""area articles bar block bottom box btn button buttons card cards col column container content cover div email
+entry fixed form google group head icon icons id inner item items js left link links list main media mobile module outer page panel posts
+primary related right row section secondary site slot small sticky stories sub text title to top unit user view wrap wrapper the and
+post side global desktop large medium default policy us""".split())
 JUNK_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar".split())
 SPLIT = re.compile(r"[^a-z0-9]+")
+RAW_END = {t: re.compile(rf"</{t}\b[^<>]*>", re.I) for t in RAW}
+#: Elements of drawings and formulas that may close themselves.
+EMPTY = frozenset("svg path circle rect line use g polygon polyline ellipse stop image math mspace mrow none".split())
+
+
+def _junk_name(name: str, own_header: bool) -> bool:
+    """Whether a class or id names a part that is cut: junk words and plain ones only (figures aside)."""
+    words = {w for w in SPLIT.split(name) if w and not w.isdigit()}
+    junk = words & JUNK_WORDS
+    return bool(junk) and words <= JUNK_WORDS | PLAIN_WORDS and not (own_header and junk == {"header"})
 
 
 def _junk(tag: str, attributes: str, inside: bool) -> bool:
@@ -48,39 +65,77 @@ def _junk(tag: str, attributes: str, inside: bool) -> bool:
         return True
     if tag in ("html", "body", "article", "main") or not attributes.strip():
         return False
+    names = []
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name in ("class", "id"):
-            words = set(SPLIT.split(value))
-            if words & JUNK_WORDS and not (inside and "header" in words and not words & (JUNK_WORDS - {"header"})):
-                return True
-        elif name == "role" and value in JUNK_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
+            names += value.split()
+        elif name == "role" and value in JUNK_ROLES:
             return True
-        elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+    found = [_junk_name(x, inside) for x in names]
+    return bool(found) and (all(found) if tag in PARAGRAPH else any(found))
+
+
+class _Open:
+    """The open elements, with the depths of each kind and of the blocks."""
+
+    def __init__(self):
+        self.stack, self.tags, self.of, self.bounds = [0], ["html"], {}, []
+
+    def push(self, element: int, tag: str) -> None:
+        depth = len(self.stack)
+        self.stack.append(element)
+        self.tags.append(tag)
+        self.of.setdefault(tag, []).append(depth)
+        if tag in BLOCK:
+            self.bounds.append(depth)
+
+    def cut(self, depth: int) -> None:
+        """Close the element at ``depth`` and all in it."""
+        while len(self.stack) > depth:
+            self.stack.pop()
+            tag = self.tags.pop()
+            self.of[tag].pop()
+            if self.bounds and self.bounds[-1] == len(self.stack):
+                self.bounds.pop()
+
+    def end(self, tag: str) -> None:
+        """An end tag closes the nearest element of its kind; one of no block does not reach out of the block it is in."""
+        at = self.of.get(tag)
+        if at and (tag in BLOCK or at[-1] >= (self.bounds[-1] if self.bounds else 0)):
+            self.cut(at[-1])
+
+    def before(self, tag: str) -> None:
+        """Close what the start tag of a block closes: paragraphs, headings, and its like in lists and tables."""
+        ends = CLOSES.get(tag, ())
+        while self.bounds:
+            depth = self.bounds[-1]
+            t = self.tags[depth]
+            if t != "p" and t not in HEADING and t not in ends:
+                break
+            self.cut(depth)
+            if t == tag or tag not in CLOSES or t in ends and tag != "tr":  # a row closes its cell and the row before
+                break
 
 
 def _blocks(html: str):
     """Elements as (tag, parent) lists, and blocks of text as [element, pieces, characters in links]."""
-    tags, parents, junk, links, inside = ["html"], [-1], [False], [False], [False]
-    stack, blocks, fresh, pos = [0], [], True, 0
+    tags, parents, junk, links, inside, block_of = ["html"], [-1], [False], [False], [False], [0]
+    open_, blocks, fresh, pos = _Open(), [], True, 0
 
     def text(raw: str) -> None:
         nonlocal fresh
-        if junk[stack[-1]] or not raw:
+        top = open_.stack[-1]
+        if junk[top] or not raw:
             return
         t = unescape(raw) if "&" in raw else raw
         if fresh:
             if t.isspace():
                 return
-            i = stack[-1]
-            while tags[i] not in BLOCK and i:
-                i = parents[i]
-            blocks.append([i, [], 0])
+            blocks.append([block_of[top], [], 0])
             fresh = False
         blocks[-1][1].append(t)
-        if links[stack[-1]]:
+        if links[top]:
             blocks[-1][2] += len(t)
 
     while m := TOKEN.search(html, pos):
@@ -93,16 +148,11 @@ def _blocks(html: str):
             if tag in BLOCK:
                 fresh = True
             if tag not in VOID and tag != "html" and tag != "body":
-                for d in range(len(stack) - 1, 0, -1):
-                    if tags[stack[d]] == tag:
-                        del stack[d:]
-                        break
-                    if tag not in BLOCK and tags[stack[d]] in BLOCK:
-                        break
+                open_.end(tag)
             continue
         if tag in RAW:
             if not m[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\b[^<>]*>", re.I).search(html, pos)
+                end = RAW_END[tag].search(html, pos)
                 pos = end.end() if end else len(html)
             continue
         if tag in VOID:
@@ -113,23 +163,16 @@ def _blocks(html: str):
             continue
         if tag in BLOCK:
             fresh = True
-            ends = CLOSES.get(tag, ()) + ("p", *HEADING) if tag not in HEADING else ("p", *HEADING)
-            for d in range(len(stack) - 1, 0, -1):
-                t = tags[stack[d]]
-                if t in ends:
-                    del stack[d:]
-                    if t in ("p", *HEADING) and tag in CLOSES:
-                        continue
-                    break
-                if t in BLOCK and not (tag in ("tr", "td", "th") and t in ("td", "th", "tr")):
-                    break
-        up = stack[-1]
+            open_.before(tag)
+        up = open_.stack[-1]
         tags.append(tag)
         parents.append(up)
         junk.append(junk[up] or _junk(tag, m[3], inside[up]))
         links.append(links[up] or tag == "a")
         inside.append(inside[up] or tag in ("article", "main"))
-        stack.append(len(tags) - 1)
+        block_of.append(len(tags) - 1 if tag in BLOCK else block_of[up])
+        if not m[3].rstrip().endswith("/") or tag in BLOCK or tag not in EMPTY:
+            open_.push(len(tags) - 1, tag)
     text(html[pos:])
     return tags, parents, blocks
 

@@ -122,8 +122,9 @@ def fit(docs: DataFrame, *, per_language: int = 250, max_rows: int = 10_000, lan
             out = [np.unique(gram_codes([t])[0]).astype("<i4").tobytes() for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), b.column(1), b.column(2)], names=["grams", "lang", "_rank"])
 
-    rows = src.mapInArrow(distinct, "grams binary, lang string, _rank int").limit(2 * max_rows).collect()
-    rows.sort(key=lambda r: (r["_rank"], r["lang"], bytes(r["grams"])))
+    # an id may have several texts: in one order, the same at every run, up to the bound
+    rows = (src.mapInArrow(distinct, "grams binary, lang string, _rank int").distinct()
+            .orderBy("_rank", "lang", "grams").limit(max_rows).collect())
     return train([np.frombuffer(r["grams"], "<i4") for r in rows], [r["lang"] for r in rows], landmarks=landmarks)
 
 

@@ -8,7 +8,8 @@ with the data. Each tree reports a spanning forest of its links, never all pairs
 fingerprint and are never compared. Components of the links carry the smallest document id.
 
 Defined results: null and empty texts have fingerprint zero and link like any other. Rows without an id keep their
-fingerprint and take the component of their fingerprint; it is null if no member has an id. Repeated rows stay.
+fingerprint and take the component of their fingerprint; it is null if no member has an id. Repeated rows stay. Texts
+of any length are read whole. An empty table gives no rows; further columns, whatever their names, take no part.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import broadcast_if_small, settle
+from .common import broadcast_if_small, join_split, settle
 from .components import components
 
 C = F.col
@@ -151,10 +152,10 @@ def links(fps: DataFrame, limit: int = 2048) -> DataFrame:
 def cluster(docs: DataFrame, *, shingle: int = 3, seed: int = 42, limit: int = 2048) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id of every row."""
     marks = settle(fingerprints(docs, shingle, seed), "simhash-fp")
-    classes = settle(marks.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-classes")
+    classes = settle(marks.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("count")), "simhash-classes")
     parts = settle(components(links(classes.select("fp"), limit)), "simhash-parts")
     linked = parts.join(classes, C("node") == C("fp")).select("fp", "root", "first")
     best = linked.groupBy("root").agg(F.min("first").alias("component_id"))
     joined = linked.join(best, "root").select("fp", C("component_id").alias("_linked"))
-    ids = classes.join(joined, "fp", "left").select("fp", F.coalesce("_linked", "first").alias("component_id"))
-    return marks.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    ids = classes.join(joined, "fp", "left").select(C("fp").alias("_fp"), F.coalesce("_linked", "first").alias("component_id"), "count")
+    return join_split(marks, ids, "fp", "_fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

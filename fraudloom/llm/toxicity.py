@@ -208,15 +208,16 @@ def train(texts: list[str | None], y: np.ndarray, share: float, *, epochs: int =
     return Model(slot, b, logistic(np.c_[m[ok] + b, np.log(k[ok])], y[ok], weight[ok]), empty)
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, max_toxic: int = 2000, max_clean: int = 4000, modulus: int = 5, rest: int = 0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, max_toxic: int = 3000, max_clean: int = 6000, modulus: int = 5, rest: int = 0) -> Model:
     """Train on at most ``max_toxic`` and ``max_clean`` labelled rows, taken in hash order outside the held-out fold."""
     known = (labels.filter(C("toxic").isin(0, 1) & F.coalesce(remainder("doc_id", modulus) != rest, F.lit(False)))
              .select(C("doc_id").alias("_id"), C("toxic").alias("_y")).distinct())
     counts = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
     picked = [known.filter(C("_y") == k).orderBy(F.xxhash64("_id"), "_id").limit(n) for k, n in ((0, max_clean), (1, max_toxic))]
     ids = F.broadcast(settle(picked[0].unionByName(picked[1]), "toxic-ids"))  # at most max_clean + max_toxic ids
-    rows = (docs.select("doc_id", "text").join(ids, C("doc_id") == C("_id")).select("text", "_y", "_id")
-            .limit(2 * (max_clean + max_toxic)).collect())
+    # an id may have several texts: all of them in one order, the same at every run, up to the bound
+    rows = (docs.select("doc_id", "text").join(ids, C("doc_id") == C("_id")).select("text", "_y", "_id").distinct()
+            .orderBy(F.xxhash64("_id"), "_id", "_y", F.xxhash64("text"), "text").limit(max_clean + max_toxic).collect())
     rows.sort(key=lambda r: (r["_id"], r["_y"], r["text"] or ""))
     total = sum(counts.values())
     return train([r["text"] for r in rows], np.array([r["_y"] for r in rows], np.int64),

@@ -1,6 +1,7 @@
 """Vector search, near duplicates, decontamination, packing, pages, urls and the pipeline against brute force."""
 
 import random
+import time
 from itertools import combinations
 
 import numpy as np
@@ -9,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fraudloom.llm import ann_graph, components, decontaminate, html_main, near_copies, packing, simhash_bk, url_rules
+from fraudloom.llm import ann_graph, common, components, decontaminate, html_main, packing, simhash_bk, url_rules
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -40,6 +41,28 @@ def test_vector_search_recall_ties_and_bad_rows(spark):
     assert ann_graph.search(df.filter("false")).count() == 0
 
 
+@pytest.mark.parametrize("scale", ["plain", "one long", "one very long", "all huge", "heavy tail"])
+def test_vector_search_with_long_vectors(spark, scale):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(1500, 32))
+    if scale.startswith("one"):
+        v[17] *= 1e3 if scale == "one long" else 1e5
+    elif scale == "all huge":
+        v *= 1e20
+    elif scale == "heavy tail":
+        v *= np.exp(3 * rng.normal(size=(1500, 1)))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in ann_graph.search(df).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hit = 0
+    for q, got in found.items():
+        s = v @ v[q]
+        s[q] = -np.inf
+        hit += len(got & set(np.argsort(-s)[:20].tolist()))
+    assert len(found) == 75 and hit / (20 * 75) >= 0.9
+
+
 def fingerprint(text):
     w = text.encode().lower().split()
     s = [b" ".join(w[i:i + 3]) for i in range(max(1, len(w) - 2))] if w else []
@@ -71,46 +94,37 @@ def test_simhash_components(spark):
     assert simhash_bk.cluster(spark.createDataFrame([], DOCS)).count() == 0
 
 
-def five_words(text):
-    w = (text or "").encode().lower().split()
-    return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))}
-
-
-def test_pipeline_links_near_copies(spark):
+def test_pipeline_keeps_one_of_each_fingerprint_group(spark):
     rng = random.Random(21)
     texts = []
     for _ in range(6):
-        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(60, 300))]
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(200, 600))]
         for _ in range(14):
             w = list(base)
-            for _ in range(rng.randint(0, len(w) // 25)):
+            for _ in range(rng.randint(0, 3)):
                 w[rng.randrange(len(w))] = f"new{rng.randrange(10**6)}"
             texts.append(" ".join(w).upper() if rng.random() < 0.2 else "  ".join(w))
     texts += [None, "", " \t", "one two", "one  TWO", "two one", "a b c d e", "a b c d e f"]
-    sets = [five_words(t) for t in texts]
-    top = list(range(len(texts)))
-    apart = 0
+    fp = [fingerprint(t or "") for t in texts]
+    top, linked = list(range(len(texts))), 0
     for a, b in combinations(range(len(texts)), 2):
-        if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b])):
-            apart += (fingerprint(texts[a] or "") ^ fingerprint(texts[b] or "")).bit_count() > 2
+        if (fp[a] ^ fp[b]).bit_count() <= 2:
+            linked += fp[a] != fp[b]
             x, y = sorted((top[a], top[b]))
             top = [x if v == y else v for v in top]
-    assert apart > 50  # links that the fingerprints of op5 do not have
-    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)] + [(None, texts[0], None, None, None), (3, texts[3], "en", "s", 0)]
+    assert linked > 5
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)] + [(None, texts[0], None, None, None), (3, texts[3], "en", "s", 0), (3, "apart from all others", "en", "s", 0)]
     docs = spark.createDataFrame(rows, DOCS)
-    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == sorted(set(top))
-    numbered = simhash_bk.settle(docs.withColumn("_row", F.monotonically_increasing_id()), "test-rows")
-    for limit, tile in ((4096, 5), (3, 512), (3, 4)):  # families in tiles, every family cut to its buckets, both
-        kept = near_copies.first_of_groups(numbered, limit=limit, tile=tile)[1].join(numbered, "_row")
-        assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(top))
+    got = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted(r["doc_id"] for r in got) == sorted([*set(top), 3])
     assert corpus_pipeline.near_duplicates(spark, docs.filter("false"), "").count() == 0
 
 
-def test_sizes_of_intersections():
-    rng = np.random.default_rng(3)
-    sets = [np.unique(rng.integers(0, n, 60)).astype(np.uint64) for n in (70, 200, 2000) for _ in range(30)]
-    got = near_copies.common(sets)
-    assert all(got[a, b] == len(np.intersect1d(sets[a], sets[b])) for a in range(90) for b in range(90) if a != b)
+def test_join_split_deals_busy_keys(spark):
+    rows = spark.createDataFrame([(i % 5 if i % 3 else 9, i) for i in range(300)] + [(None, 300), (77, 301)], "k long, v long")
+    table = spark.createDataFrame([(k, f"t{k}", 100 if k == 9 else 0) for k in (0, 1, 2, 3, 4, 9)], "_k long, t string, count long")
+    got = {r["v"]: r["t"] for r in common.join_split(rows, table, "k", "_k").collect()}
+    assert got == {i: f"t{i % 5 if i % 3 else 9}" for i in range(300)} | {300: None, 301: None}
 
 
 def test_bk_tree_and_components(spark):
@@ -171,6 +185,33 @@ def levenshtein(a, b):
     return row[-1]
 
 
+def test_very_long_items_are_searched_exactly(spark):
+    rng = random.Random(17)
+    word = lambda: f"w{rng.randrange(20_000)}"
+    items = [[word() for _ in range(n)] for n in (2500, 2600, 30, 30)]
+
+    def edited(x, edits):
+        x = list(x)
+        for _ in range(edits):
+            p = rng.randrange(len(x))
+            rng.choice([lambda: x.insert(p, "new"), lambda: x.pop(p), lambda: x.__setitem__(p, "other")])()
+        return [word() for _ in range(40)] + x + [word() for _ in range(40)]
+
+    docs = [(i, " ".join(edited(x, len(x) // 5 if i < 4 else 0))) for i, x in enumerate(items)] + [(9, " ".join(word() for _ in range(3000)))]
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    reached = decontaminate.recalls(bench)
+    assert all(r >= 0.98 for *_, r in reached) and any(n > 1000 and not tables for n, _, tables, _ in reached) and any(tables for *_, tables, _ in reached)
+    out = decontaminate.matches(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in out} >= {(0, 0), (1, 1)} and all(r["doc_id"] == r["item_id"] for r in out)
+
+
+def test_edits_by_row_equal_edits_by_cell():
+    rng = random.Random(18)
+    for _ in range(300):
+        a, b = ([rng.randrange(4) for _ in range(rng.randrange(1, 30))] for _ in range(2))
+        assert decontaminate.rows_stretch(a, b) == decontaminate.cells_stretch(a, b)
+
+
 def test_bounds_are_optimal():
     rng = random.Random(4)
     for _ in range(40):
@@ -225,6 +266,63 @@ def test_main_text():
     html_main.main_text("<a \"" * 20_000 + "<!--" * 20_000)
 
 
+def test_main_text_keeps_what_only_sounds_like_furniture():
+    body = "".join(f"<p>Sentence {i}, with some words, and more words, to count for something in the end.</p>" for i in range(5))
+    page = lambda extra: html_main.main_text(f"<body><div class='menu-main'><p>Menu, menu, menu.</p></div><div class='post'>{body}{extra}</div></body>")
+    plain = page("")
+    for extra, want in (("<p>Let <math><mi>x</mi></math> be.</p>", "Let x be."), ("<p class='social-security'>About security.</p>", "About security."),
+                        ("<p id='share-prices'>About prices.</p>", "About prices."), ("<p>Open <svg><text>drawing</p><p>After it.</p>", "Open drawing After it."),
+                        ("<p class='lead ad-hoc'>Made ad hoc.</p>", "Made ad hoc."), ("<div class='cookie-notice'><p>We use cookies.</p></div>", ""),
+                        ("<p class='advert'>Buy.</p>", ""), ("<div id='comments'><p>Nice.</p></div>", ""), ("<div hidden><p>Kept.</p></div>", "Kept."),
+                        ("<script>var a = '<p>';</script><style>p{}</style><textarea><p>x</textarea>", "")):
+        assert page(extra) == f"{plain} {want}".strip(), extra
+    assert "Menu" not in plain and plain.count("Sentence") == 5
+
+
+def slow_tree(html):
+    """Open elements as a plain list that is searched from the top: (tag, number of its parent) in order."""
+    blocks, closes = html_main.BLOCK, html_main.CLOSES
+    para = {"p", *html_main.HEADING}
+    out, stack = [("html", -1)], [0]
+    for end, tag in ((m[1], m[2].lower()) for m in html_main.TOKEN.finditer(html) if m[2]):
+        if end:
+            for d in range(len(stack) - 1, 0, -1):
+                if out[stack[d]][0] == tag:
+                    del stack[d:]
+                    break
+                if tag not in blocks and out[stack[d]][0] in blocks:
+                    break
+            continue
+        while tag in blocks:
+            d = max((d for d in range(1, len(stack)) if out[stack[d]][0] in blocks), default=0)
+            t = out[stack[d]][0]
+            if not d or t not in para and t not in closes.get(tag, ()):
+                break
+            del stack[d:]
+            if t == tag or tag not in closes or t not in para and tag != "tr":
+                break
+        out.append((tag, stack[-1]))
+        stack.append(len(out) - 1)
+    return out
+
+
+def test_tree_equals_a_slow_one():
+    rng = random.Random(31)
+    kinds = "div p span b ul li table tr td th h2 dl dt dd a section".split()
+    for _ in range(400):
+        html = "".join(rng.choice(["<%s>", "<%s>", "</%s>"]) % rng.choice(kinds) + rng.choice(["", "x"]) for _ in range(rng.randrange(1, 80)))
+        tags, parents, _ = html_main._blocks(html)
+        assert list(zip(tags, parents)) == slow_tree(html), html
+
+
+def test_broken_pages_take_linear_time():
+    n = 60_000
+    start = time.perf_counter()
+    for page in ("<div>" + "<span>" * n + "</b>" * n, "<div>" + "<span>" * n + "<div></div>" * n, "<table>" + "<tr><td>" * n, "<p>" * n + "<option>" * n + "</option>" * n):
+        assert html_main.main_text(page) == ""
+    assert time.perf_counter() - start < 8
+
+
 def test_extract_rows(spark):
     rows = [(1, "u", PAGE, 3), (1, "u", PAGE, 3), (None, None, None, None)]
     out = html_main.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text long")).collect()
@@ -250,6 +348,38 @@ def test_url_rules(spark):
     assert url_rules.judge(df.filter("page_id < 2")).count() == 2
 
 
+def test_every_label_segment_and_key_is_a_token(spark):
+    url = "https://www.casino-win.example.co.uk/a/b7/c/d/e/f/g/h/i/j.html?x=1&utm=2#top"
+    df = spark.createDataFrame([(1, url), (2, None)], "page_id long, url string")
+    host, path = url_rules.parts()
+    got = {r["page_id"]: r["t"] for r in df.withColumns({"host": host, "path": path}).select("page_id", url_rules.tokens().alias("t")).collect()}
+    assert got[2] == [] and {"label=www", "label=casino-win", "label=example", "label=co", "top=uk", "domain=co.uk", "path=b#", "path=i", "path=j.html",
+                             "first=a", "depth=10", "ending=html", "key=x", "key=utm", "fragment", *(f"path={c}" for c in "acdefgh")} == set(got[1])
+    rows = [(i, f"http://www.casino-win.s{i}.example.org/x/y/z/en/{i}") for i in range(30)] + [(50 + i, f"http://www.news.s{i}.example.org/x/y/z/en/{i}") for i in range(30)]
+    rules = (("block", f"casino-win.s{i}.example.org", "/") for i in range(20))
+    rules = [*rules, *(("allow", f"news.s{i}.example.org", "/") for i in range(20))]
+    out = {r["page_id"]: r for r in url_rules.judge(spark.createDataFrame(rows, "page_id long, url string"), rules, min_support=0.1).collect()}
+    assert all(out[i]["verdict"] == "block" and out[50 + i]["verdict"] == "allow" for i in range(30))
+    assert all(out[i]["rule"] is None and "label=casino-win" in out[i]["mined"] for i in range(20, 30))
+
+
+def test_long_token_sets_are_mined_in_parts(spark):
+    rng = random.Random(9)
+    names = [f"t{i:02d}" for i in range(26)]
+    rows = [(sorted(rng.sample(names, 22)), rng.choice(["allow", "block"])) for _ in range(25)] + [(names, "block")] * 25
+    got = url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), min_support=0.5, min_confidence=0.9, max_items=3).collect()
+    rules = {}
+    for r in range(1, 4):
+        for c in combinations(names, r):
+            have = [y for x, y in rows if set(c) <= set(x)]
+            for v in ("allow", "block"):
+                n = have.count(v)
+                if n >= 0.5 * len(rows) and n / len(have) >= 0.9:
+                    rules[c, v] = n / len(have)
+    kept = {k: p for k, p in rules.items() if not any(rules.get((tuple(t for t in k[0] if t != o), k[1]), 0) >= p for o in k[0])}
+    assert kept and {(tuple(r["items"]), r["verdict"]): pytest.approx(r["confidence"]) for r in got} == kept
+
+
 def test_mined_rules_against_counting(spark):
     rng = random.Random(8)
     rows = [(sorted(rng.sample("abcdef", rng.randint(1, 4))), rng.choice(["allow", "block"])) for _ in range(200)]
