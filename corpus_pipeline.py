@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from fraudloom.llm import decontaminate, near_copies, packing, quality_kn, toxicity
+from fraudloom.llm import decontaminate, packing, quality_kn, simhash_bk, toxicity
 from fraudloom.llm.common import DOCUMENT_COLUMNS, read, settle
 
 C = F.col
@@ -31,14 +31,17 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word Jaccard of 0.8 or more, chained): the one with the smallest id.
+    """One document of each SimHash group (three-word shingles, two bits, chained): the one with the smallest id.
 
-    Only row numbers, shingle hashes and the texts of candidates are grouped. Rows without an id come after those with
-    one; repeated rows are one group, of which one row stays.
+    Only row numbers and fingerprints are grouped. Rows without an id come after those with one; repeated rows are one
+    group, of which one row stays.
     """
     rows = settle(docs.select(*DOCUMENT_COLUMNS).withColumn("_row", F.monotonically_increasing_id()), "pipeline-rows")
-    every, kept = near_copies.first_of_groups(rows)
-    lost = every.join(settle(kept, "pipeline-kept").hint("merge"), "_row", "left_anti")
+    groups = simhash_bk.cluster(rows.select(C("_row").alias("doc_id"), "text")).select(C("doc_id").alias("_row"), "component_id")
+    rank = F.struct(C("doc_id").isNull(), "doc_id", "_row")
+    groups = settle(groups.join(rows.select("_row", "doc_id").hint("merge"), "_row"), "pipeline-groups")
+    kept = settle(groups.groupBy("component_id").agg(F.min(rank).alias("first")).select(C("first._row").alias("_row")), "pipeline-kept")
+    lost = groups.select("_row").join(kept.hint("merge"), "_row", "left_anti")
     # the rows that go grow with the documents: one plan at every size, and no broadcast of them
     return rows.join(lost.hint("merge"), "_row", "left_anti").select(*DOCUMENT_COLUMNS)
 
