@@ -1,28 +1,32 @@
 """Exact k nearest neighbours per window, in bounded tasks.
 
 Equal vectors are merged first and carry their smallest ids, so a group of
-copies costs no more than one row. The distinct vectors go to the nearest of
-at most PIVOTS pivots and each (window, pivot) cell is cut into blocks of
-about BLOCK rows. The triangle inequality tells from the block radii which
-block pairs can hold neighbours; only those pairs are compared, each as one
-task-sized unit that emits its best rows. The result is then handed to all
-copies.
+copies costs no more than one row. The distinct vectors are indexed by two
+levels of pivots, whose number grows with the square root of the rows: a vector
+goes to its nearest top pivot and then to the nearest pivot of that one's list,
+and each (window, pivot) cell is cut into blocks of about BLOCK rows. The
+triangle inequality prunes pairs of top cells first, then pairs of cells below
+the surviving ones, then their blocks; no step has a window as its key. Each
+block pair that is left is compared as one task-sized unit that emits its best
+rows. The result is then handed to all copies.
 """
 
 from __future__ import annotations
 
-import json
+import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..operators.skew import join_stats
 from ..session import settle
 
 C = F.col
 BLOCK = 1024
-PIVOTS = 64
+#: pivots are picked from a sample this many times as large
+SAMPLE = 4
 
 
 def _distinct(rows: DataFrame, k: int) -> DataFrame:
@@ -35,43 +39,120 @@ def _distinct(rows: DataFrame, k: int) -> DataFrame:
     return ids.join(sizes, ["window", "vec"]).withColumn("id", C("ids")[0])
 
 
-def _pivots(rows: DataFrame, seed: int) -> np.ndarray:
-    """Vectors in hash order: one per BLOCK rows, at most PIVOTS."""
-    wanted = min(PIVOTS, -(-rows.count() // BLOCK))
-    picked = rows.select("vec").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(wanted).collect()
-    return np.array([r.vec for r in picked], dtype="float64")
+class Pivots:
+    """Points; the first ones are the top level, each with the list of pivots nearest to it."""
 
+    def __init__(self, points: np.ndarray):
+        self.points = points
+        self.tops = math.ceil(math.sqrt(len(points)))
+        of = ((points[:, None, :] - points[None, :self.tops, :]) ** 2).sum(axis=2).argmin(axis=1) if len(points) else []
+        self.lists = [np.flatnonzero(of == t) for t in range(self.tops)]
 
-def _assign(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Adds cell (nearest pivot) and the distance to it."""
+    def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Top pivot, pivot and the distances to both. Any choice keeps results exact; near ones keep blocks small."""
+        top = _nearest_point(x, self.points[:self.tops])
+        cell = np.empty(len(x), dtype="int64")
+        for t in np.unique(top):
+            here = top == t
+            cell[here] = self.lists[t][_nearest_point(x[here], self.points[self.lists[t]])]
+        far = [np.sqrt(((x - self.points[at]) ** 2).sum(axis=1)) for at in (top, cell)]
+        return top, cell, *far
+
+    def gaps(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.sqrt(((self.points[a] - self.points[b]) ** 2).sum(axis=1))
+
+
+def _nearest_point(x: np.ndarray, points: np.ndarray) -> np.ndarray:
+    return ((points * points).sum(axis=1) - 2 * (x @ points.T)).argmin(axis=1)
+
+
+def _pivots(rows: DataFrame, seed: int) -> Pivots:
+    """As many vectors as the square root of the largest window, each the farthest from those before it in a sample in hash order."""
+    largest = rows.groupBy("window").count().agg(F.max("count")).first()[0] or 0
+    wanted = math.ceil(math.sqrt(largest))
+    picked = rows.select("vec").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(SAMPLE * wanted).collect()
+    x = np.array([r.vec for r in picked], dtype="float64")
+    chosen, near = [0], np.full(len(x), np.inf)
+    while len(chosen) < min(wanted, len(x)):
+        near = np.minimum(near, ((x - x[chosen[-1]]) ** 2).sum(axis=1))
+        chosen.append(int(near.argmax()))
+    return Pivots(x[chosen] if len(x) else x)
+
+
+def _assign(rows: DataFrame, sent) -> DataFrame:
+    """Adds top, cell and the distances to their pivots."""
     def nearest(batches):
         for pdf in batches:
             if len(pdf):
-                x = np.vstack(pdf["vec"].to_numpy()).astype("float64")
-                d = np.stack([((x - p) ** 2).sum(axis=1) for p in pivots], axis=1)
-                cell = d.argmin(axis=1)
-                pdf = pdf.assign(cell=cell.astype("int32"), pdist=np.sqrt(d[np.arange(len(x)), cell]))
-                yield pdf[["id", "window", "vec", "ids", "cell", "pdist"]]
+                top, cell, tdist, pdist = sent.value.assign(np.vstack(pdf["vec"].to_numpy()).astype("float64"))
+                pdf = pdf.assign(top=top.astype("int32"), cell=cell.astype("int32"), tdist=tdist, pdist=pdist)
+                yield pdf[["id", "window", "vec", "ids", "top", "cell", "tdist", "pdist"]]
 
     return rows.select("id", "window", "vec", "ids").mapInPandas(
-        nearest, "id bigint, window string, vec array<double>, ids array<bigint>, cell int, pdist double")
+        nearest, "id bigint, window string, vec array<double>, ids array<bigint>, top int, cell int, tdist double, pdist double")
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
     """One row per block: ids and vectors end to end, radius, size in rows."""
     sizes = rows.groupBy("window", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("subs"))
     cut = rows.join(sizes, ["window", "cell"]).withColumn("sub", F.pmod(F.xxhash64("id"), C("subs")))
-    packed = cut.groupBy("window", "cell", "sub").agg(
-        F.collect_list(F.struct("id", "vec", "ids")).alias("m"), F.max("pdist").alias("radius"),
+    packed = cut.groupBy("window", "top", "cell", "subs", "sub").agg(
+        F.collect_list(F.struct("id", "vec", "ids")).alias("m"), F.max("pdist").alias("radius"), F.max("tdist").alias("tradius"),
         F.count(F.lit(1)).alias("cnt"))
     return packed.select(
-        "window", F.concat_ws("/", "window", "cell", "sub").alias("block"), "cell", "radius", "cnt",
+        "window", "top", "cell", "subs", "sub", "radius", "tradius", "cnt",
         F.transform("m", lambda x: x["id"]).alias("reps"),
         F.flatten(F.transform("m", lambda x: x["vec"])).alias("data"),
         F.transform("m", lambda x: F.size(x["ids"])).alias("sizes"),
         F.flatten(F.transform("m", lambda x: x["ids"])).alias("ids"))
 
 
+def _side(blocks: DataFrame, level: str, side: str, radius: str) -> DataFrame:
+    """Radius and size of every (window, top) or (window, cell)."""
+    keys = ["top"] if level == "top" else ["top", "cell", "subs"]
+    table = blocks.groupBy("window", *keys).agg(F.max(radius).alias("radius"), F.sum("cnt").alias("cnt"))
+    return table.select("window", *[C(c).alias(f"{side}_{c}") for c in (*keys, "radius", "cnt")])
+
+
+def _within_reach(pairs: DataFrame, level: str, take: int, sent) -> DataFrame:
+    """Pairs of places where the left one may have neighbours; adds gap and reach.
+
+    The nearest places, by the farthest that a row of each can lie, which hold ``take`` vectors together bound how far
+    the neighbours of any left row are; a pair whose rows are all farther apart is dropped.
+    """
+    left, right = f"l_{level}", f"r_{level}"
+
+    def gap(batches):
+        for b in batches:
+            at = [b.column(b.schema.get_field_index(c)).to_numpy() for c in (left, right)]
+            yield b.append_column("gap", pa.array(sent.value.gaps(*at), pa.float64()))
+
+    with_gap = pairs.mapInArrow(gap, T.StructType([*pairs.schema, T.StructField("gap", T.DoubleType())]))
+    farthest = C("gap") + C("l_radius") + C("r_radius")
+    nearest_first = Window.partitionBy("window", left).orderBy("_far", right).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counted = with_gap.withColumn("_far", farthest).withColumn("_held", F.sum("r_cnt").over(nearest_first))
+    whole = Window.partitionBy("window", left)
+    reach = F.min(F.when(C("_held") >= take, C("_far"))).over(whole)
+    return (counted.withColumn("reach", reach).where(C("reach").isNull() | (C("gap") - C("l_radius") - C("r_radius") <= C("reach") * (1 + 1e-9)))
+            .drop("_far", "_held"))
+
+
+def block_pairs(left: DataFrame, right: DataFrame, take: int, sent) -> DataFrame:
+    """(window, l_cell, l_sub, r_cell, r_sub) of the blocks that have to be compared; the tables of ``_blocks``."""
+    tops = _side(left, "top", "l", "tradius").withColumn("r_top", F.explode(F.sequence(F.lit(0), F.lit(sent.value.tops - 1))))
+    near_tops = _within_reach(tops.join(_side(right, "top", "r", "tradius"), ["window", "r_top"]), "top", take, sent)
+    near_tops = settle(near_tops.select("window", "l_top", "r_top"), "near-tops")
+    cells = (near_tops.join(_side(left, "cell", "l", "radius"), ["window", "l_top"])
+             .join(_side(right, "cell", "r", "radius"), ["window", "r_top"]))
+    near = _within_reach(cells, "cell", take, sent)
+    near = (near.select("window", "l_cell", "r_cell", "gap", "reach", F.explode(F.sequence(F.lit(0).cast("long"), C("l_subs") - 1)).alias("l_sub"), "r_subs")
+            .select("*", F.explode(F.sequence(F.lit(0).cast("long"), C("r_subs") - 1)).alias("r_sub")))
+    radii = [t.select("window", C("cell").alias(f"{s}_cell"), C("sub").alias(f"{s}_sub"), C("radius").alias(f"{s}_r")) for s, t in (("l", left), ("r", right))]
+    met = near.join(radii[0], ["window", "l_cell", "l_sub"]).join(radii[1], ["window", "r_cell", "r_sub"])
+    met = met.where(C("reach").isNull() | (C("gap") - C("l_r") - C("r_r") <= C("reach") * (1 + 1e-9)))
+    return settle(met.select("window", "l_cell", "l_sub", "r_cell", "r_sub"), "near-blocks")
+
+
 def _best(i: np.ndarray, dist: np.ndarray, by: np.ndarray, take: int) -> np.ndarray:
     """Positions of the ``take`` smallest (dist, by) of each i, in order."""
     order = np.lexsort((by, dist, i))
@@ -100,6 +181,7 @@ def _compare(take: int):
     """For every left vector of a block pair, its ``take`` nearest member ids on the right."""
     def run(batches):
         for pdf in batches:
+            found = []
             for row in pdf.itertuples(index=False):
                 a_reps, b_reps, ids = np.asarray(row.a_reps), np.asarray(row.b_reps), np.asarray(row.b_ids)
                 a = np.asarray(row.a_data, dtype="float64").reshape(len(a_reps), -1)
@@ -112,7 +194,9 @@ def _compare(take: int):
                 i, dist = np.repeat(i, n), np.repeat(dist, n)
                 nbr = ids[np.repeat(start[j] - np.cumsum(n) + n, n) + np.arange(n.sum())]
                 top = _best(i, dist, nbr, take)
-                yield pd.DataFrame({"window": row.window, "rep": a_reps[i[top]], "nbr": nbr[top], "dist": dist[top]})
+                found.append((np.full(len(top), row.window, object), a_reps[i[top]], nbr[top], dist[top]))
+            if found:
+                yield pd.DataFrame(dict(zip(("window", "rep", "nbr", "dist"), map(np.concatenate, zip(*found)))))
     return run
 
 
@@ -129,27 +213,19 @@ def knn_table(queries: DataFrame, k: int, donors: DataFrame | None = None, seed:
     left_set = settle(_distinct(left_rows, k), "distinct")
     right_set = left_set if skip_self else settle(_distinct(donors.select("id", "window", "vec"), k), "distinct")
     pivots = _pivots(right_set, seed)
-    if not len(pivots):
+    if not len(pivots.points):
         return left_rows.select("window", "id", F.lit(None).cast("bigint").alias("nbr"),
                                 F.lit(None).cast("double").alias("dist"), F.lit(1).alias("rank")).where(F.lit(False))
-    right = settle(_blocks(_assign(right_set, pivots)), "blocks")
-    left = right if skip_self else settle(_blocks(_assign(left_set, pivots)), "blocks")
-    between = np.sqrt(((pivots[:, None, :] - pivots[None, :, :]) ** 2).sum(axis=2))
-    gap = F.from_json(F.lit(json.dumps(between.tolist())), "array<array<double>>")
-
-    # block level only: one row per block of about BLOCK distinct vectors
-    lm = left.select("window", C("block").alias("lb"), C("cell").alias("lc"), C("radius").alias("lr"))
-    rm = right.select("window", C("block").alias("rb"), C("cell").alias("rc"), C("radius").alias("rr"), "cnt")
-    near = lm.join(rm, "window").withColumn("gap", gap[C("lc")][C("rc")])
-    # every row of lb has its neighbours within reach if one block with enough vectors lies that close
-    reach = near.groupBy("lb").agg(F.min(F.when(C("cnt") >= take, C("gap") + C("lr") + C("rr"))).alias("reach"))
-    keep = near.join(reach, "lb").where(
-        C("reach").isNull() | (C("gap") - C("lr") - C("rr") <= C("reach") * (1 + 1e-9))).select("lb", "rb")
-    a = left.select("window", C("block").alias("lb"), C("reps").alias("a_reps"), C("data").alias("a_data"))
-    b = right.select(C("block").alias("rb"), C("reps").alias("b_reps"), C("data").alias("b_data"),
+    sent = queries.sparkSession.sparkContext.broadcast(pivots)
+    right = settle(_blocks(_assign(right_set, sent)), "blocks")
+    left = right if skip_self else settle(_blocks(_assign(left_set, sent)), "blocks")
+    keep = block_pairs(left, right, take, sent)
+    a = left.select("window", C("cell").alias("l_cell"), C("sub").alias("l_sub"), C("reps").alias("a_reps"), C("data").alias("a_data"))
+    b = right.select("window", C("cell").alias("r_cell"), C("sub").alias("r_sub"), C("reps").alias("b_reps"), C("data").alias("b_data"),
                      C("sizes").alias("b_sizes"), C("ids").alias("b_ids"))
     # spread by pair: one block takes part in many pairs
-    work = keep.join(a, "lb").join(b, "rb").repartition("lb", "rb").drop("lb", "rb")
+    pair = ["window", "l_cell", "l_sub", "r_cell", "r_sub"]
+    work = keep.join(a, pair[:3]).join(b, ["window", "r_cell", "r_sub"]).repartition(*pair).drop(*pair[1:])
     found = work.mapInPandas(_compare(take), "window string, rep bigint, nbr bigint, dist double")
     best = Window.partitionBy("window", "rep").orderBy("dist", "nbr")
     top = found.withColumn("_r", F.row_number().over(best)).where(C("_r") <= take)
@@ -166,12 +242,13 @@ def knn_table(queries: DataFrame, k: int, donors: DataFrame | None = None, seed:
 
 def impute_knn(df: DataFrame, key: str, target: str, features: list[str], k: int = 5) -> DataFrame:
     """Null targets take the mean target of the k nearest rows that have one (uniform weights, z-scored features)."""
-    from ..operators.encode import scale_standard
-
-    scaled = scale_standard(df, features).select(
-        C(key).alias("id"), F.lit("all").alias("window"),
-        # a missing feature counts as the mean, which is 0 after scaling
-        F.array(*[F.nanvl(F.coalesce(C(f).cast("double"), F.lit(0.0)), F.lit(0.0)) for f in features]).alias("vec"), C(target).alias("_t"))
+    raw = settle(df.select(C(key).alias("id"), *[C(f).cast("double").alias(f"_f{i}") for i, f in enumerate(features)], C(target).alias("_t")), "impute")
+    at = [f"_f{i}" for i in range(len(features))]
+    row = raw.agg(*[a(c).alias(f"{n}{c}") for c in at for n, a in (("m", F.avg), ("s", F.stddev_pop))]).first()  # two numbers a feature
+    mean, dev = ([row[f"{n}{c}"] for c in at] for n in "ms")
+    # a missing feature counts as the mean, which is 0 after scaling
+    z = [F.coalesce(F.nanvl(C(c), F.lit(None).cast("double")) - F.lit(m), F.lit(0.0)) / F.lit(d or 1.0) for c, m, d in zip(at, mean, dev)]
+    scaled = raw.select("id", F.lit("all").alias("window"), F.array(*z).alias("vec"), "_t")
     nbrs = knn_table(scaled.where(C("_t").isNull()), k, scaled.where(C("_t").isNotNull()))
     donors = nbrs.groupBy("nbr").agg(F.count(F.lit(1)).alias("_n")).join(
         df.select(C(key).alias("nbr"), C(target).alias("_t")), "nbr")

@@ -392,7 +392,7 @@ def impute_numeric(spark, sf):
     return rounded(model.transform(df), "amount", digits=3)
 
 
-_DIMS = 6
+_DIMS = 64
 
 
 @query("impute_knn", "WITH e AS (SELECT vec_id, CASE WHEN vec_id % 10 <> 0 THEN CAST(vec_id % 97 AS DOUBLE) END AS t, "

@@ -56,6 +56,26 @@ def test_knn_pruning_on_clusters(spark, monkeypatch):
     assert got == {i: [n for _, n in v] for i, v in _brute(rows, 3).items()}
 
 
+def test_few_block_pairs_are_compared_on_clusters(spark):
+    rnd = np.random.default_rng(3)
+    at = rnd.normal(size=(64, 8)) * 100
+    rows = [(i, "w" if i % 8 else "v", (at[i % 64] + rnd.normal(size=8)).tolist()) for i in range(6400)]
+    df = spark.createDataFrame(rows, "id bigint, window string, vec array<double>")
+    pivots = knn._pivots(df, 42)
+    sent = spark.sparkContext.broadcast(pivots)
+    blocks = knn.settle(knn._blocks(knn._assign(knn._distinct(df, 5), sent)), "test-blocks")
+    size = {(r["window"], r["cell"], r["sub"]): r["cnt"] for r in blocks.select("window", "cell", "sub", "cnt").collect()}
+    pairs = knn.block_pairs(blocks, blocks, 6, sent).collect()
+    compared = sum(size[p["window"], p["l_cell"], p["l_sub"]] * size[p["window"], p["r_cell"], p["r_sub"]] for p in pairs)
+    assert len(pivots.points) > 15 and pivots.tops > 3
+    assert compared < 0.15 * sum(v * sum(u for l, u in size.items() if l[0] == k[0]) for k, v in size.items())
+    got = {}
+    for r in knn.knn_table(df, 5).where("id < 40").orderBy("id", "rank").collect():
+        got.setdefault(r["id"], []).append(r["nbr"])
+    assert len(got) == 40 and all(
+        got[i] == [n for _, n in sorted((float(np.linalg.norm(np.subtract(rows[i][2], u))), j) for j, w, u in rows if w == rows[i][1] and j != i)[:5]] for i in got)
+
+
 def test_impute_knn(spark):
     rows = [(1, 0.0, 10.0), (2, 1.0, 20.0), (3, 50.0, 99.0), (4, 0.4, None)]
     df = spark.createDataFrame(rows, "k bigint, x double, t double")
