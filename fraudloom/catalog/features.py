@@ -11,6 +11,7 @@ from ..functions import dates, email_tokens, geo, missing, text
 from ..ml import stages, train
 from ..operators import encode, relational as rel
 from ..plans.application_features import application_features
+from ..session import settle
 from .base import APPS, C, applications, md5_bucket, q6, q_stamp, query, r6, rounded, stamp, tbl
 from .tables import SPARSE_SQL, ZIP_SQL, sparse_rows, zip_offsets
 
@@ -129,11 +130,44 @@ def strip_quotes(spark, sf):
     return text.strip_quotes(tbl(spark, sf, "events").select("event_id", "props", "event_type"))
 
 
-@query("email_token_similarity")
+_EMAILS = """emails AS (SELECT c_name || '-u' || (c_custkey % 211) || '_' || lower(substr(c_mktsegment, 1, 2)) || '-' || lower(c_mktsegment)
+    || '@n' || c_nationkey || '.com' AS email FROM customer)"""
+_TOKENS = _EMAILS + """, lists AS (SELECT list_filter(regexp_split_to_array(lower(email), '[^\\w.#]+'), lambda t: t <> '') AS t FROM emails),
+  near AS (SELECT t[i] AS token, t[j] AS neighbour, COUNT(*) AS n FROM lists, range(1, 20) a(i), range(1, 20) b(j)
+    WHERE i <= len(t) AND j <= len(t) AND abs(i - j) = 1 GROUP BY 1, 2),
+  summed AS (SELECT token, CAST(pos AS INTEGER) AS pos, CAST(SUM(CASE WHEN substr(md5(neighbour), pos, 1) < '8' THEN -n ELSE n END) AS DOUBLE) AS v
+    FROM near, range(1, 17) r(pos) GROUP BY 1, 2),
+  vecs AS (SELECT token, list(v ORDER BY pos) AS v FROM summed GROUP BY 1),
+  units AS (SELECT token, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS vec FROM vecs
+    WHERE list_sum(list_transform(v, lambda y: y * y)) > 0),
+  heads AS (SELECT MIN(token) AS token, vec FROM units GROUP BY vec)"""
+
+
+def _token_vectors(spark, sf):
+    c = tbl(spark, sf, "customer")
+    email = F.concat("c_name", F.lit("-u"), (C("c_custkey") % 211).cast("string"), F.lit("_"), F.lower(F.substring("c_mktsegment", 1, 2)), F.lit("-"),
+                     F.lower("c_mktsegment"), F.lit("@n"), C("c_nationkey").cast("string"), F.lit(".com"))
+    return settle(email_tokens.token_vectors(c.select(email.alias("email")), "email"), "token-vectors")
+
+
+@query("email_token_similarity", f"""WITH {_TOKENS}
+  SELECT a.token AS a, b.token AS b, {q6('list_dot_product(a.vec, b.vec)')} AS similarity FROM heads a JOIN heads b ON a.token < b.token
+    AND list_dot_product(a.vec, b.vec) >= 0.95 UNION ALL
+  SELECT heads.token, units.token, 1.0 FROM heads JOIN units ON heads.vec = units.vec AND heads.token < units.token""")
 def email_token_similarity(spark, sf):
-    c = tbl(spark, sf, "customer").select(F.concat("c_name", F.lit("@"), F.lower("c_mktsegment"), F.lit(".com")).alias("email"))
-    vectors = email_tokens.token_vectors(c, "email").persist()
-    return rounded(email_tokens.similar_tokens(vectors, 0.9995), "similarity")
+    """Similar pairs between class heads, and each further member of a class with its head."""
+    classes = settle(email_tokens.token_classes(_token_vectors(spark, sf)), "token-classes")
+    heads = classes.where(C("token") == C("head")).select("token", "vec")
+    members = classes.where(C("token") != C("head")).select(C("head").alias("a"), C("token").alias("b"), F.lit(1.0).alias("similarity"))
+    return rounded(email_tokens.similar_tokens(heads, 0.95), "similarity").unionByName(members)
+
+
+@query("email_most_similar", f"""WITH {_TOKENS} SELECT token, {q6('s')} AS similarity FROM (
+  SELECT u.token, list_dot_product(u.vec, q.vec) AS s FROM units u, (FROM units WHERE token = 'building') q WHERE u.token <> 'building')
+  ORDER BY round(s, 9) DESC, token LIMIT 4""")
+def email_most_similar(spark, sf):
+    """The four tokens nearest to one token."""
+    return rounded(email_tokens.most_similar(_token_vectors(spark, sf), "building", 4), "similarity")
 
 
 # ---------------------------------------------------------------- dates

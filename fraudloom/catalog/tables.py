@@ -546,9 +546,12 @@ def sample_fraction(spark, sf):
     return rel.sample_fraction(tbl(spark, sf, "orders").select("o_orderkey"), "o_orderkey", 20)
 
 
-@query("sample_with_replacement")
+_COPIES = " + ".join(f"({md5_bucket('o_orderkey', 1 << 32)} >= {s})::INTEGER" for s in rel.poisson_steps(0.2))
+
+
+@query("sample_with_replacement", f"""SELECT o_orderkey FROM (SELECT o_orderkey, unnest(range({_COPIES})) FROM orders)""")
 def sample_with_replacement(spark, sf):
-    return rel.sample_with_replacement(tbl(spark, sf, "orders").select("o_orderkey"))
+    return rel.sample_with_replacement(tbl(spark, sf, "orders").select("o_orderkey"), "o_orderkey")
 
 
 @query("argmax_trial", f"""WITH {IMPORTANCE_SQL} SELECT MAX(mean_importance) AS best_score, arg_max(feature, mean_importance) AS best_params FROM mi""")

@@ -1,13 +1,12 @@
-"""E-mail token vectors and similar-token pairs."""
+"""E-mail token vectors by random indexing, and similar-token pairs."""
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Word2Vec
 from pyspark.sql import Column, DataFrame, functions as F
 
 C = F.col
-#: more distinct tokens than this share hashed vocabulary slots, so the model stays bounded
-VOCABULARY = 1 << 18
+#: left tokens of one grid cell that meet all right ones in a task
+CELL_ROWS = 2048
 
 
 def tokens(c: Column) -> Column:
@@ -15,20 +14,35 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(F.lower(c), r"[^\w.#]+"), lambda t: t != "")
 
 
-def token_vectors(df: DataFrame, email: str, size: int = 3, window: int = 1, seed: int = 42) -> DataFrame:
-    """(token, vec): unit vectors of all distinct tokens, trained on the token lists."""
+def neighbour_counts(df: DataFrame, email: str, window: int = 1) -> DataFrame:
+    """(token, neighbour, n): how often two tokens stand at most ``window`` places apart in one address."""
     lists = df.where(C(email).isNotNull()).select(tokens(C(email)).alias("t"))
-    distinct = lists.select(F.explode("t").alias("token")).distinct()
-    n = distinct.select(F.approx_count_distinct("token", 0.02)).first()[0]
-    slot = (lambda t: t) if n <= VOCABULARY else (
-        lambda t: F.pmod(F.xxhash64(t), F.lit(VOCABULARY)).cast("string"))
-    model = Word2Vec(vectorSize=size, windowSize=window, minCount=1, seed=seed, inputCol="s", outputCol="o",
-                     numPartitions=1 if n < 10_000 else 8).fit(lists.select(F.transform("t", slot).alias("s")))
-    from pyspark.ml.functions import vector_to_array
-    vec = model.getVectors().select(C("word").alias("_slot"), vector_to_array("vector").alias("v"))
+    near = F.transform("t", lambda x, i: F.struct(x.alias("token"), F.concat(
+        F.slice("t", F.greatest(i - window + 1, F.lit(1)), F.least(i, F.lit(window))), F.slice("t", i + 2, window)).alias("near")))
+    pairs = lists.select(F.explode(near).alias("p")).select("p.token", F.explode("p.near").alias("neighbour"))
+    return pairs.groupBy("token", "neighbour").agg(F.count(F.lit(1)).alias("n"))
+
+
+def token_vectors(df: DataFrame, email: str, size: int = 16, window: int = 1) -> DataFrame:
+    """(token, vec): unit vectors of all tokens that have a neighbour and do not cancel out.
+
+    Every neighbour stands for a fixed direction of ``size`` signs taken from its md5; a token's vector is the sum of
+    its neighbours' directions by count. One grouped sum over all distinct pairs, with no vocabulary held anywhere.
+    """
+    if not 1 <= size <= 32:
+        raise ValueError("size is 1 to 32, one hexadecimal digit of the md5 each")
+    counts = neighbour_counts(df, email, window)
+    digits = F.md5("neighbour")
+    sums = [F.sum(F.when(F.substring(digits, i + 1, 1) < "8", -C("n")).otherwise(C("n"))).alias(f"s{i}") for i in range(size)]
+    vec = counts.groupBy("token").agg(*sums).select("token", F.array(*[C(f"s{i}").cast("double") for i in range(size)]).alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    unit = vec.withColumn("vec", F.transform("v", lambda x: x / norm)).select("_slot", "vec")
-    return distinct.withColumn("_slot", slot(C("token"))).join(unit, "_slot").select("token", "vec")
+    return vec.withColumn("_n", norm).where(C("_n") > 0).select("token", F.transform("v", lambda x: x / C("_n")).alias("vec"))
+
+
+def token_classes(vectors: DataFrame) -> DataFrame:
+    """(token, head, vec): tokens with one vector are a class, headed by the smallest of them."""
+    heads = vectors.groupBy("vec").agg(F.min("token").alias("head"))
+    return vectors.join(heads, "vec").select("token", "head", "vec")
 
 
 def similar_tokens(vectors: DataFrame, min_similarity: float) -> DataFrame:
@@ -36,20 +50,23 @@ def similar_tokens(vectors: DataFrame, min_similarity: float) -> DataFrame:
 
     Unit vectors that similar lie within r = sqrt(2 - 2*cos), so on a grid of
     cell size r over the first three dimensions they are in neighbouring cells.
+    The left tokens of a busy cell are dealt over several tasks. Where many tokens
+    share a vector, pass the heads of ``token_classes``.
     """
     r = (2 - 2 * min_similarity) ** 0.5
-    dims = 3
-
-    def cell(i):
-        return F.floor(F.get("vec", i) / F.lit(r)).cast("int")
-
-    left = vectors.select(C("token").alias("a"), C("vec").alias("va"), *[cell(i).alias(f"c{i}") for i in range(dims)])
+    dims = ["c0", "c1", "c2"]
+    cells = [F.floor(F.get("vec", i) / F.lit(r)).cast("int").alias(c) for i, c in enumerate(dims)]
+    left = vectors.select(C("token").alias("a"), C("vec").alias("va"), *cells)
+    busy = left.groupBy(*dims).count().where(C("count") > CELL_ROWS).select(*dims, F.ceil(C("count") / CELL_ROWS).alias("parts"))
+    parts = F.coalesce("parts", F.lit(1).cast("long"))
+    left = left.join(busy, dims, "left").withColumn("part", F.pmod(F.xxhash64("a"), parts))
     near = F.array(*[F.lit(x) for x in (-1, 0, 1)])
-    right = vectors.select(C("token").alias("b"), C("vec").alias("vb"), *[cell(i).alias(f"c{i}") for i in range(dims)])
-    for i in range(dims):
-        right = right.withColumn("_d", F.explode(near)).withColumn(f"c{i}", C(f"c{i}") + C("_d")).drop("_d")
+    right = vectors.select(C("token").alias("b"), C("vec").alias("vb"), *cells)
+    for c in dims:
+        right = right.withColumn("_d", F.explode(near)).withColumn(c, C(c) + C("_d")).drop("_d")
+    right = right.join(busy, dims, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
     cos = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
-    return (left.join(right, [f"c{i}" for i in range(dims)]).where(C("a") < C("b"))
+    return (left.join(right, [*dims, "part"]).where(C("a") < C("b"))
             .select("a", "b", cos.alias("similarity")).where(C("similarity") >= min_similarity))
 
 
@@ -58,4 +75,4 @@ def most_similar(vectors: DataFrame, token: str, top: int = 4) -> DataFrame:
     q = vectors.where(C("token") == token).agg(F.first("vec")).scalar()
     cos = F.aggregate(F.zip_with("vec", "_q", lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
     return (vectors.where(C("token") != token).withColumn("_q", q).select("token", cos.alias("similarity"))
-            .orderBy(C("similarity").desc(), "token").limit(top))
+            .orderBy(F.round("similarity", 9).desc(), "token").limit(top))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.ml import Estimator, Model, Transformer
+from pyspark.ml import Estimator, Model, PipelineModel, Transformer
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import (DefaultParamsReadable, DefaultParamsReader, DefaultParamsWritable, DefaultParamsWriter,
                              MLReadable, MLReader, MLWritable, MLWriter)
@@ -190,7 +190,7 @@ class NumericScalerModel(_Fitted):
 
 
 class LevelEncoder(_Configured, Estimator, DefaultParamsReadable, DefaultParamsWritable):
-    """columns, method (rare, woe, target, james_stein, ordered), label, tol, n_categories."""
+    """columns, method (rare, woe, target, james_stein, ordered), label, tol, n_categories; key orders the rows of ``ordered``."""
 
     def _fit(self, df):
         s = self.settings
@@ -204,7 +204,7 @@ class LevelEncoder(_Configured, Estimator, DefaultParamsReadable, DefaultParamsW
             rest = {c: default for c in cols}
         # window group limit keeps this cheap: only HOT_LEVELS rows per column leave a task
         top = Window.partitionBy("column").orderBy(C("n").desc(), "level")
-        levels = levels.persist()
+        levels = settle(levels, "levels")
         hot = levels.withColumn("r", F.row_number().over(top)).where(C("r") <= HOT_LEVELS).drop("r")
         rows = hot.collect()
         hot_map = {c: {} for c in cols}
@@ -214,13 +214,29 @@ class LevelEncoder(_Configured, Estimator, DefaultParamsReadable, DefaultParamsW
         long_cols = [c for c in cols if sizes.get(c, 0) > HOT_LEVELS]
         model = LevelEncoderModel(columns=cols, hot=hot_map, rest=rest, long=long_cols)
         if long_cols:
-            model.cold = (levels.where(C("column").isin(long_cols))
-                          .join(hot.select("column", "level"), ["column", "level"], "left_anti")
-                          .select("column", "level", "value"))
-        else:
-            levels.unpersist()
+            model.cold = settle(levels.where(C("column").isin(long_cols))
+                                .join(hot.select("column", "level"), ["column", "level"], "left_anti")
+                                .select("column", "level", "value"), "levels")
         return model
 
+    def training_rows(self, df, model):
+        """What the next stage learns from: with ``ordered``, values that a row's own label has no part in."""
+        s = self.settings
+        if s["method"] != "ordered":
+            return model.transform(df)
+        return encode.ordered_rows(df, s["columns"], s["label"], s.get("key"))
+
+
+def fit_stages(parts: list, df: DataFrame) -> PipelineModel:
+    """Fit stage after stage; a stage that has other rows for training than for scoring hands those on."""
+    fitted = []
+    for i, part in enumerate(parts):
+        model = part.fit(df) if isinstance(part, Estimator) else part
+        fitted.append(model)
+        if i + 1 < len(parts):
+            df = part.training_rows(df, model) if hasattr(part, "training_rows") else model.transform(df)
+    return PipelineModel(stages=fitted)
+
 
 class _TableModel(_Configured, Model, MLReadable, MLWritable):
     """A fitted stage that may hold a table (``cold``), saved as parquet beside its settings."""
@@ -247,7 +263,8 @@ class LevelEncoderModel(_TableModel):
             value = F.try_element_at(F.create_map(*pairs), level) if pairs else F.lit(None)
             if c in s["long"] and self.cold is not None:
                 # rows with a hot level get a spread join key, so no key of this join is hot
-                spread = F.concat(F.lit("\u0000"), F.xxhash64(*df.columns).cast("string"))
+                plain = [f.name for f in df.schema.fields if f.dataType.typeName() != "map"]
+                spread = F.concat(F.lit("\u0000"), F.xxhash64(*plain).cast("string"))
                 key = F.when(level.isin(*hot), spread).otherwise(level)
                 cold = self.cold.where(C("column") == c).select(C("level").alias("_k"), C("value").alias("_v"))
                 df = df.withColumn("_k", key).join(cold, "_k", "left")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
 import random
 import time
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
@@ -56,7 +58,7 @@ def preprocess_by_type(df: DataFrame, label: str, exclude: Sequence[str] = (), i
             out.append(stages.HashEncoder(columns=categorical, n=hash_size))
             encoded = [f"hash_{i}" for i in range(hash_size)]
         else:
-            out.append(stages.LevelEncoder(columns=categorical, method=encoder, label=label))
+            out.append(stages.LevelEncoder(columns=categorical, method=encoder, label=label, key=key))
     out.append(VectorAssembler(inputCols=[*numeric, *encoded], outputCol=output, handleInvalid="keep"))
     return out
 
@@ -77,9 +79,9 @@ def train_model(df: DataFrame, label: str, front: Sequence = (), exclude: Sequen
                 choices: Mapping | None = None, **tree_params) -> PipelineModel:
     """Parse and feature stages, preprocess by type and boosted trees as one fitted object."""
     front_model = Pipeline(stages=list(front)).fit(df)
-    shaped = front_model.transform(df)
-    back = Pipeline(stages=[*preprocess_by_type(shaped, label, exclude, **(choices or {})),
-                            boosted_trees(label, **tree_params)]).fit(shaped)
+    shaped = settle(front_model.transform(df), "shaped")  # scaler, levels and trees each read it
+    back = stages.fit_stages([*preprocess_by_type(shaped, label, exclude, **(choices or {})),
+                              boosted_trees(label, **tree_params)], shaped)
     return PipelineModel(stages=[*front_model.stages, *back.stages])
 
 
@@ -147,8 +149,58 @@ def cross_validate(df: DataFrame, key: str, label: str, fit: Fit, folds: int = 1
         rows, "fold int, auc_pr double, auc_roc double, fit_time double, score_time double")
 
 
-def draw_params(space: Mapping[str, Sequence], n: int, seed: int = 42) -> list[dict]:
-    """n distinct draws from a discrete space (all combinations when there are fewer), without listing the space."""
+@dataclass(frozen=True)
+class Range:
+    """A continuous search range; ``log`` spreads draws evenly over magnitudes, ``whole`` rounds them to whole numbers."""
+
+    low: float
+    high: float
+    log: bool = False
+    whole: bool = False
+
+    def at(self, u: float) -> float | int:
+        if self.log:
+            x = math.exp(math.log(self.low) + u * (math.log(self.high) - math.log(self.low)))
+        else:
+            x = self.low + u * (self.high - self.low)
+        x = min(max(x, self.low), self.high)
+        return round(x) if self.whole else x
+
+
+Space = Mapping[str, "Sequence | Range"]
+
+
+def _van_der_corput(i: int, base: int) -> float:
+    """The i-th point of the sequence that fills [0, 1) evenly: the digits of i in ``base``, mirrored at the point."""
+    x, step = 0.0, 1.0
+    while i:
+        i, digit = divmod(i, base)
+        step /= base
+        x += digit * step
+    return x
+
+
+def _primes():
+    found: list[int] = []
+    for n in itertools.count(2):
+        if all(n % q for q in found):
+            found.append(n)
+            yield n
+
+
+def draw_points(space: Space, seed: int = 42):
+    """Endless draws from a space with ranges, one at a time: a shifted low-discrepancy point per draw, a prime base per name."""
+    rnd = random.Random(seed)
+    axes = [(name, values, base, rnd.random()) for (name, values), base in zip(space.items(), _primes())]
+    for i in itertools.count(1):
+        at = {name: (_van_der_corput(i, base) + shift) % 1.0 for name, _, base, shift in axes}
+        yield {name: v.at(at[name]) if isinstance(v, Range) else v[min(int(at[name] * len(v)), len(v) - 1)] for name, v, _, _ in axes}
+
+
+def draw_params(space: Space, n: int, seed: int = 42):
+    """n draws: low-discrepancy points if the space has a range, else distinct ones (all combinations when there are fewer)."""
+    if any(isinstance(v, Range) for v in space.values()):
+        return itertools.islice(draw_points(space, seed), n)
     total = math.prod(len(v) for v in space.values())
     draws = []
     for i in random.Random(seed).sample(range(total), min(n, total)):
@@ -160,7 +212,7 @@ def draw_params(space: Mapping[str, Sequence], n: int, seed: int = 42) -> list[d
     return draws
 
 
-def tune_search(df: DataFrame, key: str, label: str, make_fit: Callable[[dict], Fit], space: Mapping[str, Sequence],
+def tune_search(df: DataFrame, key: str, label: str, make_fit: Callable[[dict], Fit], space: Space,
                 max_evals: int = 50, patience: int = 10, folds: int = 10) -> DataFrame:
     """Trials (trial, params, score): cross-validated average precision, maximised; stops after ``patience`` without gain."""
     trials, best, since = [], float("-inf"), 0
@@ -251,11 +303,11 @@ def sampled_attribution(model, df: DataFrame, key: str, names: Sequence[str], fe
     order = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda i: F.struct(
         F.xxhash64(C("k"), C("run"), i, F.lit(seed)).alias("h"), i.alias("i"))))
     runs = runs.withColumn("order", F.transform(order, lambda o: o["i"])).withColumn("mu", mean)
-    steps = runs.select("k", "run", "x", "mu", "order", F.posexplode(
+    # each feature carries its place in the order, so a step only compares numbers: linear in the features
+    placed = F.array_sort(F.transform("order", lambda f, p: F.struct(f.alias("f"), p.alias("p"))))
+    steps = runs.withColumn("rank", F.transform(placed, lambda s: s["p"])).select("k", "run", "x", "mu", "rank", F.posexplode(
         F.concat(F.array(F.lit(-1)), C("order"))).alias("step", "feat"))
-    seen = F.slice("order", 1, C("step"))
-    point = F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda i: F.when(
-        F.array_contains(seen, i), F.get("x", i)).otherwise(F.get("mu", i)))
+    point = F.transform("x", lambda v, i: F.when(F.get("rank", i) < C("step"), v).otherwise(F.get("mu", i)))
     mixed = steps.select("k", "run", "step", "feat", array_to_vector(point).alias(model.getFeaturesCol()))
     scored = model.transform(mixed).select("k", "run", "step", "feat", vector_to_array("probability")[1].alias("p"))
     per_run = scored.groupBy("k", "run").agg(F.array_sort(F.collect_list(F.struct("step", "feat", "p"))).alias("s"))

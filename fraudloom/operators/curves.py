@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import settle
-from .prefix import bucket_count, cut_points, running_sums
+from .prefix import running_sums
 
 C = F.col
 
@@ -22,7 +22,7 @@ def curve_counts(scores: DataFrame, score: str = "score", label: str = "ytrue",
     """One row per (group, distinct score): pos, neg at the score, tp, fp at or above it, totals p, n.
 
     ``keep`` writes the per-score counts to the shared folder, so that the source is read once although
-    the bucket borders need a pass of their own; pass False when the scores are stored already.
+    rows are counted in a pass of their own; pass False when the scores are stored already.
     """
     value = C(score).cast("double")
     rows = scores.where(value.isNotNull() & ~F.isnan(value) & C(label).isNotNull())
@@ -32,10 +32,7 @@ def curve_counts(scores: DataFrame, score: str = "score", label: str = "ytrue",
         F.sum(F.when(C(label) == 1, F.lit(0)).otherwise(w)).alias("neg"))
     if keep:
         per_score = settle(per_score, "curve")
-        cuts = cut_points(per_score, "score", bucket_count(rows))
-    else:
-        cuts = cut_points(rows, score, bucket_count(rows))
-    out = running_sums(per_score, "score", ["pos", "neg"], groups, ascending=False, cuts=cuts)
+    out = running_sums(per_score, "score", ["pos", "neg"], groups, ascending=False)
     return out.select(*groups, "score", "pos", "neg",
                       C("pos_upto").alias("tp"), C("neg_upto").alias("fp"),
                       C("pos_all").alias("p"), C("neg_all").alias("n"))

@@ -97,6 +97,19 @@ def ordered_target_encode(df: DataFrame, level: str, label: str, ts: str, key: s
     return run.withColumn(out, (C("_y_upto") - C("_y") + prior) / (seen + 1)).select(*df.columns, out)
 
 
+def ordered_rows(df: DataFrame, cols: Sequence[str], label: str, key: str | None = None, seed: int = 42) -> DataFrame:
+    """Training rows with every level replaced by what the rows before it in a hashed order say; its own label takes no part."""
+    names = [f.name for f in df.schema.fields if f.dataType.typeName() != "map"]
+    tie = F.xxhash64(*([key] if key else names), F.lit(seed))
+    rows = df.withColumns({"_ord": tie.cast("double"), "_one": F.lit(1), "_y": C(label).cast("double")})
+    prior = df.agg(F.avg(label)).first()[0] or 0.0
+    for c in cols:
+        run = running_sums(rows.withColumn("_level", F.coalesce(C(c).cast("string"), F.lit(MISSING))), "_ord", ["_one", "_y"], ["_level"])
+        value = (C("_y_upto") - C("_y") + prior) / C("_one_upto")
+        rows = run.withColumn(c, value).drop("_level", *[f"{n}_{k}" for n in ("_one", "_y") for k in ("upto", "all")])
+    return rows.select(*df.columns)
+
+
 def hash_encode(df: DataFrame, cols: Sequence[str], n: int, prefix: str = "hash") -> DataFrame:
     """Hashing trick: counts of column=level tokens in n components (md5, same on every engine)."""
     tokens = [F.concat_ws("=", F.lit(c), F.coalesce(C(c).cast("string"), F.lit(MISSING))) for c in cols]

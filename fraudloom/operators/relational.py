@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -164,8 +165,24 @@ def sample_fraction(df: DataFrame, key: str, percent: int = 20, seed: int = 42)
     return df.where(hash_bucket(C(key), 100, seed) < percent)
 
 
-def sample_with_replacement(df: DataFrame, fraction: float = 0.2, seed: int = 42) -> DataFrame:
-    return df.sample(True, fraction, seed)
+def poisson_steps(rate: float) -> list[int]:
+    """Where a 32-bit hash passes from one number of copies to the next: the Poisson distribution's sums, in hash units."""
+    steps, share, total, k = [], math.exp(-rate), 0.0, 0
+    while (total := total + share) * (1 << 32) < (1 << 32) - 1:
+        steps.append(int(total * (1 << 32)))
+        k += 1
+        share *= rate / k
+        if share <= 0 or k > 1000 + 10 * rate:
+            break
+    return steps
+
+
+def sample_with_replacement(df: DataFrame, key: str, fraction: float = 0.2, seed: int = 42) -> DataFrame:
+    """Each row as often as a Poisson draw from the hash of its key says: the same rows for any partitioning."""
+    h = hash_bucket(C(key), 1 << 32, seed)
+    copies = F.aggregate(F.array(*[F.lit(s) for s in poisson_steps(fraction)]), F.lit(0), lambda n, s: n + (h >= s).cast("int"))
+    return (df.withColumn("_copies", copies).where(C("_copies") > 0)
+            .withColumn("_copy", F.explode(F.sequence(F.lit(1), C("_copies")))).drop("_copies", "_copy"))
 
 
 def stratified_fold(df: DataFrame, key: str, label: str, folds: int = 10, seed: int = 42,

@@ -146,6 +146,48 @@ def test_edges_keep_every_weight(spark, monkeypatch, tile):
     assert once == {p: w for p, w in want.items() if p[0] < p[1] and min(p) < 60}
 
 
+def test_token_vectors_are_summed_directions(spark):
+    import hashlib
+    import re
+
+    emails = ["ann.lee@mail.com", "bob-x@mail.com", "x-y-z@mail.org", "x-y@mail.org", None, "", "alone"] + ["hot@mail.com"] * 40
+    got = {r["token"]: r["vec"] for r in email_tokens.token_vectors(spark.createDataFrame([(e,) for e in emails], "email string"), "email", window=2).collect()}
+    want = {}
+    for e in emails:
+        t = [x for x in re.split(r"[^\w.#]+", (e or "").lower()) if x]
+        for i, x in enumerate(t):
+            for j in range(max(0, i - 2), min(len(t), i + 3)):
+                if j != i:
+                    signs = np.array([-1.0 if c < "8" else 1.0 for c in hashlib.md5(t[j].encode()).hexdigest()[:16]])
+                    want[x] = want.get(x, 0) + signs
+    assert set(got) == set(want) and "alone" not in got
+    assert all(np.allclose(got[t], v / np.linalg.norm(v)) for t, v in want.items())
+
+
+@pytest.mark.parametrize("rows", [3, 2048])
+def test_busy_cells_are_dealt_without_loss(spark, monkeypatch, rows):
+    monkeypatch.setattr(email_tokens, "CELL_ROWS", rows)
+    rnd = np.random.default_rng(6)
+    x = np.array([1.0, 0, 0, 0]) + rnd.normal(size=(60, 4)) * 0.05
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(f"t{i:02d}", v.tolist()) for i, v in enumerate(x)], "token string, vec array<double>")
+    got = {(r["a"], r["b"]) for r in email_tokens.similar_tokens(df, 0.99).collect()}
+    assert got == {(f"t{i:02d}", f"t{j:02d}") for i in range(60) for j in range(i + 1, 60) if x[i] @ x[j] >= 0.99} and len(got) > 100
+
+
+def test_copies_by_hash_follow_the_poisson_shares(spark):
+    df = spark.range(20_000).select(C("id").alias("k"), (C("id") * 2).alias("v"))
+    for rate in (0.2, 1.5):
+        out = rel.sample_with_replacement(df, "k", rate)
+        counts = Counter(r["k"] for r in out.collect())
+        other = Counter(r["k"] for r in rel.sample_with_replacement(df.repartition(7), "k", rate).collect())
+        assert counts == other and out.columns == ["k", "v"]
+        for n in range(4):
+            share = np.exp(-rate) * rate**n / [1, 1, 2, 6][n]
+            assert abs(sum(counts[k] == n for k in range(20_000)) / 20_000 - share) < 0.012
+    assert rel.sample_with_replacement(df, "k", 0.0).count() == 0
+
+
 def test_similar_tokens_is_exact(spark):
     rnd = np.random.default_rng(4)
     x = rnd.normal(size=(80, 3))

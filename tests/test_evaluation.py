@@ -76,19 +76,40 @@ def test_partition_count_does_not_matter(spark, parts):
         assert got[g] == pytest.approx(pair)
 
 
-def test_running_sums_with_hot_order_value(spark):
+@pytest.mark.parametrize("bucket,ascending", [(1 << 20, True), (100, True), (100, False), (7, True)])
+def test_running_sums_with_hot_order_value(spark, monkeypatch, bucket, ascending):
+    monkeypatch.setattr(prefix, "BUCKET_ROWS", bucket)
     rnd = random.Random(5)
     rows = [(i, "x" if i % 3 else None, 7.0 if rnd.random() < 0.4 else float(rnd.randint(0, 30)), rnd.randint(0, 9)) for i in range(3000)]
     df = spark.createDataFrame(rows, "id bigint, g string, o double, v int")
-    got = {r.id: (r.v_upto, r.v_all) for r in prefix.running_sums(df, "o", ["v"], ["g"], tie="id").collect()}
+    got = {r.id: (r.v_upto, r.v_all) for r in prefix.running_sums(df, "o", ["v"], ["g"], tie="id", ascending=ascending).collect()}
     for g in ("x", None):
-        run, mine = 0, sorted((r for r in rows if r[1] == g), key=lambda r: (r[2], r[0]))
+        run, mine = 0, sorted((r for r in rows if r[1] == g), key=lambda r: (r[2], r[0]), reverse=not ascending)
         total = sum(r[3] for r in mine)
         for r in mine:
             run += r[3]
             assert got[r[0]] == (run, total)
 
 
+def test_buckets_come_from_the_rows_alone(spark, monkeypatch):
+    monkeypatch.setattr(prefix, "BUCKET_ROWS", 50)
+    df = spark.createDataFrame([(i, float(i * 7919 % 2003)) for i in range(2000)], "id bigint, o double")
+    before, seen = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for parts in ("1", "32"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            placed, side = prefix._two_levels(df, "o")
+            sizes = [r["count"] for r in placed.groupBy("_top", "_bkt").count().collect()]
+            assert side == 7 and max(sizes) <= 120 and len(sizes) > 30
+            seen.append({r["id"]: r["o"] for r in prefix.running_sums(df, "o", ["id"]).select("id", F.col("id_upto").alias("o")).collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    run = 0
+    for i, o in sorted(((i, float(i * 7919 % 2003)) for i in range(2000)), key=lambda r: r[1]):
+        run += i
+        assert seen[0][i] == seen[1][i] == run
+
+
 def test_exact_quantiles(spark):
     import numpy as np
     rnd = random.Random(9)

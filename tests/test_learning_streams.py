@@ -1,6 +1,7 @@
 """Fitted stages, persistence, training jobs, and streams that equal batch."""
 
 import json
+import random
 
 import pytest
 from pyspark.ml import Pipeline, PipelineModel
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fraudloom.catalog import features, learning
 from fraudloom.ml import stages, train
+from fraudloom.operators import encode
 from fraudloom.session import scratch_path
 from fraudloom.streaming import jobs
 
@@ -34,6 +36,39 @@ def test_long_level_list_survives_saving(spark):
     assert again.transform(new).first().level == pytest.approx(df.agg(F.avg("y")).first()[0])
 
 
+def test_ordered_levels_do_not_leak_the_label(spark):
+    rnd = random.Random(11)
+    rows = [(i, f"l{i // 2}", rnd.randint(0, 1)) for i in range(3000)]  # two rows a level, labels are noise
+    df = spark.createDataFrame(rows, "id bigint, level string, y int")
+
+    def auc(values):
+        pos, neg = ([v for v, y in values if y == k] for k in (1, 0))
+        order = sorted(pos + neg)
+        rank = {v: (order.index(v) + len(order) - order[::-1].index(v) - 1) / 2 for v in set(order)}
+        return (sum(rank[v] for v in pos) - len(pos) * (len(pos) - 1) / 2) / (len(pos) * len(neg))
+
+    stage = stages.LevelEncoder(columns=["level"], method="ordered", label="y", key="id")
+    model = stage.fit(df)
+    learned = [(r["level"], r["y"]) for r in stage.training_rows(df, model).collect()]
+    assert len(learned) == 3000 and abs(auc(learned) - 0.5) < 0.04
+    assert auc([(r["level"], r["y"]) for r in model.transform(df).collect()]) > 0.7  # totals hold the own label: for scoring only
+    fitted = train.train_model(df, "y", exclude=["id"], choices={"encoder": "ordered", "key": "id", "tol": 0.0}, maxIter=3, maxDepth=3)
+    held = spark.createDataFrame([(5000 + i, f"l{i // 2}", rnd.randint(0, 1)) for i in range(1000)], df.schema)
+    assert abs(auc([(r["score"], r["y"]) for r in train.probability(fitted, held).collect()]) - 0.5) < 0.08
+
+
+def test_ordered_rows_count_only_what_came_before(spark):
+    df = spark.createDataFrame([(i, "a" if i % 3 else None, i % 2) for i in range(60)], "id bigint, level string, y int")
+    got = sorted(encode.ordered_rows(df, ["level"], "y", "id").collect(), key=lambda r: r["id"])
+    assert [r["id"] for r in got] == list(range(60))
+    for keep in (lambda i: i % 3 == 0, lambda i: i % 3 != 0):
+        mine = [r for r in got if keep(r["id"])]
+        # among n rows of a level the values are (earlier labels + prior) / (earlier rows + 1): one row sees none, one sees all others
+        assert sum(abs(r["level"] - 0.5) < 1e-12 for r in mine) >= 1
+        total = sum(r["y"] for r in mine)
+        assert any(abs(r["level"] - (total - r["y"] + 0.5) / len(mine)) < 1e-12 for r in mine)
+
+
 def test_scaler_methods(spark):
     df = _levels(spark)
     for method in ("standard", "minmax", "robust", "none"):
@@ -153,6 +188,35 @@ def test_permutation_importance_ignores_session_settings(spark):
     assert got[0] == got[1] and got[0]["useful"] > 0.2 > abs(got[0]["noise"])
 
 
+def test_ranges_are_drawn_evenly_and_lazily():
+    space = {"rate": train.Range(0.001, 0.3, log=True), "depth": train.Range(3, 9, whole=True), "share": train.Range(0.5, 1.0), "kind": ["a", "b"]}
+    draws = list(train.draw_params(space, 400))
+    assert draws == list(train.draw_params(space, 400)) and draws[:50] == list(train.draw_params(space, 50))
+    assert len({tuple(d.values()) for d in draws}) == 400
+    assert all(0.001 <= d["rate"] <= 0.3 and d["depth"] in range(3, 10) and 0.5 <= d["share"] <= 1 and d["kind"] in "ab" for d in draws)
+    assert {d["depth"] for d in draws} == set(range(3, 10)) and 190 < sum(d["kind"] == "a" for d in draws) < 210
+    for lo in range(10):  # every tenth of the range gets its tenth of the draws
+        assert 36 <= sum(lo / 10 <= (d["share"] - 0.5) * 2 < (lo + 1) / 10 for d in draws) <= 44
+    assert next(train.draw_points(space))["kind"] in "ab"
+
+
+def test_search_runs_fifty_draws_and_stops_without_gain(spark, monkeypatch):
+    seen = []
+
+    def fake(df, key, label, fit, folds, seed=42):
+        seen.append((fit, folds))
+        return spark.createDataFrame([(fit,)], "auc_pr double")
+
+    monkeypatch.setattr(train, "cross_validate", fake)
+    df = spark.range(1)
+    out = train.tune_search(df, "id", "y", lambda p: p["x"], {"x": train.Range(0.0, 1.0)}).collect()
+    assert len(out) <= 50 and all(f == 10 for _, f in seen)
+    best = max(range(len(seen)), key=lambda i: (seen[i][0], -i))
+    assert len(seen) == min(50, best + 11)
+    rising = iter(range(1000))
+    assert train.tune_search(df, "id", "y", lambda p: float(next(rising)), {"x": train.Range(0.0, 1.0)}).count() == 50
+
+
 def test_draws_are_distinct_and_need_no_listing():
     small = {"a": [1, 2], "b": ["x", "y", "z"]}
     every = train.draw_params(small, 50)
