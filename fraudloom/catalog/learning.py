@@ -184,8 +184,6 @@ def stream_score(spark, sf):
   COUNT(*) AS velocity, round(AVG(CASE WHEN event_type = 'error' THEN 1.0e0 ELSE 0 END), 6) + 0.0 AS fraud FROM events GROUP BY 1, 2, 3""")
 def stream_velocity(spark, sf):
     columns = {"ts": C("ts").cast("timestamp"), "flag": rel.map_flag(C("event_type"), "error")}
-    pair = ("ts", "user_id", "event_type", "flag")
     e = jobs.stream_table(spark, sf, "events").withColumns(columns)
-    out = jobs.run_to_table(jobs.stream_velocity(e, *pair), "velocity")
-    out = jobs.close_velocity(out, tbl(spark, sf, "events").withColumns(columns), *pair)
+    out = jobs.run_upserts(jobs.stream_velocity(e, "ts", "user_id", "event_type", "flag"), "velocity", ["window_start", "from", "to"])
     return rounded(out, "fraud").withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))

@@ -8,8 +8,11 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from ..session import settle
+
 C = F.col
 LCS_BLOCK = 60
+TILE_ROWS = 1024
 
 
 def url_decode(c: Column) -> Column:
@@ -169,6 +172,28 @@ def _common_first(tokens: DataFrame, top: int = 256) -> Column:
     return F.array(*[F.lit(r.tok) for r in rows])
 
 
+def _dealt(left: DataFrame, right: DataFrame, key: Sequence[str], left_name: str, right_name: str) -> tuple[DataFrame, DataFrame]:
+    """Both sides with _lp and _rp, the tile in which they meet: each side of a heavy key is cut into parts of TILE_ROWS rows.
+
+    A row of a key with a left and b right parts lies in one part of its own side and in all parts of the other, so every
+    pair meets in exactly one tile, and no tile holds more than about TILE_ROWS rows of a side.
+    """
+    def load(df, name):
+        return df.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / TILE_ROWS).alias(name)).where(C(name) > 1)
+
+    # at most one row per TILE_ROWS rows
+    heavy = settle(load(left, "_ln").join(load(right, "_rn"), list(key), "full"), "heavy-tokens")
+    one = F.lit(1).cast("long")
+    parts = {n: F.coalesce(n, one) for n in ("_ln", "_rn")}
+
+    def deal(df, name, mine, other, mine_at, other_at):
+        return (df.join(heavy, list(key), "left")
+                .withColumn(mine_at, F.pmod(F.xxhash64(name), parts[mine]))
+                .withColumn(other_at, F.explode(F.sequence(F.lit(0).cast("long"), parts[other] - 1))).drop("_ln", "_rn"))
+
+    return deal(left, left_name, "_ln", "_rn", "_lp", "_rp"), deal(right, right_name, "_rn", "_ln", "_rp", "_lp")
+
+
 def candidate_match_join(left: DataFrame, right: DataFrame, block: str, left_name: str, right_name: str,
                          threshold: float) -> DataFrame:
     """Distinct value pairs of one block with indel ratio >= threshold (block, left value, right value, score).
@@ -178,7 +203,8 @@ def candidate_match_join(left: DataFrame, right: DataFrame, block: str, left_nam
     two-letter tokens and L one-letter tokens. Of tokens put in one fixed order,
     rare ones first, a text therefore only needs its first (count - bound + 1).
     Two-letter tokens are used where their bound is positive, one-letter tokens
-    where a partner may be too short for that. Only pairs that meet are scored.
+    where a partner may be too short for that. Only pairs that meet are scored;
+    a token that very many texts share is dealt over tiles of bounded size.
     """
     t = float(threshold)
     if not 0 < t <= 1:
@@ -213,7 +239,8 @@ def candidate_match_join(left: DataFrame, right: DataFrame, block: str, left_nam
 
     short = F.least(F.length(left_name), F.length(right_name))
     fits = 2.0 * short >= t * (F.length(left_name) + F.length(right_name)) - 1e-9
-    pairs = (tokens(lg, left_name).join(tokens(rg, right_name), [block, "q", "tok", "occ"]).where(fits)
-             .select(block, left_name, right_name).distinct())
+    key = [block, "q", "tok", "occ"]
+    lt, rt = _dealt(settle(tokens(lg, left_name), "left-tokens"), settle(tokens(rg, right_name), "right-tokens"), key, left_name, right_name)
+    pairs = lt.join(rt, [*key, "_lp", "_rp"]).where(fits).select(block, left_name, right_name).distinct()
     return (pairs.withColumn("score", indel_ratio(C(left_name), C(right_name)))
             .where(C("score") >= t - 1e-12))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..ml.train import probability
 from ..session import scratch_path
@@ -32,6 +32,31 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFram
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def run_upserts(stream: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
+    """Run an available-now query in update mode and read back the last state of every key, open windows included.
+
+    Every batch writes the rows it changed to a folder named by its number, so a batch that is run again after a failure
+    replaces what it had written. The state of a key is its row in the latest batch that changed it; the source is not read again.
+    """
+    spark = stream.sparkSession
+    out, state = scratch_path(spark, name), scratch_path(spark, f"{name}-state")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    write(spark.createDataFrame([], stream.schema), -1)  # a stream without any batch has an empty table
+    query = (stream.writeStream.outputMode("update").foreachBatch(write)
+             .option("checkpointLocation", state).trigger(availableNow=True).start())
+    query.awaitTermination()
+    return latest(spark.read.schema(T.StructType([*stream.schema, T.StructField("batch", T.LongType())])).parquet(out), keys)
+
+
+def latest(log: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The row of the highest ``batch`` for every key (null is a key like any other)."""
+    values = [c for c in log.columns if c not in (*keys, "batch")]
+    return log.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_v")).select(*keys, *[C(f"_v.{c}").alias(c) for c in values])
+
+
 def stream_features(stream: DataFrame, features: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The same stateless feature plan as in batch, on a stream."""
     return features(stream)
@@ -47,20 +72,10 @@ def stream_velocity(stream: DataFrame, ts: str, left: str, right: str, flag: str
                     late: str = "2 hours") -> DataFrame:
     """Velocity and mean flag per entity pair and event-time window; rows later than ``late`` are not counted.
 
-    A window is emitted once the watermark passed its end; ``close_velocity`` adds those still open when a stream ends.
+    In append mode a window is emitted once the watermark passed its end; ``run_upserts`` keeps those still open as well.
     """
     return (stream.withWatermark(ts, late)
             .groupBy(F.window(ts, window).alias("w"), C(left).alias("from"), C(right).alias("to"))
             .agg(F.count(C(flag)).alias("velocity"), F.avg(C(flag)).alias("fraud"))
             .select(C("w.start").alias("window_start"), "from", "to", "velocity", "fraud"))
 
-
-def close_velocity(emitted: DataFrame, rows: DataFrame, ts: str, left: str, right: str, flag: str,
-                   window: str = "1 day") -> DataFrame:
-    """The emitted windows of a stream that has ended, and those its watermark never closed, from its stored rows.
-
-    Windows close in order, so the open ones begin after the last one emitted; only their rows are read.
-    """
-    last = emitted.agg(F.max("window_start")).scalar()
-    still_open = rows.where(last.isNull() | (C(ts) >= last + F.expr(f"INTERVAL {window}")))
-    return emitted.unionByName(stream_velocity(still_open, ts, left, right, flag, window))

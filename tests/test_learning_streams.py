@@ -128,6 +128,33 @@ def test_stream_scores_equal_batch(spark, sf):
     assert got == want
 
 
+def test_upserts_keep_open_windows_from_the_state_alone(spark, monkeypatch):
+    base, fixed = scratch_path(spark, "open"), {}
+    schema = "ts timestamp, l string, r string, f int"
+
+    def path(s, name):  # the same output and state at every start of the stream
+        return fixed.setdefault(name, scratch_path(s, name))
+
+    monkeypatch.setattr(jobs, "scratch_path", path)
+    rows = []
+    for step in range(3):
+        new = [(f"2024-01-0{1 + step} 10:0{i}:00", "a" if i % 3 else None, "b", i % 2) for i in range(6)] + [("2024-01-01 22:30:00", "a", "b", 1)] * (step < 2)
+        rows += new
+        spark.createDataFrame(new, "ts string, l string, r string, f int").selectExpr("timestamp(ts) AS ts", "l", "r", "f").coalesce(1).write.mode("append").parquet(base)
+        stream = jobs.stream_velocity(spark.readStream.schema(schema).parquet(base), "ts", "l", "r", "f", late="3 days")
+        got = {(str(r["window_start"])[:10], r["from"]): (r["velocity"], round(r["fraud"], 9)) for r in jobs.run_upserts(stream, "velocity", ["window_start", "from", "to"]).collect()}
+        want = {}
+        for ts, left, _, f in rows:
+            want.setdefault((ts[:10], left), []).append(f)
+        assert got == {k: (len(v), round(sum(v) / len(v), 9)) for k, v in want.items()}
+    # a batch that is written again replaces itself
+    log = spark.read.parquet(fixed["velocity"])
+    last = log.agg(F.max("batch")).first()[0]
+    again = log.where(C("batch") == last).drop("batch").collect()
+    spark.createDataFrame(again, log.drop("batch").schema).write.mode("overwrite").parquet(f"{fixed['velocity']}/batch={last}")
+    assert jobs.latest(spark.read.parquet(fixed["velocity"]), ["window_start", "from", "to"]).count() == len(want)
+
+
 def test_velocity_drops_late_rows_only(spark):
     base = scratch_path(spark, "late")
     rows = "SELECT TIMESTAMP'2024-01-0{d} {h}:00:00' AS ts, 'a' AS l, 'b' AS r, 1 AS f"
