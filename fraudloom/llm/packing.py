@@ -7,7 +7,7 @@ through hash shards of bounded size (a count per shard, a running sum over the c
 no bucket is sorted in one task, and every ``budget // bound`` pieces make a batch.
 
 Defined results: tokens are words (runs without ASCII white space) and one end, so null and empty texts are one piece
-of one token. Rows without an id are packed too. Repeated rows are packed each; the order among equal rows is free
+of one token. Rows without an id, and any number of rows with one id, are spread over the shards by their place. Repeated rows are packed each; the order among equal rows is free
 but the rows are alike. An empty table gives no rows.
 """
 
@@ -74,7 +74,7 @@ def pack(docs: DataFrame, *, max_len: int = 4096, buckets: int = 16, budget: int
     n = docs.select("doc_id", n_tokens().alias("_n"))
     last = F.floor((C("_n") - 1) / max_len).cast("int")
     pieces = settle(n.select("doc_id", "_n", F.explode(F.sequence(F.lit(0), last)).alias("piece")).select(
-        "doc_id", "piece", (C("piece").cast("long") * max_len).alias("start"),
+        "doc_id", "piece", (C("piece").cast("long") * max_len).alias("start"), F.monotonically_increasing_id().alias("_row"),
         F.least(C("_n") - C("piece").cast("long") * max_len, F.lit(max_len).cast("long")).cast("int").alias("n_tokens")), "pack-pieces")
     histogram = pieces.groupBy("n_tokens").count().collect()  # at most max_len rows
     upper = bounds([r["n_tokens"] for r in histogram], [r["count"] for r in histogram], buckets)
@@ -83,10 +83,10 @@ def pack(docs: DataFrame, *, max_len: int = 4096, buckets: int = 16, budget: int
     bucket = sum(((C("n_tokens") > u).cast("int") for u in upper), F.lit(0)) if upper else F.lit(0)
     bound = F.element_at(F.array(*map(F.lit, upper or [1])), C("bucket") + 1)
     placed = (pieces.withColumn("bucket", bucket).withColumn("bound", bound)
-              .withColumn("_shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("int")))
+              .withColumn("_shard", F.pmod(F.xxhash64("doc_id", "piece", "_row"), F.lit(shards)).cast("int")))
     before = F.sum("_c").over(Window.partitionBy("bucket").orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1))
     offsets = placed.groupBy("bucket", "_shard").agg(F.count(F.lit(1)).alias("_c")).select("bucket", "_shard", F.coalesce(before, F.lit(0)).alias("_before"))
-    number = F.row_number().over(Window.partitionBy("bucket", "_shard").orderBy("doc_id", "piece", "n_tokens")) - 1
+    number = F.row_number().over(Window.partitionBy("bucket", "_shard").orderBy("doc_id", "piece", "n_tokens", "_row")) - 1
     rows = F.floor(F.lit(budget) / C("bound")).cast("long")
     out = placed.withColumn("_i", number).join(offsets, ["bucket", "_shard"]).withColumn("_i", C("_i") + C("_before"))
     return out.select("doc_id", "piece", "start", "n_tokens", "bucket", "bound",

@@ -245,6 +245,9 @@ def test_packing(spark):
         per = 1000 // bound[b]
         assert mine == [(i // per, i % per) for i in range(len(mine))]
     assert packing.pack(spark.createDataFrame([], DOCS)).count() == 0
+    same = packing.pack(spark.createDataFrame([(None, "w " * (i % 9), None, None, None) for i in range(400)], DOCS).repartition(4), max_len=100, buckets=2, budget=1000, shard_rows=40)
+    places = [(r["bucket"], r["batch"], r["slot"]) for r in same.collect()]  # no id at all: spread over the shards all the same
+    assert len(places) == len(set(places)) == 400
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>

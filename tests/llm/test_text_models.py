@@ -103,6 +103,9 @@ def test_quality_is_kneser_ney(spark, docs, labels, corpus):
     for i in (0, 7, 10, 900):
         text = (dict((r[0], r[1]) for r in rows)[i] or "").encode()
         assert math.log2(got[i]["perplexity"]) * -(len(text) + 1) == pytest.approx(kneser_ney(train, text, 4), rel=1e-5)
+    parts = quality_kn.perplexities(docs.repartition(6), labels, order=4, part_bytes=2000).collect()  # every bucket answered in several parts
+    whole = sorted((r["doc_id"] or -1, r["perplexity"]) for r in quality_kn.perplexities(docs, labels, order=4).collect())
+    assert [x for _, x in sorted((r["doc_id"] or -1, r["perplexity"]) for r in parts)] == pytest.approx([x for _, x in whole])
 
 
 def test_quality_keeps_clean_and_drops_junk(docs, labels, none, corpus):
