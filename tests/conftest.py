@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -13,6 +14,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     s = build_session("tests", "local[8]", **{
+        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="run-", dir="/tmp"),
         "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false", "spark.driver.memory": "8g",
         "spark.ui.showConsoleProgress": "false"})
     s.sparkContext.setLogLevel("ERROR")
