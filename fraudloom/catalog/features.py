@@ -532,6 +532,19 @@ def famd_scale(spark, sf):
     return rounded(encode.famd_scale(_dummies(spark, sf)).select("o_orderkey", "window", "level", "x_scaled"), "x_scaled")
 
 
+@query("one_hot_sparse", f"""WITH lng AS (SELECT o_orderkey, o_orderstatus AS w, 'o_custkey' AS col, CAST(o_custkey AS VARCHAR) AS level FROM orders
+    UNION ALL SELECT o_orderkey, o_orderstatus, 'o_orderpriority', o_orderpriority FROM orders),
+  lv AS (SELECT w, col, level, COUNT(*) / SUM(COUNT(*)) OVER (PARTITION BY w, col) AS share,
+    row_number() OVER (PARTITION BY w, col ORDER BY level) AS r FROM lng GROUP BY 1, 2, 3),
+  kp AS (SELECT *, row_number() OVER (PARTITION BY w ORDER BY col, level) - 1 AS pos FROM lv WHERE r > 1)
+  SELECT o_orderkey, w AS "window", pos, {q6('share')} AS share FROM lng JOIN kp USING (w, col, level)""")
+def one_hot_sparse(spark, sf):
+    """Dummies of a column with a level per customer next to one with five levels."""
+    o = tbl(spark, sf, "orders").select("o_orderkey", C("o_orderstatus").alias("window"), "o_custkey", "o_orderpriority")
+    own = encode.one_hot_sparse(o, "o_orderkey", "window", ["o_custkey", "o_orderpriority"])
+    return rounded(own.select("o_orderkey", "window", F.inline("own")), "share")
+
+
 @query("scale_standard", f"SELECT o_orderkey, {q6('(o_totalprice - AVG(o_totalprice) OVER ()) / stddev_pop(o_totalprice) OVER ()')} AS o_totalprice FROM orders")
 def scale_standard(spark, sf):
     return rounded(encode.scale_standard(tbl(spark, sf, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice"]), "o_totalprice")

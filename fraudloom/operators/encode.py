@@ -7,8 +7,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import settle
 from .prefix import exact_quantiles, running_sums
 from .relational import hash_bucket
 from .skew import join_stats
@@ -16,6 +17,8 @@ from .skew import join_stats
 C = F.col
 MISSING = "Missing"
 OTHERS = "Others"
+#: levels that are sorted and numbered by one task
+LEVELS_A_PART = 1 << 20
 
 
 def level_long(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -123,20 +126,52 @@ def hash_encode(df: DataFrame, cols: Sequence[str], n: int, prefix: str = "hash"
     return df.withColumns(total)
 
 
-def one_hot_drop_first(df: DataFrame, key: str, window: str, cols: Sequence[str]) -> DataFrame:
+def level_index(df: DataFrame, window: str, cols: Sequence[str]) -> DataFrame:
+    """(window, column, level, share, at, pos): the levels of every window and column, numbered in their order.
+
+    ``at`` counts from 0 inside the column; ``pos`` is the slot in the window's dummy vector, columns by name, and null
+    for the smallest level of a column, which has no dummy. Levels are sorted in ranges of about LEVELS_A_PART and numbered
+    inside a range; a range goes on from the counts of those before it, so no row or task holds all levels of a window.
+    """
+    found = settle(level_long(df, cols, [window]).groupBy(window, "column", "level").agg(F.count(F.lit(1)).alias("n")), "levels")
+    parts = found.count() // LEVELS_A_PART + 1
+    laid = settle(found.repartitionByRange(parts, window, "column", "level").withColumn("_part", F.spark_partition_id()), "levels-sorted")
+    sums = laid.groupBy(window, "column", "_part").agg(F.sum("n").alias("_n"), F.count(F.lit(1)).alias("_k"))
+    before = F.sum("_k").over(Window.partitionBy(window, "column").orderBy("_part")) - C("_k")
+    sums = settle(sums.withColumn("_before", before), "level-ranges")  # one row per range, window and column
+    dummies = F.sum("_k") - 1
+    heads = sums.groupBy(window, "column").agg(F.sum("_n").alias("_rows"), dummies.alias("_d"))
+    heads = heads.withColumn("_slots", F.sum("_d").over(Window.partitionBy(window).orderBy("column")) - C("_d")).drop("_d")
+    local = F.row_number().over(Window.partitionBy(window, "column", "_part").orderBy("level")) - 1
+    out = laid.withColumn("_at", local).join(sums.drop("_n", "_k"), [window, "column", "_part"]).join(heads, [window, "column"])
+    at = C("_before") + C("_at")
+    return out.select(window, "column", "level", "n", (C("n") / C("_rows")).alias("share"), at.alias("at"),
+                      F.when(at > 0, C("_slots") + at - 1).alias("pos"))
+
+
+def one_hot_sparse(df: DataFrame, key: str, window: str, cols: Sequence[str], index: DataFrame | None = None) -> DataFrame:
+    """(key, window, own): one row per input key, its own dummies as (pos, share), however many levels there are.
+
+    ``index`` is a written ``level_index``. All other dummies of the row are 0; scaled as in ``famd_scale`` an own dummy
+    is 1/sqrt(share) - share and another one -share, which the index holds once per window.
+    """
+    index = settle(level_index(df, window, cols), "level-index") if index is None else index
+    rows = join_stats(level_long(df, cols, [key, window]), index, [window, "column", "level"], "n")
+    slot = F.when(C("pos").isNotNull(), F.struct("pos", "share"))  # collect_list leaves nulls out
+    return rows.groupBy(key, window).agg(F.array_sort(F.collect_list(slot)).alias("own"))
+
+
+def one_hot_drop_first(df: DataFrame, key: str, window: str, cols: Sequence[str], block: int = 1024) -> DataFrame:
     """Long dummies (key, window, column, level, x) per window, smallest level of each column left out.
 
-    The level list of a window is one row (its length is bounded by rare_label);
-    rows get every remaining level, so zeros are explicit.
+    Rows get every remaining level, so zeros are explicit, in blocks of at most ``block`` levels; ``one_hot_sparse`` has
+    the same dummies without the zeros.
     """
-    long = level_long(df, cols, [key, window])
-    found = long.groupBy(window, "column", "level").agg(F.count(F.lit(1)).alias("n"))
-    lists = found.groupBy(window, "column").agg(F.sum("n").alias("rows"), F.array_sort(F.collect_list(
-        F.struct("level", "n"))).alias("levels")).withColumn("levels", F.slice("levels", 2, F.greatest(F.size("levels") - 1, F.lit(0))))
-    rows = long.withColumnRenamed("level", "_own").join(lists, [window, "column"])
-    return rows.select(key, window, "column", "_own", "rows", F.explode("levels").alias("l")).select(
-        key, window, "column", C("l.level").alias("level"), (C("l.level") == C("_own")).cast("double").alias("x"),
-        (C("l.n") / C("rows")).alias("share"))
+    kept = level_index(df, window, cols).filter("pos IS NOT NULL").withColumn("_block", F.floor(C("at") / block))
+    lists = kept.groupBy(window, "column", "_block").agg(F.collect_list(F.struct("level", "share")).alias("levels")).drop("_block")
+    rows = level_long(df, cols, [key, window]).withColumnRenamed("level", "_own").join(lists, [window, "column"])
+    return rows.select(key, window, "column", "_own", F.explode("levels").alias("l")).select(
+        key, window, "column", C("l.level").alias("level"), (C("l.level") == C("_own")).cast("double").alias("x"), C("l.share").alias("share"))
 
 
 def famd_scale(dummies: DataFrame, center: str = "share") -> DataFrame:

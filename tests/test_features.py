@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fraudloom.functions import dates, geo, missing, text
-from fraudloom.operators import relational as rel
+from fraudloom.operators import encode, relational as rel
 
 C = F.col
 
@@ -149,3 +149,50 @@ def test_period_windows_share_boundaries(spark):
     assert got[0] == [1] and sorted(got[10]) == [1, 2] and got[20] == [2] and 21 not in got
     right = {r.id: r.window_no for r in rel.period_windows(df, "ts", 10, closed="right").collect()}
     assert right[10] == 1 and right[11] == 2
+
+
+def dummy_rows():
+    """Two windows and a null one; ``wide`` has many levels and one that most rows share, ``flat`` has a single one."""
+    rnd = random.Random(5)
+    rows = [(i, rnd.choice("uv"), rnd.choice(["m", f"l{rnd.randrange(400)}"]), "same", rnd.choice(["x", "y", None])) for i in range(1500)]
+    return rows + [(9000, None, "m", "same", "x")]
+
+
+def expected_dummies(rows):
+    """{(id, window): {slot: share}} and the number of slots of each window, by hand."""
+    out, slots = {}, {}
+    for w in "uv":
+        mine = [r for r in rows if r[1] == w]
+        base = 0
+        for c in (3, 4, 2):  # flat, small, wide: columns by name
+            levels = sorted({r[c] or "Missing" for r in mine})
+            for r in mine:
+                at = levels.index(r[c] or "Missing")
+                own = out.setdefault((r[0], w), {})
+                if at:
+                    own[base + at - 1] = sum((x[c] or "Missing") == levels[at] for x in mine) / len(mine)
+            base += len(levels) - 1
+        slots[w] = base
+    return out, slots
+
+
+def test_sparse_and_long_dummies(spark, monkeypatch):
+    rows = dummy_rows()
+    want, slots = expected_dummies(rows)
+    df = spark.createDataFrame(rows, "id long, window string, wide string, flat string, small string")
+    monkeypatch.setattr(encode, "LEVELS_A_PART", 100)  # several ranges for one column
+    got = encode.one_hot_sparse(df, "id", "window", ["wide", "flat", "small"]).collect()
+    assert {(r.id, r.window): {o.pos: round(o.share, 12) for o in r.own} for r in got} == {
+        k: {p: round(s, 12) for p, s in v.items()} for k, v in want.items()}
+    long = encode.one_hot_drop_first(df, "id", "window", ["wide", "flat", "small"], block=7).groupBy("id", "window").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("x").alias("own")).collect()
+    assert {(r.id, r.window): (r.n, r.own) for r in long} == {k: (slots[k[1]], len(v)) for k, v in want.items()}
+
+
+def test_a_column_of_very_many_levels(spark):
+    n = 100_000
+    df = spark.range(n).select(C("id"), F.lit("w").alias("window"), F.format_string("%06d", C("id")).alias("c"))
+    own = encode.one_hot_sparse(df, "id", "window", ["c"]).select("id", F.size("own").alias("n"), F.get("own", F.lit(0))["pos"].alias("pos"))
+    assert own.count() == n
+    assert own.where((C("id") > 0) & ((C("n") != 1) | (C("pos") != C("id") - 1))).count() == 0
+    assert own.where(C("id") == 0).first().n == 0
