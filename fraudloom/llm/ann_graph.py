@@ -163,9 +163,12 @@ def lift(v: np.ndarray) -> np.ndarray:
 
 def band(vector: str) -> Column:
     """Exponent to base two of the length of a vector: lengths of a band are within a factor of two."""
-    top = F.array_max(F.transform(vector, F.abs))
-    squares = F.aggregate(vector, F.lit(0.0), lambda s, x: s + (x / top) * (x / top))
-    return F.floor(F.log2(top) + F.log2(squares) / 2).cast("int")
+    def exponent(top: Column) -> Column:
+        squares = F.aggregate(vector, F.lit(0.0), lambda s, x: s + (x / top) * (x / top))
+        return F.floor(F.log2(top) + F.log2(squares) / 2).cast("int")
+
+    # as an element of an array the largest part is found once, not again for every part
+    return F.transform(F.array(F.array_max(F.transform(vector, F.abs))), exponent)[0]
 
 
 def valid(df: DataFrame, id_col: str, vector: str) -> DataFrame:
@@ -183,8 +186,9 @@ def search(df: DataFrame, *, k: int = 20, every: int = 20, id_col: str = "vec_id
     """query_id, rank, vec_id, score: the k nearest found of every row whose id is divisible by ``every``."""
     rows = settle(valid(df, id_col, vector), "ann-rows")
     few = F.row_number().over(Window.partitionBy("vec").orderBy("id")) <= k + 1
-    classes = settle(rows.distinct().withColumn("_few", few).filter("_few").groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids")), "ann-classes")
-    sizes = classes.groupBy(band("vec").alias("band")).count().orderBy("band").collect()  # as many as doubles have exponents, at most
+    classes = settle(rows.distinct().withColumn("_few", few).filter("_few").groupBy("vec").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+                     .withColumn("band", band("vec")), "ann-classes")
+    sizes = classes.groupBy("band").count().orderBy("band").collect()  # as many as doubles have exponents, at most
     firsts, shards = [], 0
     for r in sizes:
         n = -(-r["count"] // shard_rows)
@@ -201,8 +205,7 @@ def search(df: DataFrame, *, k: int = 20, every: int = 20, id_col: str = "vec_id
                          "ids": pa.array([ids.values.to_numpy().tobytes()], pa.binary()),
                          "sizes": pa.array([ids.value_lengths().to_numpy().astype("<i4").tobytes()], pa.binary())})
 
-    dealt = classes.withColumn("band", band("vec")).join(bands, "band").withColumn(
-        "shard", (C("first") + F.pmod(F.xxhash64("vec"), C("n"))).cast("int"))
+    dealt = classes.join(bands, "band").withColumn("shard", (C("first") + F.pmod(F.xxhash64("vec"), C("n"))).cast("int"))
     graphs = settle(dealt.select("shard", "vec", "ids").groupBy("shard").applyInArrow(index, "shard int, vecs binary, links binary, entry binary, ids binary, sizes binary"), "ann-graphs")
     queries = rows.filter(C("id") % every == 0).distinct()
     blocks = max(1, -(-queries.count() // block_rows))
