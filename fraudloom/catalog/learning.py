@@ -1,6 +1,7 @@
 """Queries of training, tuning, scoring, importances and streams.
 
-Each one runs over its whole tables; only the number of trees, folds and trials is kept small.
+Each one runs over its whole tables with the library's trees, ten folds and fifty trials with patience ten;
+``choice_search``, which fits every preprocessing stage anew per fold and trial, runs fewer.
 """
 
 from __future__ import annotations
@@ -16,7 +17,11 @@ from .base import C, applications, query, rounded, tbl
 from .features import FEATURE_PLAN_SQL, feature_plan, payloads, rounded_features
 from .evaluation import augmented
 
-TREES = {"maxIter": 3, "maxDepth": 3}
+TREES = {"maxIter": 20, "maxDepth": 5}
+RANKS = {"low": 1, "mid": 2, "high": 3}
+FEATURES = ["requested_loan_amount", "k3", "k5", "partner", "product_type", "nation", "ida", "ida_ft_matchstatus", "band",
+            "same_status", "tmx_raw_time_zone", "ca_created_at_ft_dayofweek_sin", "ca_created_at_ft_dayofweek_cos", "ca_created_at_ft_is_holiday",
+            "last_seen_ft_days_since", "last_seen_ft_dayofweek_sin", "last_seen_ft_dayofweek_cos"]
 
 
 def training_rows(spark, sf):
@@ -29,10 +34,31 @@ def training_rows(spark, sf):
                     risky.cast("int").alias("dep_var"))
 
 
+def raw_training_rows(spark, sf):
+    """The training rows as a vendor sends them: encoded text, dates as text with gaps, coded numbers, level pairs."""
+    k = C("ca_id")
+    seen = F.date_format(F.date_sub("ca_created_at", (k % 40).cast("int")), "yyyy-MM-dd HH:mm:ss")
+    level = F.element_at(F.array(F.lit("low"), F.lit("mid"), F.lit("high")), (k % 3).cast("int") + 1)
+    return training_rows(spark, sf).withColumns({
+        "partner": F.replace("partner", F.lit("I"), F.lit("%49")),
+        "last_seen": F.when(k % 4 != 0, seen), "seen_at": F.when(k % 6 != 0, "web"),
+        "ida": F.when(k % 7 == 0, -1.0).when(k % 7 == 1, -2.0).when(k % 7 != 2, C("requested_loan_amount") / 1000),
+        "band_a": level, "band_b": F.when(k % 2 == 0, "mid"), "status_a": C("product_type"), "status_b": F.when(k % 5 != 0, "F"),
+        "tmx_raw_time_zone": (k % 1441 - 720).cast("double")})
+
+
 def _front():
-    return [stages.Parsing(exact_match_vars=[["product_type", {"OPEN": ["O"], "DONE": ["F"]}]]),
-            stages.DateFeatures(date_cols=["ca_created_at"], timestamp_cols=[], todrop_cols=["ca_created_at"], creation_col="ca_created_at"),
-            stages.FeatureDropper(feature_to_drop=["ca_created_at_ft_days_since"])]
+    """Parsing, date gaps, types; consolidated columns, date features, the selected features."""
+    return [stages.Parsing(unclean_vars=["partner"], exact_match_vars=[["product_type", {"OPEN": ["O"], "DONE": ["F"]}]],
+                           regex_match_vars=[["partner", "^AUTO.*", "CARS"]]),
+            stages.DateMissing(datemissing_cols=["last_seen"], reference_dict={"last_seen": "seen_at"}, imputation_col="ca_created_at"),
+            stages.DataIntegrity(date_vars=["ca_created_at", "last_seen"], numeric_vars=["requested_loan_amount", "k3", "k5", "nation", "ida"],
+                                 categorical_vars=["partner", "product_type"]),
+            stages.FeatureConsolidator(ida_vars=["ida"], consolidation_vars=[["band", "band_a", "band_b"]], consolidation_mapping=RANKS,
+                                       match_vars=[["same_status", "status_a", "status_b"]]),
+            stages.DateFeatures(date_cols=["ca_created_at", "last_seen"], timestamp_cols=[], todrop_cols=["ca_created_at", "last_seen"],
+                                creation_col="ca_created_at"),
+            stages.FeatureSelector(feature_names=["ca_id", "dep_var", *FEATURES])]
 
 
 def _fit(**params):
@@ -50,14 +76,14 @@ def _assembled(spark, sf):
 
 @query("train_model")
 def train_model(spark, sf):
-    df = training_rows(spark, sf)
+    df = raw_training_rows(spark, sf)
     model = _fit()(df)
     return rounded(train.probability(model, df).select("ca_id", "score"), "score")
 
 
 @query("save_load_model", "SELECT COUNT(*) AS rows, CAST(0 AS DOUBLE) AS largest_gap FROM orders JOIN customer ON o_custkey = c_custkey")
 def save_load_model(spark, sf):
-    df = training_rows(spark, sf)
+    df = raw_training_rows(spark, sf)
     model = _fit()(df)
     path = scratch_path(spark, "model")
     train.save_model(model, path)
@@ -69,14 +95,14 @@ def save_load_model(spark, sf):
 
 @query("score_batch")
 def score_batch(spark, sf):
-    df = training_rows(spark, sf)
+    df = raw_training_rows(spark, sf)
     scored_rows = train.probability(_fit()(df), df)
     return rounded(scored_rows.select("ca_id", "score", "prediction"), "score")
 
 
 @query("stage_outputs")
 def stage_outputs(spark, sf):
-    df = training_rows(spark, sf)
+    df = raw_training_rows(spark, sf)
     parts = train.stage_outputs(_fit()(df), df)
     out = None
     for i, p in enumerate(parts):
@@ -87,19 +113,21 @@ def stage_outputs(spark, sf):
 
 @query("cross_validate")
 def cross_validate(spark, sf):
-    return train.cross_validate(training_rows(spark, sf), "ca_id", "dep_var", _fit(), folds=3)
+    return train.cross_validate(raw_training_rows(spark, sf), "ca_id", "dep_var", _fit(), folds=10)
 
 
 @query("oof_predictions")
 def oof_predictions(spark, sf):
-    return rounded(train.out_of_fold(training_rows(spark, sf), "ca_id", "dep_var", _fit(), folds=3), "score")
+    return rounded(train.out_of_fold(raw_training_rows(spark, sf), "ca_id", "dep_var", _fit(), folds=10), "score")
 
 
 @query("tune_search")
 def tune_search(spark, sf):
     data = _assembled(spark, sf)
-    return train.tune_search(data, "ca_id", "dep_var", lambda p: train.boosted_trees("dep_var", maxIter=2, **p).fit,
-                             {"maxDepth": [2, 3], "stepSize": [0.1, 0.3]}, max_evals=3, patience=2, folds=2)
+    space = {"maxDepth": train.Range(2, 5, whole=True), "stepSize": train.Range(0.05, 0.5, log=True),
+             "maxIter": train.Range(3, 10, whole=True), "subsamplingRate": train.Range(0.6, 1.0)}
+    return train.tune_search(data, "ca_id", "dep_var", lambda p: train.boosted_trees("dep_var", **p).fit, space,
+                             max_evals=50, patience=10, folds=10)
 
 
 @query("choice_search")
@@ -116,14 +144,14 @@ def choice_search(spark, sf):
 @query("rfe_importance")
 def rfe_importance(spark, sf):
     data = _assembled(spark, sf)
-    return train.eliminate_features(data, "ca_id", "dep_var", train.feature_names(data), step=2, folds=2, maxIter=2, maxDepth=2)
+    return train.eliminate_features(data, "ca_id", "dep_var", train.feature_names(data), step=2, folds=5, **TREES)
 
 
 @query("rfe_attribution")
 def rfe_attribution(spark, sf):
     data = _assembled(spark, sf)
-    return train.eliminate_features(data, "ca_id", "dep_var", train.feature_names(data), step=2, folds=2, importance="shapley",
-                                    permutations=1, maxIter=2, maxDepth=2)
+    return train.eliminate_features(data, "ca_id", "dep_var", train.feature_names(data), step=2, folds=5, importance="shapley",
+                                    permutations=2, **TREES)
 
 
 @query("permutation_importance")
@@ -136,7 +164,7 @@ def permutation_importance(spark, sf):
 @query("learning_curve")
 def learning_curve(spark, sf):
     data = _assembled(spark, sf)
-    return train.learning_curve(data, "ca_id", "dep_var", train.boosted_trees("dep_var", maxIter=2, maxDepth=2).fit, folds=2)
+    return train.learning_curve(data, "ca_id", "dep_var", train.boosted_trees("dep_var", **TREES).fit, folds=10)
 
 
 @query("boosting_curve")
@@ -173,7 +201,7 @@ def stream_features(spark, sf):
 
 @query("stream_score")
 def stream_score(spark, sf):
-    df = training_rows(spark, sf)
+    df = raw_training_rows(spark, sf)
     path = scratch_path(spark, "score-stream")
     df.write.parquet(path)
     stream = spark.readStream.schema(df.schema).parquet(path)

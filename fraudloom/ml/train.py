@@ -7,14 +7,17 @@ import json
 import math
 import random
 import time
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import partial, reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.util import inheritable_thread_target
 
 from ..functions.geo import unscale_score
 from ..operators.curves import average_precision, curve_counts, group_metrics
@@ -114,39 +117,56 @@ def load_model(path: str) -> PipelineModel:
 Fit = Callable[[DataFrame], object]
 
 
-def out_of_fold(df: DataFrame, key: str, label: str, fit: Fit, folds: int = 10, seed: int = 42,
-                timings: list | None = None) -> DataFrame:
-    """Every row scored by the model that did not see its fold: (key, fold, ytrue, score)."""
-    split = stratified_fold(df, key, label, folds, seed)
-    parts = []
-    for k in range(folds):
+def fold_table(df: DataFrame, key: str, label: str, folds: int = 10, seed: int = 42) -> DataFrame:
+    """The rows with their fold, written once: every fold, trial and round reads the same files."""
+    return settle(stratified_fold(df, key, label, folds, seed), "folds")
+
+
+def side_by_side(spark, work: Callable, items: Iterable, workers: int) -> list:
+    """Results of independent fits in the order of ``items``, a few at a time: one small fit alone leaves most cores idle."""
+    jobs = [inheritable_thread_target(spark)(partial(work, item)) for item in items]
+    with ThreadPoolExecutor(max(1, min(workers, len(jobs)))) as pool:
+        return [f.result() for f in [pool.submit(job) for job in jobs]]
+
+
+def _fold_models(split: DataFrame, fit: Fit, folds: int, workers: int) -> list[tuple]:
+    """(fold, fit time, model that did not see the fold) of every fold."""
+    def one(k):
         t0 = time.perf_counter()
         model = fit(split.where(C("fold") != k).drop("fold"))
-        t1 = time.perf_counter()
-        scored = probability(model, split.where(C("fold") == k))
-        parts.append(scored.select(key, "fold", C(label).alias("ytrue"), "score"))
-        if timings is not None:
-            timings.append((k, t1 - t0, model))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        return k, time.perf_counter() - t0, model
+    return side_by_side(split.sparkSession, one, range(folds), workers)
+
+
+def _fold_scores(split: DataFrame, key: str, label: str, models: list[tuple]) -> DataFrame:
+    parts = [probability(model, split.where(C("fold") == k)).select(key, "fold", C(label).alias("ytrue"), "score")
+             for k, _, model in models]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def out_of_fold(df: DataFrame, key: str, label: str, fit: Fit, folds: int = 10, seed: int = 42, workers: int = 8) -> DataFrame:
+    """Every row scored by the model that did not see its fold: (key, fold, ytrue, score)."""
+    split = fold_table(df, key, label, folds, seed)
+    return _fold_scores(split, key, label, _fold_models(split, fit, folds, workers))
 
 
-def cross_validate(df: DataFrame, key: str, label: str, fit: Fit, folds: int = 10, seed: int = 42) -> DataFrame:
-    """(fold, auc_pr, auc_roc, fit_time, score_time); only these numbers reach the driver."""
-    split = stratified_fold(df, key, label, folds, seed)
-    rows = []
-    for k in range(folds):
+def cross_validate(df: DataFrame, key: str, label: str, fit: Fit, folds: int = 10, seed: int = 42, workers: int = 8) -> DataFrame:
+    """(fold, auc_pr, auc_roc, fit_time, score_time); only these numbers reach the driver. Times are of folds that run together."""
+    rows = _validated(fold_table(df, key, label, folds, seed), label, fit, folds, workers)
+    return df.sparkSession.createDataFrame(
+        rows, "fold int, auc_pr double, auc_roc double, fit_time double, score_time double")
+
+
+def _validated(split: DataFrame, label: str, fit: Fit, folds: int, workers: int) -> list[tuple]:
+    def one(k):
         t0 = time.perf_counter()
         model = fit(split.where(C("fold") != k).drop("fold"))
         t1 = time.perf_counter()
         scored = probability(model, split.where(C("fold") == k)).select(C(label).alias("ytrue"), "score").persist()
         m = group_metrics(curve_counts(scored, keep=False)).first()
         scored.unpersist()
-        rows.append((k, m.auc_pr, m.auc_roc, t1 - t0, time.perf_counter() - t1))
-    return df.sparkSession.createDataFrame(
-        rows, "fold int, auc_pr double, auc_roc double, fit_time double, score_time double")
+        return k, m.auc_pr, m.auc_roc, t1 - t0, time.perf_counter() - t1
+    return side_by_side(split.sparkSession, one, range(folds), workers)
 
 
 @dataclass(frozen=True)
@@ -213,12 +233,16 @@ def draw_params(space: Space, n: int, seed: int = 42):
 
 
 def tune_search(df: DataFrame, key: str, label: str, make_fit: Callable[[dict], Fit], space: Space,
-                max_evals: int = 50, patience: int = 10, folds: int = 10) -> DataFrame:
-    """Trials (trial, params, score): cross-validated average precision, maximised; stops after ``patience`` without gain."""
+                max_evals: int = 50, patience: int = 10, folds: int = 10, workers: int = 8) -> DataFrame:
+    """Trials (trial, params, score): cross-validated average precision, maximised; stops after ``patience`` without gain.
+
+    All trials share one table of folds; the folds of a trial are fitted side by side and judged by one grouped curve.
+    """
     trials, best, since = [], float("-inf"), 0
+    split = fold_table(df, key, label, folds)
     for i, params in enumerate(draw_params(space, max_evals)):
-        cv = cross_validate(df, key, label, make_fit(params), folds)
-        score = cv.agg(F.avg("auc_pr")).first()[0]
+        scores = _fold_scores(split, key, label, _fold_models(split, make_fit(params), folds, workers))
+        score = average_precision(curve_counts(scores, groups=["fold"], keep=False), ["fold"]).agg(F.avg("auc_pr")).first()[0]
         trials.append((i, json.dumps(params, sort_keys=True), score))
         best, since = (score, 0) if score > best else (best, since + 1)
         if since >= patience:
@@ -247,7 +271,7 @@ def _slice_fit(label: str, names: Sequence[str], **tree_params) -> Fit:
 
 def eliminate_features(df: DataFrame, key: str, label: str, names: Sequence[str], step: int, folds: int = 5,
                        small_step: int | None = None, small_below: int = 200, importance: str = "tree",
-                       permutations: int = 2, lists_path: str | None = None, **tree_params) -> DataFrame:
+                       permutations: int = 2, lists_path: str | None = None, workers: int = 8, **tree_params) -> DataFrame:
     """Recursive elimination: (num_features, auc_pr_cv_mean, auc_pr_cv_std).
 
     Each round cross-validates, averages the importance over folds and drops the
@@ -256,9 +280,10 @@ def eliminate_features(df: DataFrame, key: str, label: str, names: Sequence[str]
     round is written as CSV.
     """
     spark, left, rows = df.sparkSession, list(names), []
+    split = fold_table(df, key, label, folds)
     while len(left) > step:
-        models: list = []
-        oof = out_of_fold(df, key, label, _slice_fit(label, left, **tree_params), folds, timings=models).persist()
+        models = _fold_models(split, _slice_fit(label, left, **tree_params), folds, workers)
+        oof = _fold_scores(split, key, label, models).persist()
         ap = average_precision(curve_counts(oof, groups=["fold"], keep=False), ["fold"])
         m = ap.agg(F.avg("auc_pr").alias("m"), F.stddev_samp("auc_pr").alias("s")).first()
         rows.append((len(left), m.m, m.s))
@@ -266,12 +291,14 @@ def eliminate_features(df: DataFrame, key: str, label: str, names: Sequence[str]
         if small_step and len(left) < small_below:
             step = small_step
         mean = {f: 0.0 for f in left}
-        for _, _, model in models:
+        def importance_of(fitted):
+            trees = fitted[-1].stages[-1]
             if importance == "tree":
-                values = dict(zip(left, model.stages[-1].featureImportances.toArray()))
-            else:
-                table = sampled_attribution(model.stages[-1], df, key, left, "features", permutations)
-                values = {r.feature: r.importance for r in table.collect()}  # one row per feature
+                return dict(zip(left, trees.featureImportances.toArray()))
+            table = sampled_attribution(trees, df, key, left, "features", permutations)
+            return {r.feature: r.importance for r in table.collect()}  # one row per feature
+
+        for values in side_by_side(spark, importance_of, models, workers):
             for f in left:
                 mean[f] += float(values.get(f, 0.0)) / len(models)
         order = sorted(left, key=lambda f: (mean[f], f))
@@ -355,24 +382,24 @@ def permutation_importance(model, df: DataFrame, key: str, label: str, features:
 
 
 def learning_curve(df: DataFrame, key: str, label: str, fit: Fit, folds: int = 3,
-                   shares: Sequence[float] = (0.1, 0.325, 0.55, 0.775, 1.0)) -> DataFrame:
+                   shares: Sequence[float] = (0.1, 0.325, 0.55, 0.775, 1.0), workers: int = 8) -> DataFrame:
     """(share, train_ap_mean, train_ap_std, valid_ap_mean, valid_ap_std, fit_time): nested hash samples, all folds."""
-    split = stratified_fold(df, key, label, folds).withColumn("_u", hash_bucket(C(key), 100_000, 7))
-    rows = []
-    for share in shares:
-        got = []
-        for k in range(folds):
-            part = split.where((C("fold") != k) & (C("_u") < int(share * 100_000))).drop("fold", "_u")
-            t0 = time.perf_counter()
-            model = fit(part)
-            took = time.perf_counter() - t0
-            aps = []
-            for side in (part, split.where(C("fold") == k)):
-                s = probability(model, side).select(C(label).alias("ytrue"), "score").persist()
-                aps.append(average_precision(curve_counts(s, keep=False)).first()[0])
-                s.unpersist()
-            got.append((share, *aps, took))
-        rows += got
+    split = fold_table(df, key, label, folds).withColumn("_u", hash_bucket(C(key), 100_000, 7))
+
+    def one(run):
+        share, k = run
+        part = split.where((C("fold") != k) & (C("_u") < int(share * 100_000))).drop("fold", "_u")
+        t0 = time.perf_counter()
+        model = fit(part)
+        took = time.perf_counter() - t0
+        aps = []
+        for side in (part, split.where(C("fold") == k)):
+            s = probability(model, side).select(C(label).alias("ytrue"), "score").persist()
+            aps.append(average_precision(curve_counts(s, keep=False)).first()[0])
+            s.unpersist()
+        return share, *aps, took
+
+    rows = side_by_side(df.sparkSession, one, itertools.product(shares, range(folds)), workers)
     runs = df.sparkSession.createDataFrame(rows, "share double, train_ap double, valid_ap double, fit_time double")
     return runs.groupBy("share").agg(
         F.avg("train_ap").alias("train_ap_mean"), F.stddev_pop("train_ap").alias("train_ap_std"),

@@ -91,7 +91,7 @@ def test_model_saves_and_scores_one_row(spark, sf):
 
 
 def test_trained_model_beats_chance(spark, sf):
-    cv = train.cross_validate(learning.training_rows(spark, sf), "ca_id", "dep_var", learning._fit(), folds=2)
+    cv = train.cross_validate(learning.raw_training_rows(spark, sf), "ca_id", "dep_var", learning._fit(), folds=2)
     assert cv.agg(F.avg("auc_roc")).first()[0] > 0.8
 
 
@@ -109,8 +109,37 @@ def test_attribution_adds_up(spark, sf):
 
 
 def test_tuning_stops_and_ranks(spark, sf):
-    trials = learning.tune_search(spark, sf).collect()
-    assert 1 <= len(trials) <= 3 and all(json.loads(t.params) for t in trials)
+    data = learning._assembled(spark, sf)
+    space = {"maxDepth": [2, 3], "stepSize": [0.1, 0.3]}
+    trials = train.tune_search(data, "ca_id", "dep_var", lambda p: train.boosted_trees("dep_var", maxIter=2, **p).fit, space,
+                               max_evals=3, patience=1, folds=2).collect()
+    assert 2 <= len(trials) <= 3 and all(json.loads(t.params) for t in trials)
+    best = [max(t.score for t in trials[:i + 1]) for i in range(len(trials))]
+    assert all(b > a for a, b in zip(best, best[1:-1]))  # every trial but the last was a gain
+
+
+def test_folds_fitted_side_by_side_equal_one_by_one(spark, sf):
+    data = learning._assembled(spark, sf)
+    fit = train.boosted_trees("dep_var", maxIter=2, maxDepth=2).fit
+    together, alone = ({r.fold: (r.auc_pr, r.auc_roc) for r in train.cross_validate(
+        data, "ca_id", "dep_var", fit, folds=3, workers=w).collect()} for w in (3, 1))
+    assert set(together) == {0, 1, 2}
+    for k, v in alone.items():
+        assert together[k] == pytest.approx(v, abs=1e-9)
+
+
+def test_front_stages_fill_fold_and_derive(spark, sf):
+    raw = learning.raw_training_rows(spark, sf)
+    done = {r.ca_id: r for r in PipelineModel(stages=learning._front()).transform(raw).collect()}
+    assert len(done) == 1500 and set(next(iter(done.values())).asDict()) == {"ca_id", "dep_var", *learning.FEATURES}
+    for r in raw.collect():
+        d = done[r.ca_id]
+        assert d.partner == ("CARS" if r.partner.startswith("AUTO") else r.partner.replace("%49", "I"))
+        assert d.ida_ft_matchstatus == {0: "Partial Match", 1: "No Match", 2: "Missing"}.get(r.ca_id % 7, "Other")
+        assert d.same_status == int(r.status_b is not None and r.status_a == "F")
+        gap = None if r.seen_at is None else 0 if r.last_seen is None else r.ca_id % 40
+        assert (d.last_seen_ft_days_since is None) == (gap is None)
+        assert gap is None or int(d.last_seen_ft_days_since) == gap
 
 
 def test_stream_features_equal_batch(spark, sf):
@@ -121,7 +150,7 @@ def test_stream_features_equal_batch(spark, sf):
 
 
 def test_stream_scores_equal_batch(spark, sf):
-    df = learning.training_rows(spark, sf)
+    df = learning.raw_training_rows(spark, sf)
     want = {r.ca_id: r.score for r in train.probability(learning._fit()(df), df).select("ca_id", "score").collect()}
     rows = learning.stream_score(spark, sf).collect()
     got = {r.ca_id: json.loads(r.response)["keyAttributes"]["scores"]["model_v1"]["probability_fraud"] for r in rows}
