@@ -139,8 +139,10 @@ def _fold_models(split: DataFrame, fit: Fit, folds: int, workers: int) -> list[t
 
 
 def _fold_scores(split: DataFrame, key: str, label: str, models: list[tuple]) -> DataFrame:
-    parts = [probability(model, split.where(C("fold") == k)).select(key, "fold", C(label).alias("ytrue"), "score")
-             for k, _, model in models]
+    # the fold is known here, and a model that selects its columns does not hand it on
+    fold = split.schema["fold"].dataType
+    parts = [probability(model, split.where(C("fold") == k)).select(
+        key, F.lit(k).cast(fold).alias("fold"), C(label).alias("ytrue"), "score") for k, _, model in models]
     return reduce(DataFrame.unionByName, parts)
 
 
