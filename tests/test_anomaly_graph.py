@@ -228,3 +228,13 @@ def test_ordered_encoding_with_hot_level(spark):
         for r in sorted((r for r in rows if r[1] == level), key=lambda r: (r[2], r[0])):
             assert got[r[0]] == pytest.approx((s + prior) / (n + 1))
             s, n = s + r[3], n + 1
+
+
+def test_blocks_are_sent_to_units_and_not_to_pairs(spark, monkeypatch):
+    monkeypatch.setattr(knn, "BLOCK", 16)
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, "w", v.tolist()) for i, v in enumerate(rng.normal(size=(600, 8)))], "id long, window string, vec array<double>")
+    sent = spark.sparkContext.broadcast(knn._pivots(df, 42))
+    blocks = knn.settle(knn._blocks(knn._assign(knn._distinct(df, 5), sent)), "test-blocks")
+    pairs = knn.block_pairs(blocks, blocks, 6, sent)
+    assert knn._dealt(blocks, blocks, pairs).count() * 3 < pairs.count()
