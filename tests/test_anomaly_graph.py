@@ -238,3 +238,12 @@ def test_blocks_are_sent_to_units_and_not_to_pairs(spark, monkeypatch):
     blocks = knn.settle(knn._blocks(knn._assign(knn._distinct(df, 5), sent)), "test-blocks")
     pairs = knn.block_pairs(blocks, blocks, 6, sent)
     assert knn._dealt(blocks, blocks, pairs).count() * 3 < pairs.count()
+
+
+def test_lscp_takes_neighbours_whose_scores_do_not_vary(spark):
+    # copies have equal scores: a correlation is not defined there
+    scores = spark.createDataFrame([("w", i, d, 1.0 if i < 4 else float(i * k)) for i in range(6) for k, d in ((1, "a"), (-2, "b"))],
+                                   "window string, id long, detector string, raw double")
+    nbrs = spark.createDataFrame([("w", i, j, 1.0, j + 1) for i in range(6) for j in range(4)], "window string, id long, nbr long, dist double, rank int")
+    out = detectors.outlier_lscp(scores, nbrs, 4, "lscp").collect()
+    assert sorted(r["id"] for r in out) == list(range(6))
