@@ -230,6 +230,15 @@ def test_ordered_encoding_with_hot_level(spark):
             s, n = s + r[3], n + 1
 
 
+def test_lscp_takes_neighbours_whose_scores_do_not_vary(spark):
+    # copies have equal scores: a correlation is not defined there
+    scores = spark.createDataFrame([("w", i, d, 1.0 if i < 4 else float(i * k)) for i in range(6) for k, d in ((1, "a"), (-2, "b"))],
+                                   "window string, id long, detector string, raw double")
+    nbrs = spark.createDataFrame([("w", i, j, 1.0, j + 1) for i in range(6) for j in range(4)], "window string, id long, nbr long, dist double, rank int")
+    out = detectors.outlier_lscp(scores, nbrs, 4, "lscp").collect()
+    assert sorted(r["id"] for r in out) == list(range(6))
+
+
 def test_blocks_are_sent_to_units_and_not_to_pairs(spark, monkeypatch):
     monkeypatch.setattr(knn, "BLOCK", 16)
     rng = np.random.default_rng(5)
@@ -240,10 +249,17 @@ def test_blocks_are_sent_to_units_and_not_to_pairs(spark, monkeypatch):
     assert knn._dealt(blocks, blocks, pairs).count() * 3 < pairs.count()
 
 
-def test_lscp_takes_neighbours_whose_scores_do_not_vary(spark):
-    # copies have equal scores: a correlation is not defined there
-    scores = spark.createDataFrame([("w", i, d, 1.0 if i < 4 else float(i * k)) for i in range(6) for k, d in ((1, "a"), (-2, "b"))],
-                                   "window string, id long, detector string, raw double")
-    nbrs = spark.createDataFrame([("w", i, j, 1.0, j + 1) for i in range(6) for j in range(4)], "window string, id long, nbr long, dist double, rank int")
-    out = detectors.outlier_lscp(scores, nbrs, 4, "lscp").collect()
-    assert sorted(r["id"] for r in out) == list(range(6))
+def test_path_lengths_are_those_of_a_walk():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 3))
+    x[5] = np.nan
+    nodes = detectors._grow(x[10:], rng, 8, np.arange(3))
+    f, cut, left, right, size = (np.asarray(z) for z in zip(*nodes))
+    wanted = []
+    for row in x:
+        at = steps = 0
+        while f[at] >= 0:
+            at, steps = (left if row[f[at]] < cut[at] else right)[at], steps + 1
+        wanted.append(steps + float(detectors._average_path(size[at])))
+    got = detectors._path_lengths(x.ravel(), np.arange(len(x)) * 3, f, cut, left, right, size)
+    assert got.tolist() == pytest.approx(wanted, abs=1e-12)
