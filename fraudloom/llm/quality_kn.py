@@ -1,7 +1,7 @@
 """Quality classifier: interpolated modified Kneser-Ney byte n-grams of trusted text, cut at quantiles per language.
 
-The model is fitted on a bounded sample of trusted rows (``max_trusted``); its counts, the perplexities and the
-quantiles come from sharded joins over all documents. A pack of documents asks for its distinct grams only; questions
+The model is fitted on all trusted rows of one hash half (``max_trusted`` may bound them); its counts, the perplexities
+and the quantiles come from sharded joins over all documents. A pack of documents asks for its distinct grams only; questions
 and counts meet in buckets by the two nearest context bytes, where every context and its shorter forms lie together.
 Orders one and two are at most 65,536 numbers and are the only part that passes through the driver.
 
@@ -87,19 +87,20 @@ def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return bg.tally(np.concatenate(keys), np.concatenate(counts))
 
 
-def fit_ids(labels: DataFrame, max_trusted: int, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
-    """Ids the model is fitted on: at most ``max_trusted`` trusted ids of the even hash half, in hash order."""
+def fit_ids(labels: DataFrame, max_trusted: int | None = None, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
+    """Ids the model is fitted on: the trusted ids of the even hash half; the first ``max_trusted`` in hash order, if given."""
     h = F.xxhash64(id_col)
-    return (labels.filter((C(label_col) == 1) & C(id_col).isNotNull() & (F.pmod(h, F.lit(2)) == 0))
-            .select(C(id_col).alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(max_trusted))
+    ids = (labels.filter((C(label_col) == 1) & C(id_col).isNotNull() & (F.pmod(h, F.lit(2)) == 0))
+           .select(C(id_col).alias("_id")).distinct())
+    return ids if max_trusted is None else ids.orderBy(F.xxhash64("_id"), "_id").limit(max_trusted)
 
 
-def perplexities(docs: DataFrame, labels: DataFrame, *, order: int = 5, max_trusted: int = 20_000,
+def perplexities(docs: DataFrame, labels: DataFrame, *, order: int = 5, max_trusted: int | None = None,
                  carry: tuple[str, ...] = (), bucket_bytes: int = 16 << 20, part_bytes: int = 64 << 20) -> DataFrame:
     """Per document its id, language, the carried columns, ``_fit``, ``n_bytes`` and ``perplexity`` per byte."""
     columns = list(dict.fromkeys(["doc_id", "lang", *carry]))
     buckets = max(12, -(-text_bytes(docs) // bucket_bytes))
-    ids = F.broadcast(settle(fit_ids(labels, max_trusted), "kn-ids"))  # at most max_trusted ids
+    ids = settle(fit_ids(labels, max_trusted), "kn-ids")  # broadcast while Spark finds the file small enough
     src = docs.select(*dict.fromkeys([*columns, "text"]))
     fields = {f.name: f for f in src.schema.fields}
     src = (src.join(ids, src["doc_id"] == ids["_id"], "left")
@@ -128,7 +129,24 @@ def perplexities(docs: DataFrame, labels: DataFrame, *, order: int = 5, max_trus
         return pa.table({"what": pa.array([r[0] for r in rows], pa.string()), "k": pa.array([r[1] for r in rows], pa.int64()),
                          "v": pa.array([r[2] for r in rows], pa.int64())})
 
-    found = (asked.filter(C("kind") == "fit").groupBy("bucket").applyInArrow(stats, "what string, k long, v long")
+    asking = C("kind") == "ask"
+
+    def cut(rows: DataFrame) -> DataFrame:
+        """Per bucket the number of parts of about ``part_bytes`` that its keys make."""
+        return rows.groupBy("bucket").agg(F.ceil(F.sum(F.octet_length("keys")) / part_bytes).alias("parts"))
+
+    def merge(t: pa.Table) -> pa.Table:
+        keys, counts = _merged(t)
+        return pa.table({"bucket": t.column("bucket")[:1], "keys": [bg.pack_keys(keys)], "counts": [bg.squeeze(counts)]},
+                        schema=pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]))
+
+    # fitted grams of a bucket are merged once, its packs in parts first: later tasks read one row instead of one a pack
+    fitted = asked.filter(C("kind") == "fit")
+    first = (fitted.join(cut(fitted), "bucket").withColumn("part", F.pmod(F.xxhash64("pack"), C("parts"))).groupBy("bucket", "part")
+             .applyInArrow(merge, "bucket int, keys binary, counts binary"))
+    fitted = settle(first.groupBy("bucket").applyInArrow(merge, "bucket int, keys binary, counts binary"), "kn-fitted")
+
+    found = (fitted.groupBy("bucket").applyInArrow(stats, "what string, k long, v long")
              .groupBy("what", "k").agg(F.sum("v").alias("v")).collect())  # at most 65,536 pairs and 4 rows an order
     p2 = small_orders({r["k"]: r["v"] for r in found if r["what"] == "pair"})
     d = {k: discounts(np.array([sum(r["v"] for r in found if r["what"] == f"n{k}" and r["k"] == i) for i in range(1, 5)]))
@@ -149,10 +167,10 @@ def perplexities(docs: DataFrame, labels: DataFrame, *, order: int = 5, max_trus
         return pa.table({"pack": t.column("pack"), "bucket": t.column("bucket"), "logs": pa.array(out, pa.binary())})
 
     # a bucket asked for more than ``part_bytes`` is answered in parts: packs are dealt to them, and each has the fitted grams
-    asking = C("kind") == "ask"
-    sizes = settle(asked.filter(asking).groupBy("bucket").agg(F.ceil(F.sum(F.octet_length("keys")) / part_bytes).alias("parts")), "kn-parts")
+    sizes = settle(cut(asked.filter(asking)), "kn-parts")
     part = F.when(asking, F.array(F.pmod(F.xxhash64("pack"), C("parts")))).otherwise(F.sequence(F.lit(0).cast("long"), C("parts") - 1))
-    dealt = asked.join(sizes, "bucket").withColumn("part", F.explode(part)).drop("parts")
+    both = asked.filter(asking).unionByName(fitted.select(F.lit("fit").alias("kind"), "bucket", F.lit(None).cast("long").alias("pack"), "keys", "counts"))
+    dealt = both.join(sizes, "bucket").withColumn("part", F.explode(part)).drop("parts")
     replies = dealt.groupBy("bucket", "part").applyInArrow(answer, "pack long, bucket int, logs binary")
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
