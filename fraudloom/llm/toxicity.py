@@ -1,4 +1,4 @@
-"""Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
+"""Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy in one task.
 
 A word is the mean of the vectors of its character n-grams, a window of words the mean of its words, and a softmax
 over two classes reads the window. Embeddings and softmax are learned together on a bounded sample of labelled rows
@@ -17,6 +17,7 @@ an id are scored and never learned from. Repeated rows are scored each on its ow
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from itertools import chain
@@ -217,11 +218,19 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_toxic: int = 2000, max_clean:
     ids = F.broadcast(settle(picked[0].unionByName(picked[1]), "toxic-ids"))  # at most max_clean + max_toxic ids
     # an id may have several texts: all of them in one order, the same at every run, up to the bound
     rows = (docs.select("doc_id", "text").join(ids, C("doc_id") == C("_id")).select("text", "_y", "_id").distinct()
-            .orderBy(F.xxhash64("_id"), "_id", "_y", F.xxhash64("text"), "text").limit(max_clean + max_toxic).collect())
-    rows.sort(key=lambda r: (r["_id"], r["_y"], r["text"] or ""))
+            .orderBy(F.xxhash64("_id"), "_id", "_y", F.xxhash64("text"), "text").limit(max_clean + max_toxic))
     total = sum(counts.values())
-    return train([r["text"] for r in rows], np.array([r["_y"] for r in rows], np.int64),
-                 counts.get(1, 0) / total if total else 0.0)
+    share = counts.get(1, 0) / total if total else 0.0
+
+    def learn(batches):
+        held = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["_id"], r["_y"], r["text"] or ""))
+        if held:
+            model = train([r["text"] for r in held], np.array([r["_y"] for r in held], np.int64), share)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    # the bounded sample is learned from in one task: the driver gets the folded table of slots and holds no text
+    found = settle(rows, "toxic-sample").select("text", "_y", "_id").coalesce(1).mapInArrow(learn, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else train([], np.zeros(0, np.int64), share)
 
 
 def score(docs: DataFrame, model: Model, carry: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:

@@ -1,12 +1,14 @@
 """Quality, toxicity, language and language-model operators against direct computations and held-out rows."""
 
 import math
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fraudloom.llm import bytegrams as bg
 from fraudloom.llm import lang_kernel, lm_ctw, quality_kn, toxicity
@@ -236,3 +238,15 @@ def test_folded_matrix_equals_the_kernel_form():
     y = np.array([[1, -1], [-1, 1]] * 2)
     w = np.linalg.solve(phi.T @ phi / 2 + 1e-3 * np.eye(4), phi.T @ y / 2)
     assert np.allclose(model.outputs(texts), phi @ w, atol=1e-4)
+
+
+def test_quality_is_fitted_on_every_trusted_row_of_its_half(spark):
+    labels = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    assert quality_kn.fit_ids(labels).count() == labels.filter("pmod(xxhash64(doc_id), 2L) = 0").count() > 20_000
+
+
+def test_toxicity_is_learned_in_a_task(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "train", lambda texts, y, share: toxicity.Model(np.zeros(4), float(os.getpid()), np.zeros(3), share))
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    assert toxicity.fit(docs, labels).bias not in (0.0, float(os.getpid()))
