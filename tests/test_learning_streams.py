@@ -5,13 +5,14 @@ import random
 
 import pytest
 from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from fraudloom.catalog import features, learning
-from fraudloom.ml import stages, train
+from fraudloom.ml import boosting, stages, train
 from fraudloom.operators import encode
-from fraudloom.session import scratch_path
+from fraudloom.session import scratch_path, settle
 from fraudloom.streaming import jobs
 
 C = F.col
@@ -280,3 +281,29 @@ def test_draws_are_distinct_and_need_no_listing():
     huge = {f"p{i}": list(range(100)) for i in range(8)}
     draws = train.draw_params(huge, 50)
     assert len({tuple(d.values()) for d in draws}) == 50 and draws == train.draw_params(huge, 50)
+
+
+def test_boosted_blocks_equal_the_library_trees(spark, monkeypatch):
+    rnd = random.Random(5)
+    rows = [(i, round(rnd.gauss(0, 3), 3), float(i % 5), rnd.choice([0.0, 1.5, -2.0])) for i in range(1200)]
+    rows = [(*r, int(r[1] + r[2] + rnd.gauss(0, 1) > 2)) for r in rows]
+    df = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(
+        spark.createDataFrame(rows, "id bigint, a double, b double, c double, y int"))
+    params = {"maxIter": 4, "maxDepth": 3, "stepSize": 0.2}
+    want = GBTClassifier(labelCol="y", featuresCol="features", seed=42, **params).fit(df)
+    expected = {r.id: r.score for r in train.probability(want, df).collect()}
+    for part_rows in (200_000, 300):  # in one task, and a level at a time over four blocks
+        monkeypatch.setattr(boosting, "PART_ROWS", part_rows)
+        model = train.boosted_trees("y", **params).fit(df)
+        got = {r.id: r.score for r in train.probability(model, df).collect()}
+        assert len(got) == 1200 and all(got[i] == pytest.approx(expected[i], abs=1e-9) for i in got)
+        assert model.featureImportances.toArray() == pytest.approx(want.featureImportances.toArray(), abs=1e-9)
+        assert model.evaluateEachIteration(df) == pytest.approx(want.evaluateEachIteration(df), abs=1e-9)
+    assert spark.sparkContext._jsc.getPersistentRDDs().isEmpty()
+
+
+def test_folds_share_the_front_stages(spark, sf, monkeypatch):
+    written = []
+    monkeypatch.setattr(train, "settle", lambda df, name: (written.append(name), settle(df, name))[1])
+    cv = learning.cross_validate(spark, sf)
+    assert cv.count() == 10 and written.count("folds") == 1 and "shaped" not in written
