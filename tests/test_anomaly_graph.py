@@ -263,3 +263,41 @@ def test_path_lengths_are_those_of_a_walk():
         wanted.append(steps + float(detectors._average_path(size[at])))
     got = detectors._path_lengths(x.ravel(), np.arange(len(x)) * 3, f, cut, left, right, size)
     assert got.tolist() == pytest.approx(wanted, abs=1e-12)
+
+
+@pytest.mark.parametrize("slots", [8, 1])
+def test_pairs_are_weighed_where_they_meet(spark, monkeypatch, slots):
+    monkeypatch.setattr(graph, "TILE", 16)
+    monkeypatch.setattr(graph, "SLOTS", slots)
+    rnd = random.Random(9)
+    rows = [(i, rnd.randrange(9), f"a{rnd.randrange(4)}", f"b{rnd.randrange(30)}", f"c{rnd.randrange(5)}") for i in range(120)]
+    rows += rows[5:25] + [(30, 77, "a1", "b2", "c3"), (40, None, "a1", "b2", "c3"), (None, 3, "a1", "b1", None), (None, 4, "a2", "b1", "c1")]
+    df = spark.createDataFrame(rows, "id bigint, owner int, x string, y string, z string")
+    listed = df.where("id % 4 = 0").select("id")
+    edges = graph.shared_attribute_edges(df, "id", "owner", ["x", "y", "z"])
+    want = Counter()
+    for a, b in itertools.product(rows, rows):
+        if a[0] is not None and a[0] % 4 == 0 and None not in (a[1], b[1]) and a[1] != b[1]:
+            want[(a[0], b[0])] += sum(u is not None and u == v for u, v in zip(a[2:], b[2:]))
+    want = {p: w for p, w in want.items() if w}
+    pairs = graph.pair_weights(edges, listed)
+    got = [((p.src, p.dst), p.weight) for p in pairs.collect()]
+    assert len(got) == len(want) and dict(got) == want
+    undirected = {(a, a, w) if b is None else (min(a, b), max(a, b), w) for (a, b), w in want.items()}
+    once = [tuple(p) for p in graph.graph_from_adjacency(pairs).collect()]
+    assert len(once) == len(undirected) and set(once) == undirected
+    names = {"x": F.col("x"), "y": F.col("y")}
+    carried = graph.graph_from_adjacency(graph.pair_weights(edges, listed, graph.vertex_rows(df, "id", names)))
+    both = [Counter(tuple(r) for r in graph.edge_attributes(e, df, "id", names).select("src", "dst", "weight", "src_x", "src_y", "dst_x", "dst_y").collect())
+            for e in (carried, spark.createDataFrame(list(undirected), "src bigint, dst bigint, weight bigint"))]
+    assert both[0] == both[1] and sum(both[0].values()) > len(undirected)
+
+
+def test_plain_pairs_are_not_shuffled(spark):
+    df = spark.range(3000).selectExpr("id", "id % 7 AS owner", "concat('p', id % 3) AS x", "concat('d', id % 50) AS y")
+    names = {"x": F.col("x")}
+    pairs = graph.pair_weights(graph.shared_attribute_edges(df, "id", "owner", ["x", "y"]), df.where("id % 20 = 0").select("id"), graph.vertex_rows(df, "id", names))
+    out = graph.edge_attributes(graph.graph_from_adjacency(pairs), df, "id", names)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    joins = plan.index("Join Inner, ")
+    assert "Aggregate" not in plan[:joins] and "RepartitionByExpression" not in plan[:joins] and plan.count("_a") and out.count() > 100_000
