@@ -2,11 +2,13 @@
 
 import json
 import random
+from collections import Counter
 
 import pytest
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from fraudloom.catalog import features, learning
@@ -307,3 +309,32 @@ def test_folds_share_the_front_stages(spark, sf, monkeypatch):
     monkeypatch.setattr(train, "settle", lambda df, name: (written.append(name), settle(df, name))[1])
     cv = learning.cross_validate(spark, sf)
     assert cv.count() == 10 and written.count("folds") == 1 and "shaped" not in written
+
+
+@pytest.mark.parametrize("table", [1 << 16, 4])
+def test_shuffled_blocks_score_as_shuffled_rows(spark, monkeypatch, table):
+    monkeypatch.setattr(boosting, "TABLE_SIZE", table)
+    rnd = random.Random(8)
+    rows = [(f"k{i}", round(rnd.gauss(0, 2), 2), float("nan") if i % 11 == 0 else float(i % 6), rnd.choice([0.0, 1.5]), 3.0) for i in range(900)]
+    rows = [(*r, None if i % 50 == 0 else int(r[1] + r[3] + rnd.gauss(0, 1) > 1)) for i, r in enumerate(rows)]
+    df = VectorAssembler(inputCols=["a", "b", "c", "d"], outputCol="features", handleInvalid="keep").transform(
+        spark.createDataFrame(rows, "id string, a double, b double, c double, d double, y int"))
+    model = train.boosted_trees("y", maxIter=5, maxDepth=4).fit(df.where("y is not null and not isnan(b)"))
+    counted = []
+    monkeypatch.setattr(train, "settle", lambda d, name: (counted.append(d.columns) if name == "permuted" else None, settle(d, name))[1])
+    got = {r.feature: r.importance for r in train.permutation_importance(model, df, "id", "y", repeats=3, shard_rows=300).collect()}
+    blocks = settle(train._permuted_blocks(model, _permuted(df), 4, 3, 42, 3), "t")
+    singles = train._permuted_rows(model, _permuted(df), 4, 3, 42, 3).where("ytrue is not null")
+    want = Counter((r.rep, r.f, r.ytrue, r.score) for r in singles.collect())
+    assert Counter({(r.rep, r.f, r.ytrue, r.score): 0 for r in blocks.collect()}).keys() == want.keys()
+    totals = Counter()
+    for r in blocks.collect():
+        totals[(r.rep, r.f, r.ytrue, r.score)] += r.n
+    assert totals == want and blocks.count() < sum(want.values()) // 2 and counted == [["rep", "f", "ytrue", "score", "n"]]
+    monkeypatch.setattr(train, "_permuted_blocks", train._permuted_rows)
+    rowwise = {r.feature: r.importance for r in train.permutation_importance(model, df, "id", "y", repeats=3, shard_rows=300).collect()}
+    assert got == pytest.approx(rowwise, abs=1e-12) and set(got) == {"a", "b", "c", "d"} and got["d"] == pytest.approx(0, abs=1e-12)
+
+
+def _permuted(df):
+    return df.select(F.col("id").alias("k"), F.col("y").alias("ytrue"), vector_to_array("features").alias("x"))
