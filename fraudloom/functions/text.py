@@ -6,12 +6,12 @@ from collections.abc import Mapping, Sequence
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..session import settle
 
 C = F.col
-LCS_BLOCK = 60
 TILE_ROWS = 1024
 
 
@@ -80,51 +80,32 @@ def strip_quotes(df: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- name matching
 
 
-def _let(value: Column, body) -> Column:
-    """Bind a value once inside an expression (a lambda variable is not computed again)."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _chars(c: Column) -> Column:
     return F.filter(F.split(c, ""), lambda ch: ch != "")
 
 
-def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence, in the JVM, for texts of any length.
+def _common(a: str, b: str) -> int:
+    """Length of the longest common subsequence: a bit of ``row`` for each character of ``a``, one step of the whole row for each of ``b``."""
+    if a == b:
+        return len(a)
+    places: dict[str, int] = {}
+    for i, ch in enumerate(a):
+        places[ch] = places.get(ch, 0) | 1 << i
+    row = full = (1 << len(a)) - 1
+    for ch in b:
+        if met := row & places.get(ch, 0):
+            row = (row + met | row - met) & full
+    return len(a) - row.bit_count()
 
-    Bit-vector form: ``a`` is cut into blocks of LCS_BLOCK characters held in one
-    BIGINT; the carry bit that leaves a block at each character of ``b`` enters
-    the next block.
-    """
-    full = F.lit((1 << LCS_BLOCK) - 1).cast("bigint")
-    zero = F.lit(0).cast("bigint")
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.ceil(F.length(a) / LCS_BLOCK).cast("int") - 1),
-        lambda n: F.transform(_chars(F.substring(a, n * LCS_BLOCK + 1, F.lit(LCS_BLOCK))), lambda ch, i: F.struct(
-            ch.alias("ch"), F.call_function("shiftleft", F.lit(1).cast("bigint"), i).alias("bit"))))
-
-    def run(b_chars: Column) -> Column:
-        def block(state: Column, chunk: Column) -> Column:
-            def step(s: Column, x: Column) -> Column:
-                mask = F.aggregate(chunk, zero, lambda m, c: m + F.when(c["ch"] == x["ch"], c["bit"]).otherwise(zero))
-
-                def update(mk: Column) -> Column:
-                    total = s["v"] + s["v"].bitwiseAND(mk) + x["carry"]
-                    return F.struct(
-                        total.bitwiseAND(full).bitwiseOR(s["v"].bitwiseAND(F.bitwise_not(mk))).alias("v"),
-                        F.concat(s["out"], F.array(F.shiftright(total, LCS_BLOCK))).alias("out"))
-
-                return _let(mask, update)
-
-            start = F.struct(full.alias("v"), F.array().cast("array<bigint>").alias("out"))
-            zipped = F.zip_with(b_chars, state["carry"], lambda ch, cy: F.struct(ch.alias("ch"), cy.alias("carry")))
-            return _let(F.aggregate(zipped, start, step), lambda done: F.struct(
-                (state["lcs"] + (LCS_BLOCK - F.bit_count(done["v"]))).cast("int").alias("lcs"), done["out"].alias("carry")))
-
-        begin = F.struct(F.lit(0).alias("lcs"), F.array_repeat(zero, F.size(b_chars)).alias("carry"))
-        return F.aggregate(blocks, begin, block)["lcs"]
-
-    return F.when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0)).otherwise(_let(_chars(b), run))
+
+@F.arrow_udf(T.IntegerType())
+def _common_lengths(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array([None if x is None or y is None else _common(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.int32())
+
+
+def lcs_length(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence, for texts of any length (bit-vector form, in place, a batch of rows at a time)."""
+    return F.when((F.length(a) == 0) | (F.length(b) == 0), F.lit(0)).otherwise(_common_lengths(a, b))
 
 
 def indel_ratio(a: Column, b: Column) -> Column:

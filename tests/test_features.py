@@ -196,3 +196,14 @@ def test_a_column_of_very_many_levels(spark):
     assert own.count() == n
     assert own.where((C("id") > 0) & ((C("n") != 1) | (C("pos") != C("id") - 1))).count() == 0
     assert own.where(C("id") == 0).first().n == 0
+
+
+def test_names_are_matched_by_batch(spark):
+    rnd = random.Random(3)
+    words = ["", "é😀x", "x😀", "same", *["".join(rnd.choices("abc1", k=rnd.randrange(150))) for _ in range(40)]]
+    rows = [(rnd.choice(words), rnd.choice(words)) for _ in range(150)] + [(None, "a"), ("a", None), (None, ""), ("same", "same")]
+    df = spark.createDataFrame(rows, "a string, b string").select("a", "b", text.lcs_length(C("a"), C("b")).alias("n"))
+    for r in df.collect():
+        assert r.n == (None if None in (r.a, r.b) and "" not in (r.a, r.b) else lcs(r.a or "", r.b or "")), r
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan and "_common_lengths" in plan  # no lambda run for every two characters
