@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fraudloom.anomaly import detectors, knn
+from fraudloom.catalog import anomaly
 from fraudloom.functions import email_tokens
 from fraudloom.operators import encode, graph, relational as rel, skew
 
@@ -301,3 +302,38 @@ def test_plain_pairs_are_not_shuffled(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     joins = plan.index("Join Inner, ")
     assert "Aggregate" not in plan[:joins] and "RepartitionByExpression" not in plan[:joins] and plan.count("_a") and out.count() > 100_000
+
+
+@pytest.mark.parametrize("slots", [8, 1])
+def test_all_rows_are_paired_once(spark, monkeypatch, slots):
+    monkeypatch.setattr(graph, "TILE", 16)
+    monkeypatch.setattr(graph, "SLOTS", slots)
+    rnd = random.Random(4)
+    rows = [(i, rnd.randrange(9), f"a{rnd.randrange(3)}", f"b{rnd.randrange(30)}") for i in range(90)]
+    rows += rows[5:15] + [(30, 77, "a1", "b2"), (40, None, "a1", "b2"), (None, 3, "a1", "b1"), (None, 4, "a2", "b1")]
+    df = spark.createDataFrame(rows, "id bigint, owner int, x string, y string")
+    want = Counter()
+    for a, b in itertools.product(rows, rows):
+        if None not in (a[1], b[1]) and a[1] != b[1]:
+            want[a[0], b[0]] += sum(u == v for u, v in zip(a[2:], b[2:]))
+    undirected = {(*sorted(x for x in (a, b) if x is not None)[:1], max((x for x in (a, b) if x is not None), default=None), w)
+                  if (a, b) != (None, None) else (None, None, w) for (a, b), w in want.items() if w}
+    got = [tuple(p) for p in graph.graph_from_adjacency(graph.pair_weights(graph.shared_attribute_edges(df, "id", "owner", ["x", "y"]))).collect()]
+    assert len(got) == len(undirected) and set(got) == undirected
+
+
+def test_large_jobs_meet_in_larger_blocks(spark, monkeypatch):
+    monkeypatch.setattr(graph, "TILE", 4)
+    df = spark.range(600).selectExpr("id", "id AS owner", "'p' AS x")
+    want = 600 * 599 // 2
+    for tiles in (1, 1 << 40):
+        monkeypatch.setattr(graph, "TILES", tiles)
+        assert graph.graph_from_adjacency(graph.pair_weights(graph.shared_attribute_edges(df, "id", "owner", ["x"]))).count() == want
+
+
+def test_no_row_is_left_out_of_the_adjacency(spark, tmp_path):
+    from datetime import datetime
+    rows = [(i, datetime(2024, 1, 1, i), i, "view", 1.0, "same") for i in range(1, 6)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    got = sorted(tuple(p) for p in anomaly.graph_from_adjacency(spark, str(tmp_path)).collect())
+    assert got == [(a, b, 1) for a in range(1, 6) for b in range(a + 1, 6)]
