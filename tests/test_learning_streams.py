@@ -338,3 +338,40 @@ def test_shuffled_blocks_score_as_shuffled_rows(spark, monkeypatch, table):
 
 def _permuted(df):
     return df.select(F.col("id").alias("k"), F.col("y").alias("ytrue"), vector_to_array("features").alias("x"))
+
+
+def _repeated_rows(spark):
+    rnd = random.Random(6)
+    rows = [(i, float(i % 7), rnd.choice([0.0, 1.5, -2.0]), float(rnd.randrange(4))) for i in range(1200)]
+    rows = [(*r, int(r[1] + r[2] + rnd.gauss(0, 2) > 3)) for r in rows]
+    return VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(
+        spark.createDataFrame(rows, "id bigint, a double, b double, c double, y int"))
+
+
+@pytest.mark.parametrize("part_rows", [300, 20])  # all kinds in one task, and over several blocks
+def test_kinds_of_rows_are_boosted_as_the_rows(spark, monkeypatch, part_rows):
+    df = _repeated_rows(spark)
+    kept = []
+    monkeypatch.setattr(boosting, "PART_ROWS", part_rows)
+    monkeypatch.setattr(boosting, "settle", lambda d, name: kept.append(settle(d, name)) or kept[-1])
+    params = {"maxIter": 4, "maxDepth": 3, "stepSize": 0.2}
+    want = GBTClassifier(labelCol="y", featuresCol="features", seed=42, **params).fit(df)
+    model = train.boosted_trees("y", **params).fit(df)
+    expected = {r.id: r.score for r in train.probability(want, df).collect()}
+    assert {r.id: r.score for r in train.probability(model, df).collect()} == pytest.approx(expected, abs=1e-9)
+    assert model.featureImportances.toArray() == pytest.approx(want.featureImportances.toArray(), abs=1e-9)
+    assert len(kept) == 1 and kept[0].count() <= 7 * 3 * 4 * 2 and kept[0].agg(F.sum("n")).first()[0] == 1200
+    drawn = train.boosted_trees("y", subsamplingRate=0.5, **params).fit(df)
+    assert drawn.featureImportances.toArray().sum() == pytest.approx(1.0) and drawn.trees[0]["value"][0] != model.trees[0]["value"][0]
+
+
+def test_rows_are_attributed_where_they_lie(spark, monkeypatch):
+    df = _repeated_rows(spark)
+    df = df.unionByName(df.where("id < 20")).unionByName(df.where("id < 3").withColumn("id", F.lit(None).cast("long")))
+    model = train.boosted_trees("y", maxIter=4, maxDepth=3).fit(df)
+    exploded, asked = train._phi_exploded, []
+    monkeypatch.setattr(train, "_phi_exploded", lambda m, base, *a: asked.append(base.count()) or exploded(m, base, *a))
+    got = {r.feature: r.importance for r in train.sampled_attribution(model, df, "id", ["a", "b", "c"]).collect()}
+    monkeypatch.setattr(train, "BoostedTreesModel", int)
+    want = {r.feature: r.importance for r in train.sampled_attribution(model, df, "id", ["a", "b", "c"]).collect()}
+    assert asked == [43, 1223] and got == pytest.approx(want, abs=1e-9) and {"a", "b", "c"} <= set(got)
